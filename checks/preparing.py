@@ -43,6 +43,13 @@ def read_events_csv(spark, folder):
     return event_totals(io.read_events(spark, path, "csv"))
 
 
+@check("write_events_csv", over_clicks(EVENT_TOTALS))
+def write_events_csv(spark, folder):
+    path = new_path(spark, "events-csv")
+    io.write_table(clickstream(spark, folder), path, "csv")
+    return event_totals(io.read_events(spark, path, "csv"))
+
+
 @check("read_events_parquet", over_clicks(EVENT_TOTALS))
 def read_events_parquet(spark, folder):
     path = new_path(spark, "events-parquet")

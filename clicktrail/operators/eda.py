@@ -1,6 +1,6 @@
 """Exploratory tables: frequencies, histograms, densities, correlations."""
 
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,23 +67,36 @@ def kde(df: DataFrame, column: str, low: float, high: float, points: int = GRID_
 def correlation_matrix(df: DataFrame, columns) -> DataFrame:
     """Pearson correlation of every pair of columns: ``(a, b, r)``, both orders and the diagonal.
 
-    One pass over the data.  A pair uses the rows where both are present; a
-    constant column has NULL correlations.
+    A first pass reads count, mean and deviation of each column, one row; the
+    second sums products of the standardised values.  A pair uses the rows
+    where both columns are present; a constant column has NULL correlations.
     """
-    nullable = {f.name: f.nullable for f in df.schema}
-    number = {c: F.col(c).cast("double") for c in columns}
-
-    def paired(a, b):
-        return F.when(F.col(b).isNotNull(), number[a]) if nullable[b] else number[a]
-
-    def r(a, b):
-        norm = F.stddev_pop(paired(a, b)) * F.stddev_pop(paired(b, a))
-        return F.covar_pop(number[a], number[b]) / F.nullif(norm, F.lit(0.0))
-
-    pairs = [*combinations(columns, 2), *[(c, c) for c in columns]]
-    wide = df.agg(*[r(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    # Expressions are written as SQL text: hundreds of them would take seconds to build one by one.
+    number = [f"CAST(`{c}` AS DOUBLE)" for c in columns]
+    measures = [f"{f}({x})" for x in number for f in ("count", "avg", "stddev_pop")]
+    fitted = iter(df.selectExpr("count(*)", *measures).first())
+    n = next(fitted)
+    standard, complete = {}, {}
+    for i, x in enumerate(number):
+        present, mean, deviation = next(fitted), next(fitted), next(fitted)
+        complete[i] = present == n
+        if deviation:
+            standard[i] = f"({x} - {mean!r}D) / {deviation!r}D AS z{i}"
+
+    def r(i, j):
+        x, y = f"z{i}", f"z{j}"
+        if complete[i] and complete[j]:
+            return f"sum({x} * {y}) / {n}"
+        x, y = f"if({y} IS NULL, NULL, {x})", f"if({x} IS NULL, NULL, {y})"
+        m = f"nullif(count({x} * {y}), 0)"
+        norm = f"sqrt((sum({x} * {x}) - sum({x}) * sum({x}) / {m}) * (sum({y} * {y}) - sum({y}) * sum({y}) / {m}))"
+        return f"(sum({x} * {y}) - sum({x}) * sum({y}) / {m}) / nullif({norm}, 0D)"
+
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    known = [p for p in pairs if p[0] in standard and p[1] in standard]
+    products = df.selectExpr(*standard.values()).selectExpr("count(*) AS n", *[f"{r(i, j)} AS r_{i}_{j}" for i, j in known])
     rows = []
-    for i, (a, b) in enumerate(pairs):
-        for left, right in {(a, b), (b, a)}:
-            rows.append(F.struct(F.lit(left).alias("a"), F.lit(right).alias("b"), F.col(f"_{i}").alias("r")))
-    return wide.select(F.inline(F.array(*rows)))
+    for i, j in pairs:
+        value = f"r_{i}_{j}" if (i, j) in known else "CAST(NULL AS DOUBLE)"
+        rows += [f"struct('{columns[x]}' AS a, '{columns[y]}' AS b, {value} AS r)" for x, y in sorted({(i, j), (j, i)})]
+    return products.selectExpr(f"inline(array({', '.join(rows)}))")

@@ -28,22 +28,28 @@ _SLACK = 1e-9  # keeps ties at the bound in spite of rounding
 _PAIR = "id {0}, nn {0}, distance double"
 
 
-_NO_PAIRS = pd.DataFrame({"id": [], "nn": [], "distance": []})
+
+
+def _objects(values) -> pd.Series:
+    """Keys as plain objects; Arrow conversion then follows the declared type."""
+    return pd.Series(list(values), dtype=object)
 
 
 def _nearest(query: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest block rows of each query row, itself excluded, ties by id."""
-    points, ids = np.stack(block["x"].to_numpy()), block["id"].to_numpy()
-    by_id = np.argsort(ids, kind="stable")
-    points, ids = points[by_id], ids[by_id]
-    out = []
-    for qid, x in zip(query["id"].to_numpy(), query["x"].to_numpy()):
+    block = block.sort_values("id", kind="stable")
+    ids = block["id"].to_numpy(dtype=object)
+    points = np.stack(block["x"].to_numpy()) if len(block) else None
+    found, near, far = [], [], []
+    for key, x in zip(query["id"], query["x"] if len(block) else ()):
         distance = np.sqrt(((points - x) ** 2).sum(axis=1))
-        distance[ids == qid] = np.inf
+        distance[ids == key] = np.inf
         best = np.argsort(distance, kind="stable")[:k]
         best = best[np.isfinite(distance[best])]
-        out.append(pd.DataFrame({"id": np.full(len(best), qid), "nn": ids[best], "distance": distance[best]}))
-    return pd.concat(out) if out else _NO_PAIRS
+        found += [key] * len(best)
+        near += list(ids[best])
+        far += list(distance[best])
+    return pd.DataFrame({"id": _objects(found), "nn": _objects(near), "distance": pd.Series(far, dtype="float64")})
 
 
 def nearest_neighbours(df: DataFrame, key: str, features: str, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
@@ -65,7 +71,8 @@ def nearest_neighbours(df: DataFrame, key: str, features: str, k: int = NEIGHBOU
                 continue
             away = np.stack([np.sqrt(((pivots - x) ** 2).sum(axis=1)) for x in batch["x"]])
             group = away.argmin(axis=1)
-            yield batch.assign(group=group.astype("int32"), away=away[np.arange(len(batch)), group])
+            nearest = pd.Series(away[np.arange(len(batch)), group])
+            yield pd.DataFrame({"id": _objects(batch["id"]), "x": _objects(batch["x"]), "group": group, "away": nearest})
 
     placed = rows.mapInPandas(place, f"id {kind}, x array<double>, group int, away double")
     extent = placed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high"))
@@ -93,10 +100,8 @@ def nearest_neighbours(df: DataFrame, key: str, features: str, k: int = NEIGHBOU
                         plan += [(i, g, b) for b in range(blocks[g]) if (g, b) != (group, block)]
             if plan:
                 index, to_group, to_block = map(list, zip(*plan))
-                yield pd.DataFrame(
-                    {"id": batch["id"].iloc[index].to_numpy(), "x": batch["x"].iloc[index].to_numpy(),
-                     "group": to_group, "block": to_block}
-                )
+                moved = {c: _objects(batch[c].iloc[index]) for c in ("id", "x")}
+                yield pd.DataFrame({**moved, "group": to_group, "block": to_block})
 
     # A block's visitors are unbounded, so they come in parts; the block is sent to each part.
     parts = max(1, -(-total // (16 * _BLOCK_ROWS)))
@@ -109,13 +114,8 @@ def nearest_neighbours(df: DataFrame, key: str, features: str, k: int = NEIGHBOU
     )
     targets = blocked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     where = ("group", "block", "part")
-
-    def search(visitors, block):
-        return _nearest(visitors, block, k) if len(block) else _NO_PAIRS
-
-    elsewhere = (
-        visits.groupBy(*where).cogroup(targets.groupBy(*where)).applyInPandas(search, _PAIR.format(kind))
-    )
+    found = visits.groupBy(*where).cogroup(targets.groupBy(*where))
+    elsewhere = found.applyInPandas(lambda visitors, block: _nearest(visitors, block, k), _PAIR.format(kind))
     order = Window.partitionBy("id").orderBy("distance", "nn")
     return own.unionByName(elsewhere).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

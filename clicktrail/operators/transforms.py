@@ -22,7 +22,7 @@ def correlated_features(df: DataFrame, columns, threshold: float = CORRELATION_C
     The earlier column counts even when it is itself to be dropped.
     """
     position = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
-    pairs = correlation_matrix(df, columns).withColumns({"position": position["a"], "_other": position["b"]})
+    pairs = correlation_matrix(df, columns).withColumns({"position": position[F.col("a")], "_other": position[F.col("b")]})
     late = pairs.filter((F.abs("r") > threshold) & (F.col("position") > F.col("_other")))
     return late.select("position", F.col("a").alias("feature")).distinct()
 

@@ -57,7 +57,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(),
     """Write an event or session table; partition by ``set`` to let readers prune."""
     writer = df.write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
-        writer = writer.option("header", True).option("encoding", "UTF-8")
+        # The default time format of CSV cuts microseconds.
+        writer = writer.options(header=True, encoding="UTF-8", timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS")
     writer.format(fmt).save(path)
 
 

@@ -40,9 +40,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so that lost executors cost no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a Parquet table to the shared folder and go on from there.
+
+    Lost executors then cost no recomputation, and readers of the table still
+    prune columns and push filters down.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
