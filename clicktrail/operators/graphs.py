@@ -71,17 +71,21 @@ def graph_table(events: DataFrame, sessions: DataFrame | None = None) -> DataFra
     return graphs if sessions is None else attach_graph_features(graphs, sessions)
 
 
-def _neighbours(edges: DataFrame) -> DataFrame:
-    """Per graph and node the incoming edges with weight 1/sqrt(out-degree * in-degree)."""
+def _incoming(edges: DataFrame) -> DataFrame:
+    """Per graph a map from node to its incoming edges with weight 1/sqrt(out-degree * in-degree)."""
     out_degree = F.count(F.lit(1)).over(Window.partitionBy(*GRAPH_KEY, "src"))
     in_degree = F.count(F.lit(1)).over(Window.partitionBy(*GRAPH_KEY, "dst"))
     weight = F.lit(1.0) / F.sqrt((out_degree * in_degree).cast("double"))
+    # One exchange on the graph key serves both windows and both aggregates.
     weighted = edges.repartition(*GRAPH_KEY).select(*GRAPH_KEY, "src", "dst", weight.alias("weight"))
-    incoming = F.array_sort(F.collect_list(F.struct("src", "weight")))
-    return weighted.groupBy(*GRAPH_KEY, "dst").agg(incoming.alias("incoming"))
+    per_node = weighted.groupBy(*GRAPH_KEY, "dst").agg(
+        F.array_sort(F.collect_list(F.struct("src", "weight"))).alias("edges")
+    )
+    return per_node.groupBy(*GRAPH_KEY).agg(F.map_from_entries(F.collect_list(F.struct("dst", "edges"))).alias("incoming"))
 
 
 def _hop(state: Column, incoming: Column, width: int) -> Column:
+    """One round: each node's weighted sum over its incoming edges."""
     zero = F.array(*[F.lit(0.0)] * width)
 
     def gather(edges):
@@ -91,31 +95,30 @@ def _hop(state: Column, incoming: Column, width: int) -> Column:
             lambda total, e: F.zip_with(total, F.get(state, e["src"]), lambda t, x: t + x * e["weight"]),
         )
 
-    return F.transform(incoming, gather)
+    return F.transform(incoming, lambda edges: F.coalesce(gather(edges), zero))
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, features, hops: int = HOPS) -> DataFrame:
     """Features of each node after 0..hops rounds of normalised neighbour sums.
 
-    Round h of feature f is column ``f_h``; a node without edges gets zeros
-    from round 1 on.  Each graph is one row of small arrays while the rounds
-    run, so they need no shuffle however many there are.
+    Nodes of a graph are numbered from 0.  Round h of feature f is column
+    ``f_h``; a node without edges gets zeros from round 1 on.  Each graph is one
+    row of small arrays while the rounds run, so they need no shuffle however
+    many there are.
     """
     features = list(features)
     vector = F.array(*[F.col(f).cast("double") for f in features])
-    listed = nodes.join(_neighbours(edges).withColumnRenamed("dst", "node"), [*GRAPH_KEY, "node"], "left")
-    no_edges = F.array().cast("array<struct<src:int,weight:double>>")
-    entry = F.struct("node", vector.alias("x"), F.coalesce("incoming", no_edges).alias("incoming"))
-    graphs = listed.groupBy(*GRAPH_KEY).agg(F.array_sort(F.collect_list(entry)).alias("g"))
+    listed = nodes.groupBy(*GRAPH_KEY).agg(F.array_sort(F.collect_list(F.struct("node", vector.alias("x")))).alias("g"))
+    graphs = listed.join(_incoming(edges), GRAPH_KEY, "left").withColumn(
+        "_in", F.transform("g", lambda n: F.try_element_at("incoming", n["node"]))
+    )
     start = F.transform("g", lambda n: n["x"])
-    incoming = F.transform("g", lambda n: n["incoming"])
     rounds = F.aggregate(
         F.sequence(F.lit(1), F.lit(hops)) if hops else F.array().cast("array<int>"),
         F.array(start),
         lambda done, _: F.concat(done, F.array(_hop(F.element_at(done, -1), F.col("_in"), len(features)))),
     )
-    spread = graphs.withColumn("_in", incoming).withColumn("_rounds", rounds)
-    rows = spread.select(*GRAPH_KEY, "_rounds", F.posexplode("g").alias("_i", "_n"))
+    rows = graphs.withColumn("_rounds", rounds).select(*GRAPH_KEY, "_rounds", F.posexplode("g").alias("_i", "_n"))
     columns = [
         F.col("_rounds")[h][F.col("_i")][i].alias(f"{f}_{h}") for h in range(hops + 1) for i, f in enumerate(features)
     ]

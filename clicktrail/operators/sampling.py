@@ -39,6 +39,8 @@ def allocate(counts: dict, total: int) -> dict:
     everything = sum(counts.values())
     if total > everything:
         raise ValueError(f"{total} rows asked for, {everything} present")
+    if total == 0:
+        return dict.fromkeys(counts, 0)
     exact = {c: (n * total) // everything for c, n in counts.items()}
     remainder = sorted(counts, key=lambda c: (-((counts[c] * total) % everything), c))
     for c in remainder[: total - sum(exact.values())]:
