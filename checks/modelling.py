@@ -8,6 +8,7 @@ from checks.base import (
 )
 from checks.features_checks import correlation_sql, rounded
 from clicktrail import schemas as S
+from clicktrail.functions.calendar import day_time
 from clicktrail.operators import evaluation, graphs, models, rows, sampling, smote, transforms
 from clicktrail.plans import flows
 from clicktrail.spark import materialize
@@ -124,12 +125,12 @@ def correlated_features(spark, folder):
     return transforms.correlated_features(flows.tabular_frame(train_sessions(spark, folder)), MODEL_COLUMNS)
 
 
-@check("one_hot_drop_first", over_split("""SELECT user_id, session, """ + ", ".join(
-    f"""CAST("dayTime" = '{v}' AS INTEGER) AS "day_time_{v}\"""" for v in ("Evening", "Late Night", "Morning", "Night", "Noon")) + ' FROM marked'))
+@check("one_hot_drop_first", over_sessions("""SELECT user_id, session, """ + ", ".join(
+    f"""CAST("dayTime" = '{v}' AS INTEGER) AS "day_time_{v}\"""" for v in ("Evening", "Late Night", "Morning", "Night", "Noon")) + ' FROM sess'))
 def one_hot_drop_first(spark, folder):
-    frame = flows.tabular_frame(split_tables(spark, folder)[1]).select(*S.SESSION_KEY, "day_time", "set")
-    encoder = transforms.one_hot(rows.only(frame, "set", "train"), ["day_time"], drop_first=True)
-    return encoder.apply(frame).drop("set")
+    frame = flows.tabular_frame(session_rows(spark, folder)).select(*S.SESSION_KEY, "day_time")
+    every = clicks(spark, folder).select(day_time(F.col("event_time")).alias("day_time"))
+    return transforms.one_hot(every, ["day_time"], drop_first=True).apply(frame)
 
 
 @check("one_hot_all_levels", over_sessions("SELECT event_id, " + ", ".join(

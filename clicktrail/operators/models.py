@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from clicktrail.operators.evaluation import binary_metrics
 from clicktrail.operators.sampling import FOLDS, SEED, assign_folds, with_balanced_weight
-from clicktrail.operators.smote import NEIGHBOURS, RATIOS, smote
+from clicktrail.operators.smote import NEIGHBOURS, RATIOS, nearest_neighbours, smote
 from clicktrail.operators.transforms import Scaler, standard_scale
 from clicktrail.spark import materialize
 
@@ -127,25 +127,30 @@ def _vectors(df: DataFrame, columns, label: str, keep=()) -> DataFrame:
     return df.select(*keep, F.col(label).cast("int").alias("label"), features.alias("features"))
 
 
-def _scale_and_balance(train: DataFrame, key: str, columns, label: str, ratio: float, k: int, seed: int):
+def _scale(train: DataFrame, key: str, columns, label: str, k: int, seed: int):
+    """Fitted scaler, scaled rows and the neighbours of their minority, the last two materialised."""
     scaler = standard_scale(train, columns)
-    rows = scaler.apply(train).select(
-        F.col(key).cast("string").alias("_id"),
-        F.col(label).cast("int").alias("label"),
-        F.array(*[F.col(c) for c in columns]).alias("x"),
+    rows = materialize(
+        scaler.apply(train).select(
+            F.col(key).cast("string").alias("_id"),
+            F.col(label).cast("int").alias("label"),
+            F.array(*[F.col(c) for c in columns]).alias("x"),
+        )
     )
-    rows = materialize(rows)
-    added = smote(rows, "_id", "x", "label", ratio, k, seed)
-    balanced = rows.unionByName(added).select("label", array_to_vector("x").alias("features"))
-    return scaler, materialize(balanced)
+    return scaler, rows, materialize(nearest_neighbours(rows.filter("label = 1"), "_id", "x", k, seed))
+
+
+def _balance(rows: DataFrame, neighbours: DataFrame, ratio: float, k: int, seed: int) -> DataFrame:
+    added = smote(rows, "_id", "x", "label", ratio, k, seed, neighbours)
+    return materialize(rows.unionByName(added).select("label", array_to_vector("x").alias("features")))
 
 
 def train_pipeline(
     train: DataFrame, key: str, columns, label: str, kind: str, ratio: float = 0.5, k: int = NEIGHBOURS, seed: int = SEED, **params
 ) -> Trained:
     """Scale, add synthetic minority rows, fit."""
-    scaler, balanced = _scale_and_balance(train, key, columns, label, ratio, k, seed)
-    return Trained(scaler, tuple(columns), FITS[kind](balanced, **params))
+    scaler, rows, neighbours = _scale(train, key, columns, label, k, seed)
+    return Trained(scaler, tuple(columns), FITS[kind](_balance(rows, neighbours, ratio, k, seed), **params))
 
 
 def draw_candidates(grid: dict, n: int, seed: int = 1) -> list:
@@ -176,9 +181,10 @@ def random_search(
     scores = []
     for fold in range(folds):
         learn, check = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
+        scaler, rows, neighbours = _scale(learn, key, columns, label, NEIGHBOURS, seed)
+        held = materialize(_vectors(scaler.apply(check), columns, label))
         for ratio in sorted({c["ratio"] for c in candidates}):
-            scaler, balanced = _scale_and_balance(learn, key, columns, label, ratio, NEIGHBOURS, seed)
-            held = materialize(_vectors(scaler.apply(check), columns, label))
+            balanced = _balance(rows, neighbours, ratio, NEIGHBOURS, seed)
             for number, candidate in enumerate(candidates):
                 if candidate["ratio"] == ratio:
                     params = {name: v for name, v in candidate.items() if name != "ratio"}
@@ -187,9 +193,8 @@ def random_search(
                     scores.append((number, float(ratio), str(params), fold, float(f1)))
     mean = {n: sum(s[4] for s in scores if s[0] == n) / folds for n in range(len(candidates))}
     best = candidates[max(mean, key=lambda n: (mean[n], -n))]
-    rows = [(*s, mean[s[0]]) for s in scores]
     schema = "candidate int, ratio double, params string, fold int, f1 double, mean_f1 double"
-    results = train.sparkSession.createDataFrame(rows, schema)
+    results = train.sparkSession.createDataFrame([(*s, mean[s[0]]) for s in scores], schema)
     params = {name: v for name, v in best.items() if name != "ratio"}
     trained = train_pipeline(folded, key, columns, label, kind, best["ratio"], seed=seed, **params, **fixed)
     return Search(results, best, trained)

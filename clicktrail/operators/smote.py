@@ -1,8 +1,8 @@
 """Exact nearest neighbours and synthetic minority rows.
 
-The neighbour search never pairs all rows.  Rows are grouped around pivots and
-each group is cut into blocks of bounded size by hash, so that copies or a
-dense region fill more blocks instead of one.  A row first searches its own
+The neighbour search never pairs all rows.  Copies are collapsed first.  Distinct
+vectors are grouped around pivots and each group is cut into blocks of bounded
+size by hash, so that a dense region fills more blocks instead of one.  A row first searches its own
 block, which bounds the distance to its k-th neighbour.  It then visits only
 blocks of groups that the triangle inequality cannot rule out, and keeps k
 candidates per block.  The result is exact.
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clicktrail.functions.text import seeded_digest
 from clicktrail.operators.sampling import SEED, stratified_rank
+from clicktrail.spark import materialize
 
 # Fixed value: neighbours a synthetic row may be drawn towards.
 NEIGHBOURS = 5
@@ -23,6 +24,7 @@ RATIOS = (0.2, 0.3, 0.5)
 
 _MAX_PIVOTS = 256
 _BLOCK_ROWS = 2048
+_VISITORS = 32_768
 _SLACK = 1e-9  # keeps ties at the bound in spite of rounding
 
 _PAIR = "id {0}, nn {0}, distance double"
@@ -52,12 +54,8 @@ def _nearest(query: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"id": _objects(found), "nn": _objects(near), "distance": pd.Series(far, dtype="float64")})
 
 
-def nearest_neighbours(df: DataFrame, key: str, features: str, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
-    """``(id, nn, distance, rank)``: exact k nearest other rows by Euclidean distance.
-
-    ``features`` is an array of doubles; ties are ordered by id.
-    """
-    rows = df.select(F.col(key).alias("id"), F.col(features).alias("x"))
+def _nearest_vectors(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """``(id, nn, distance)``: the k nearest others of distinct vectors ``(id, x)``, ties by id."""
     kind = rows.schema["id"].dataType.simpleString()
     total = rows.count()
     wanted = max(1, min(_MAX_PIVOTS, total // _BLOCK_ROWS))
@@ -103,32 +101,67 @@ def nearest_neighbours(df: DataFrame, key: str, features: str, k: int = NEIGHBOU
                 moved = {c: _objects(batch[c].iloc[index]) for c in ("id", "x")}
                 yield pd.DataFrame({**moved, "group": to_group, "block": to_block})
 
-    # A block's visitors are unbounded, so they come in parts; the block is sent to each part.
-    parts = max(1, -(-total // (16 * _BLOCK_ROWS)))
-    visits = (
+    visits = materialize(
         blocked.join(bound, "id", "left")
         .withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
         .select("id", "x", "group", "block", "bound")
         .mapInPandas(visit, f"id {kind}, x array<double>, group int, block int")
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     )
-    targets = blocked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # A block may have any number of visitors; they come in parts and the block is sent to each part.
+    parts = visits.groupBy("group", "block").agg(F.ceil(F.count(F.lit(1)) / _VISITORS).cast("int").alias("parts"))
+    visitor_part = F.pmod(F.xxhash64("id"), F.col("parts").cast("bigint")).cast("int").alias("part")
+    block_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     where = ("group", "block", "part")
-    found = visits.groupBy(*where).cogroup(targets.groupBy(*where))
+    visitors = visits.join(parts, ["group", "block"]).select("id", "x", "group", "block", visitor_part)
+    targets = blocked.join(parts, ["group", "block"]).select("id", "x", "group", "block", block_part)
+    found = visitors.groupBy(*where).cogroup(targets.groupBy(*where))
     elsewhere = found.applyInPandas(lambda visitors, block: _nearest(visitors, block, k), _PAIR.format(kind))
     order = Window.partitionBy("id").orderBy("distance", "nn")
-    return own.unionByName(elsewhere).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = own.unionByName(elsewhere).withColumn("_rank", F.row_number().over(order))
+    return ranked.filter(F.col("_rank") <= k).drop("_rank")
+
+
+def nearest_neighbours(df: DataFrame, key: str, features: str, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
+    """``(id, nn, distance, rank)``: exact k nearest other rows by Euclidean distance.
+
+    ``features`` is an array of doubles; ties are ordered by id.  Copies are
+    searched for once: each distinct vector stands for its k+1 smallest ids,
+    which is all that any list of k neighbours can contain of it.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(features).alias("x"))
+    place = F.row_number().over(Window.partitionBy("x").orderBy("id"))  # limited before the shuffle
+    heads = rows.withColumn("_place", place).filter(F.col("_place") <= k + 1)
+    vectors = materialize(heads.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    pairs = _nearest_vectors(vectors.select(F.col("ids")[0].alias("id"), "x"), k, seed)
+    others = vectors.select(F.col("ids")[0].alias("nn"), F.col("ids").alias("_theirs"))
+    lists = pairs.join(others, "nn").groupBy("id").agg(
+        F.flatten(
+            F.collect_list(F.transform("_theirs", lambda i: F.struct(F.col("distance"), i.alias("nn"))))
+        ).alias("_others")
+    )
+    own = F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("distance"), i.alias("nn")))
+    known = vectors.join(lists, vectors["ids"][0] == lists["id"], "left").select(
+        "x", F.array_sort(F.concat(own, F.coalesce("_others", F.filter(own, lambda e: F.lit(False))))).alias("_known")
+    )
+    listed = rows.join(known, "x").withColumn(
+        "_near", F.slice(F.filter("_known", lambda e: e["nn"] != F.col("id")), 1, k)
+    )
+    return listed.select("id", F.posexplode("_near").alias("_at", "_n")).select(
+        "id", F.col("_n.nn").alias("nn"), F.col("_n.distance").alias("distance"), (F.col("_at") + 1).alias("rank")
+    )
 
 
 def smote(
-    df: DataFrame, key: str, features: str, label: str, ratio: float, k: int = NEIGHBOURS, seed: int = SEED
+    df: DataFrame, key: str, features: str, label: str, ratio: float, k: int = NEIGHBOURS, seed: int = SEED,
+    neighbours: DataFrame | None = None,
 ) -> DataFrame:
     """Synthetic minority rows that lift minority : majority to ``ratio``.
 
     Returns only the new rows: ``key`` (id of the base row and a running
     number), ``features`` and ``label``.  Each base row gets an equal share, the
     remainder goes to base rows in digest order; neighbour and position on the
-    line to it come from hashes, so a repeated run gives the same rows.
+    line to it come from hashes, so a repeated run gives the same rows.  Several
+    ratios can share the ``neighbours`` of the minority.
     """
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # one row per class
     few, many = counts.get(1, 0), counts.get(0, 0)
@@ -138,10 +171,10 @@ def smote(
         return minority.limit(0)
     share = F.lit(new // few) + (F.col("_rank") < new % few).cast("int")
     base = stratified_rank(minority, key, label, seed, "_rank").withColumn("_share", share).filter("_share > 0")
-    near = (
-        nearest_neighbours(minority, key, features, k, seed)
-        .groupBy(F.col("id").alias(key))
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "nn", "distance"))).alias("_near"))
+    if neighbours is None:
+        neighbours = nearest_neighbours(minority, key, features, k, seed)
+    near = neighbours.groupBy(F.col("id").alias(key)).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "nn", "distance"))).alias("_near")
     )
     drawn = base.join(near, key).withColumn("_no", F.explode(F.sequence(F.lit(1), F.col("_share"))))
     pick = F.pmod(F.xxhash64(key, F.lit(seed), "_no"), F.size("_near").cast("bigint")).cast("int")
