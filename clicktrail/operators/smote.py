@@ -58,10 +58,12 @@ def _nearest_vectors(rows: DataFrame, k: int, seed: int) -> DataFrame:
     """``(id, nn, distance)``: the k nearest others of distinct vectors ``(id, x)``, ties by id."""
     kind = rows.schema["id"].dataType.simpleString()
     total = rows.count()
-    wanted = max(1, min(_MAX_PIVOTS, total // _BLOCK_ROWS))
+    if total <= _BLOCK_ROWS:  # one block holds everything
+        return rows.groupBy().applyInPandas(lambda b: _nearest(b, b, k), _PAIR.format(kind))
+    wanted = min(_MAX_PIVOTS, total // _BLOCK_ROWS)
     # Bounded: at most 256 vectors reach the driver and the tasks.
     sample = rows.orderBy(seeded_digest(seed, F.col("id")), "id").limit(wanted).select("x").collect()
-    pivots = np.unique(np.array([r["x"] for r in sample], dtype=float), axis=0) if sample else np.zeros((1, 1))
+    pivots = np.array([r["x"] for r in sample], dtype=float)
 
     def place(batches):
         for batch in batches:
@@ -76,7 +78,7 @@ def _nearest_vectors(rows: DataFrame, k: int, seed: int) -> DataFrame:
     extent = placed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high"))
     groups = {r["group"]: (r["n"], r["low"], r["high"]) for r in extent.collect()}  # one row per pivot
     blocks = {g: -(-n // _BLOCK_ROWS) for g, (n, _, _) in groups.items()}
-    count = F.element_at(F.create_map(*[F.lit(v) for g, b in (blocks or {0: 1}).items() for v in (g, b)]), F.col("group"))
+    count = F.element_at(F.create_map(*[F.lit(v) for g, b in blocks.items() for v in (g, b)]), F.col("group"))
     blocked = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), count.cast("bigint")).cast("int"))
 
     own = blocked.groupBy("group", "block").applyInPandas(lambda b: _nearest(b, b, k), _PAIR.format(kind))
