@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicktrail.operators.rows import append
+from clicktrail.spark import materialize
 
 _BUCKETS = 256
 
@@ -80,27 +81,18 @@ def _ranked_scores(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Area under the ROC curve, ties counted half; NULL when a class is empty.  One row."""
-    ranked = _ranked_scores(df, label, score)
+def _area(ranked: DataFrame) -> DataFrame:
     # A positive beats every negative with a lower score and half of those with its own.
     beaten = F.sum(F.col("neg").cast("double") * (F.col("tps") - F.col("pos")) + F.col("pos") * F.col("neg") / 2.0)
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return ranked.agg((beaten / F.nullif(pairs, F.lit(0.0))).alias("auc"))
 
 
-def roc_curve(df: DataFrame, label: str = "label", score: str = "score", drop_intermediate: bool = True) -> DataFrame:
-    """Points ``(threshold, fpr, tpr)`` of the ROC curve.
-
-    The curve starts at (0, 0) with a threshold one above the highest score.
-    Points on a straight line between their neighbours are left out unless
-    ``drop_intermediate`` is off.
-    """
-    ranked = _ranked_scores(df, label, score)
-    totals = df.filter(F.col(score).isNotNull()).agg(
-        F.nullif(F.count_if(F.col(label) == 1), F.lit(0)).alias("p"),
-        F.nullif(F.count_if(F.col(label) == 0), F.lit(0)).alias("n"),
-        (F.max(F.col(score).cast("double")) + 1).alias("top"),
+def _curve(ranked: DataFrame, drop_intermediate: bool) -> DataFrame:
+    totals = ranked.agg(
+        F.nullif(F.sum("pos"), F.lit(0)).alias("p"),
+        F.nullif(F.sum("neg"), F.lit(0)).alias("n"),
+        (F.max("score") + 1).alias("top"),
     )
     if drop_intermediate:
         corner = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
@@ -113,12 +105,28 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", drop_in
     return append(start, points)
 
 
+def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Area under the ROC curve, ties counted half; NULL when a class is empty.  One row."""
+    return _area(_ranked_scores(df, label, score))
+
+
+def roc_curve(df: DataFrame, label: str = "label", score: str = "score", drop_intermediate: bool = True) -> DataFrame:
+    """Points ``(threshold, fpr, tpr)`` of the ROC curve.
+
+    The curve starts at (0, 0) with a threshold one above the highest score.
+    Points on a straight line between their neighbours are left out unless
+    ``drop_intermediate`` is off.
+    """
+    return _curve(_ranked_scores(df, label, score), drop_intermediate)
+
+
 def compare_models(scored: dict, label: str = "label", score: str = "score") -> DataFrame:
-    """ROC points and AUC of several models in one table."""
+    """ROC points and AUC of several models in one table; each model's scores are ranked once."""
     curves = []
     for name, df in scored.items():
-        area = auc(df, label, score).select("auc").scalar()
-        curves.append(roc_curve(df, label, score).select(F.lit(name).alias("model"), "*", F.round(area, 4).alias("auc")))
+        ranked = materialize(_ranked_scores(df, label, score))
+        area = _area(ranked).scalar()
+        curves.append(_curve(ranked, True).select(F.lit(name).alias("model"), "*", F.round(area, 4).alias("auc")))
     return append(*curves)
 
 

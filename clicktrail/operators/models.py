@@ -7,9 +7,11 @@ and materialised once per fold and ratio, not per candidate.
 
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clicktrail.operators.evaluation import binary_metrics
-from clicktrail.operators.sampling import FOLDS, SEED, assign_folds, with_balanced_weight
+from clicktrail.operators.sampling import FOLDS, SEED, assign_folds, weight_column, with_balanced_weight
 from clicktrail.operators.smote import NEIGHBOURS, RATIOS, nearest_neighbours, smote
 from clicktrail.operators.transforms import Scaler, standard_scale
 from clicktrail.spark import materialize
@@ -159,6 +161,19 @@ def draw_candidates(grid: dict, n: int, seed: int = 1) -> list:
     return random.Random(seed).sample(every, min(n, len(every)))
 
 
+def _params(candidate: dict) -> dict:
+    return {name: v for name, v in candidate.items() if name != "ratio"}
+
+
+def _f1(kind: str, train: DataFrame, held: DataFrame, params: dict) -> float:
+    return float(binary_metrics(predict(FITS[kind](train, **params), held)).first()["f1"])
+
+
+def _in_threads(function, items, parallelism: int) -> list:
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        return list(pool.map(inheritable_thread_target(function), items))
+
+
 @dataclass(frozen=True)
 class Search:
     results: DataFrame
@@ -168,12 +183,13 @@ class Search:
 
 def random_search(
     train: DataFrame, key: str, columns, label: str, kind: str,
-    grid: dict | None = None, n_iter: int | None = None, folds: int = FOLDS, seed: int = SEED, fixed: dict | None = None,
+    grid: dict | None = None, n_iter: int | None = None, folds: int = FOLDS, seed: int = SEED, fixed: dict | None = None, parallelism: int = 4,
 ) -> Search:
     """Cross-validated search for the best F1 of class 1, refitted on all of train.
 
     ``results`` has one row per candidate and fold:
-    ``(candidate, ratio, params, fold, f1, mean_f1)``.
+    ``(candidate, ratio, params, fold, f1, mean_f1)``.  Candidates of a fold are
+    fitted ``parallelism`` at a time, each fit being a Spark job of its own.
     """
     candidates = draw_candidates(grid or GRIDS[kind], n_iter or CANDIDATES[kind])
     fixed = fixed or {}
@@ -185,18 +201,14 @@ def random_search(
         held = materialize(_vectors(scaler.apply(check), columns, label))
         for ratio in sorted({c["ratio"] for c in candidates}):
             balanced = _balance(rows, neighbours, ratio, NEIGHBOURS, seed)
-            for number, candidate in enumerate(candidates):
-                if candidate["ratio"] == ratio:
-                    params = {name: v for name, v in candidate.items() if name != "ratio"}
-                    model = FITS[kind](balanced, **params, **fixed)
-                    f1 = binary_metrics(predict(model, held)).first()["f1"]
-                    scores.append((number, float(ratio), str(params), fold, float(f1)))
+            tried = [(n, c) for n, c in enumerate(candidates) if c["ratio"] == ratio]
+            f1s = _in_threads(lambda entry: _f1(kind, balanced, held, {**_params(entry[1]), **fixed}), tried, parallelism)
+            scores += [(n, float(ratio), str(_params(c)), fold, f1) for (n, c), f1 in zip(tried, f1s)]
     mean = {n: sum(s[4] for s in scores if s[0] == n) / folds for n in range(len(candidates))}
     best = candidates[max(mean, key=lambda n: (mean[n], -n))]
     schema = "candidate int, ratio double, params string, fold int, f1 double, mean_f1 double"
     results = train.sparkSession.createDataFrame([(*s, mean[s[0]]) for s in scores], schema)
-    params = {name: v for name, v in best.items() if name != "ratio"}
-    trained = train_pipeline(folded, key, columns, label, kind, best["ratio"], seed=seed, **params, **fixed)
+    trained = train_pipeline(folded, key, columns, label, kind, best["ratio"], seed=seed, **_params(best), **fixed)
     return Search(results, best, trained)
 
 
@@ -224,8 +236,6 @@ def fit_graph_classifier(readout: DataFrame, columns, label: str = "label", hidd
         return MultilayerPerceptronClassifier(**_COLUMNS, layers=layers, maxIter=100, seed=seed).fit(rows)
     if weights is None:
         return fit_lr(rows)
-    from clicktrail.operators.sampling import weight_column
-
     weighted = rows.withColumn("weight", weight_column(weights, "label"))
     return LogisticRegression(**_COLUMNS, weightCol="weight", standardization=True).fit(weighted)
 

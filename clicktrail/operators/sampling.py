@@ -16,7 +16,7 @@ from clicktrail import schemas as S
 from clicktrail.functions.text import copy_suffix, oversample_rate, seeded_digest
 from clicktrail.operators.features import class_ratio
 
-# Sizes, share, seed, number of folds and divisor of the reference job.
+# Sizes, share, seed, number of folds and copy divisor.
 TRAIN_SIZE, TEST_SIZE = 100_000, 50_000
 VALIDATION_SHARE = 0.3
 SEED = 42

@@ -78,6 +78,8 @@ FEATURES = {
     "average_value_of_carts": T.DoubleType(),
 }
 
+DURATIONS = ["session_length", "max_time_between_two_events"]
+
 SESSIONS = T.StructType(
     [
         T.StructField(USER, T.LongType()),

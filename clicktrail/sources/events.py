@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from clicktrail import schemas as S
 from clicktrail.functions.calendar import parse_event_time
+from clicktrail.functions.durations import parse_timedelta
 
 
 def _read(spark: SparkSession, path, fmt: str) -> DataFrame:
@@ -27,6 +28,9 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
         column = F.col(field.name)
         if isinstance(field.dataType, T.TimestampNTZType) and isinstance(source, T.StringType):
             casts[field.name] = parse_event_time(column)
+        elif field.name in S.DURATIONS and isinstance(source, T.StringType):
+            # Either microseconds or a text such as "0 days 00:12:30".
+            casts[field.name] = F.coalesce(column.try_cast("bigint"), parse_timedelta(column))
         else:
             casts[field.name] = column.try_cast(field.dataType)
     return df.withColumns(casts) if casts else df

@@ -125,3 +125,11 @@ def test_null_profile_and_types(spark):
     df = spark.createDataFrame([(1, None, True), (2, "a", None)], "a int, b string, c boolean")
     assert {(r.column, r.nulls) for r in rows.null_profile(df).collect()} == {("b", 1), ("c", 1)}
     assert rows.columns_by_type(df, "numeric") == ["a"]
+
+
+def test_session_file_with_duration_texts(spark):
+    path = new_path(spark, "texts")
+    df = spark.createDataFrame([("1", "0 days 00:12:30", "5"), ("2", "1 days 00:00:01", "6")], "user_id string, session_length string, max_time_between_two_events string")
+    io.write_table(df, path, "csv")
+    got = io.read_sessions(spark, path).orderBy("user_id").collect()
+    assert [(r.user_id, r.session_length, r.max_time_between_two_events) for r in got] == [(1, 750_000_000, 5), (2, 86_401_000_000, 6)]
