@@ -24,7 +24,9 @@ def graph_events(events: DataFrame) -> DataFrame:
     """Events a graph is made of: no purchases, a copy number, type flags and the pause before each."""
     kept = drop_event_types(events, ["purchase"])
     if "copy_no" not in kept.columns:
-        kept = kept.withColumn("copy_no", F.lit(0))
+        # Sessions count from 0, so this is 0.  A literal would be folded out of some partitionings
+        # and stay in others, and every step would shuffle again.
+        kept = kept.withColumn("copy_no", F.least(F.col(S.SESSION), F.lit(0)).cast("int"))
     kept = event_gaps(kept, "_gap", GRAPH_KEY)
     return kept.withColumns(
         {

@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicktrail.operators.evaluation import binary_metrics
@@ -169,9 +169,9 @@ def _f1(kind: str, train: DataFrame, held: DataFrame, params: dict) -> float:
     return float(binary_metrics(predict(FITS[kind](train, **params), held)).first()["f1"])
 
 
-def _in_threads(function, items, parallelism: int) -> list:
+def _in_threads(spark: SparkSession, function, items, parallelism: int) -> list:
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        return list(pool.map(inheritable_thread_target(function), items))
+        return list(pool.map(inheritable_thread_target(spark)(function), items))
 
 
 @dataclass(frozen=True)
@@ -202,7 +202,8 @@ def random_search(
         for ratio in sorted({c["ratio"] for c in candidates}):
             balanced = _balance(rows, neighbours, ratio, NEIGHBOURS, seed)
             tried = [(n, c) for n, c in enumerate(candidates) if c["ratio"] == ratio]
-            f1s = _in_threads(lambda entry: _f1(kind, balanced, held, {**_params(entry[1]), **fixed}), tried, parallelism)
+            fit = lambda entry: _f1(kind, balanced, held, {**_params(entry[1]), **fixed})
+            f1s = _in_threads(train.sparkSession, fit, tried, parallelism)
             scores += [(n, float(ratio), str(_params(c)), fold, f1) for (n, c), f1 in zip(tried, f1s)]
     mean = {n: sum(s[4] for s in scores if s[0] == n) / folds for n in range(len(candidates))}
     best = candidates[max(mean, key=lambda n: (mean[n], -n))]

@@ -3,7 +3,9 @@
 import re
 
 from checks import base, registry  # noqa: F401
-from clicktrail.operators import features, sessions
+from clicktrail.operators import features, graphs, sessions, smote
+from clicktrail.plans import flows
+from clicktrail.spark import materialize
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -47,3 +49,34 @@ def test_no_python_rows_in_the_hot_path(spark):
     for name in ("session_table", "propagate_item_graph", "roc_curve", "correlation_matrix"):
         text = plan(base.QUERIES[name](spark, FOLDER))
         assert "Python" not in text and "InPandas" not in text, name
+
+
+def test_graph_rounds_shuffle_once_per_scan(spark):
+    """Six rounds, readout and labels: each scan of the events is shuffled by the graph key, nothing else moves."""
+    events = materialize(base.labelled(spark, FOLDER))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(flows.graph_readouts(graphs.graph_events(events), "item"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert text.count("Exchange hashpartitioning") == text.count("FileScan") == 3
+
+
+def test_copies_are_limited_before_the_shuffle(spark, monkeypatch):
+    seen = []
+
+    def stop(df, *args):
+        seen.append(plan(df))
+        raise StopIteration
+
+    monkeypatch.setattr(smote, "materialize", stop)
+    df = spark.createDataFrame([("a", [1.0]), ("b", [1.0])], "id string, x array<double>")
+    try:
+        smote.nearest_neighbours(df, "id", "x")
+    except StopIteration:
+        pass
+    lines = seen[0].splitlines()
+    limits = [i for i, l in enumerate(lines) if "WindowGroupLimit" in l]
+    first_exchange = max(i for i, l in enumerate(lines) if "Exchange hashpartitioning" in l)  # lowest in the tree
+    assert min(limits) < first_exchange < max(limits)
