@@ -1,14 +1,20 @@
 """Session settings and the shared folder for intermediate tables."""
 
 import functools
+import os
+import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings the library is designed for.  Partition sizes are left to adaptive
-#: execution: it coalesces small partitions and splits skewed ones.
+#: Settings the library is designed for.  Adaptive execution coalesces small partitions and splits skewed ones, but
+#: never raises the number it starts from, so that number is high.  Per-session sets are small: aggregates over
+#: them stay hashed for more groups than the default before they fall back to sorting.
 SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4000",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -21,9 +27,27 @@ def session(master: str | None = None, app: str = "clicktrail", **extra) -> Spar
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    settings = {**SETTINGS, **extra}
+    if "spark.sql.shuffle.partitions" in extra:  # whoever names a number of partitions means it
+        settings.pop("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+@functools.cache
+def _ship(application: str) -> None:
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="clicktrail-zip-")
+    archive = shutil.make_archive(f"{folder}/clicktrail", "zip", os.path.dirname(package), os.path.basename(package))
+    SparkContext.getOrCreate().addPyFile(archive)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application; Spark serves the archive to them itself."""
+    _ship(spark.sparkContext.applicationId)
 
 
 @functools.cache
@@ -32,8 +56,19 @@ def _test_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _test_folder()
+    """The folder that all executors see: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Only a session in one process (``local[...]``, as in tests) may go without; it gets a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        set_by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = set_by_context.get() if set_by_context.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _test_folder()
+    return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
