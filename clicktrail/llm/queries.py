@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from clicktrail.llm import mixing, sharding  # noqa: F401
+from clicktrail.llm import mixing, rules, sharding, tokens, urls  # noqa: F401
 from clicktrail.llm.common import ORACLES, QUERIES  # noqa: F401
