@@ -11,7 +11,7 @@ REPEATS = 3
 #: The schedule has 2 ** BITS slots, whatever the size of the corpus; a source is off its target by a slot at most.
 BITS = 18
 #: Rows that one running sum takes; a source gets as many buckets as it needs for that.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
