@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clicktrail.llm.common import query, table
 from clicktrail.llm.wordhash import U, Words, mix, runs, slices
+from clicktrail.spark import materialize
 
 WINDOW = 50
 #: Anchors stand at the places of a text that are in the cover modulo the period.
@@ -179,7 +180,7 @@ def _kept_rows(window: int, with_text: bool):
             columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))] if out else []
             if out:
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns][: 5 if with_text else 4], names[: 5 if with_text else 4])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *columns][: 5 if with_text else 4], names[: 5 if with_text else 4])
 
     return run
 
@@ -202,18 +203,17 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, wit
     """
     text = F.coalesce("text", F.lit(""))
     hashed = docs.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
         F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"), text.alias("text"),
     )
     own = hashed.select("id", "h1", "h2").distinct()
     lowest = own.groupBy("h1", "h2").agg(F.min("id").alias("lowest"))
-    named = (
-        own.join(lowest, ["h1", "h2"])
-        .withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("h1", "h2")))
-        .select("id", "h1", "h2", "copy", (F.col("lowest") < F.col("id")).alias("repeats"))
-    )
-    a, b = hashed.alias("a"), named.hint("shuffle_hash").alias("b")
-    rows = a.join(b, F.col("a.id") == F.col("b.id")).where("a.h1 = b.h1 AND a.h2 = b.h2").select("doc_id", "a.id", "copy", "repeats", "text")
+    versions = F.sort_array(F.collect_list(F.struct("h1", "h2", (F.col("lowest") < F.col("id")).alias("repeats"))))
+    named = materialize(own.join(lowest, ["h1", "h2"]).groupBy("id").agg(versions.alias("versions")), "substring-versions")
+    # by id alone, so that the exchange of the texts serves all joins with them
+    mine = F.filter("versions", lambda v: (v["h1"] == F.col("h1")) & (v["h2"] == F.col("h2")))[0]
+    place = F.array_position(F.transform("versions", lambda v: F.struct(v["h1"], v["h2"])), F.struct("h1", "h2")).cast("int")
+    rows = hashed.join(named.hint("shuffle_hash"), "id").select("id", place.alias("copy"), mine["repeats"].alias("repeats"), "text")
 
     fields = "id long, copy int, pos int, sure boolean"
     by_key = Window.partitionBy("key")
@@ -225,9 +225,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, wit
     windows = around.mapInArrow(_window_rows(window, period), f"key long, second long, {fields}")
     covered = windows.withColumn("low", F.min("id").over(Window.partitionBy("key", "second"))).where("sure OR id > low")
 
-    final = rows.join(per_id(covered), "id", "left").select("doc_id", "id", "copy", "repeats", "text", "marks")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string"
-    return final.mapInArrow(_kept_rows(window, with_text), schema + ", kept string" * with_text)
+    final = rows.join(per_id(covered), "id", "left").select("id", "copy", "repeats", "text", "marks")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    return final.mapInArrow(_kept_rows(window, with_text), schema).withColumn("doc_id", F.when(F.col("doc_id") < _LAST, F.col("doc_id")))
 
 
 @query("op3_substring_dedup")
