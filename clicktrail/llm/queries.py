@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from clicktrail.llm import decontamination, mixing, neighbours, quality, rules, sharding, substrings, tokens, urls  # noqa: F401
+from clicktrail.llm import decontamination, mixing, neighbours, quality, rules, secrets, sharding, substrings, tokens, urls  # noqa: F401
 from clicktrail.llm.common import ORACLES, QUERIES  # noqa: F401
