@@ -1,27 +1,57 @@
-"""The corpus pipeline: quality, near duplicates, benchmark leaks, mixing, shards."""
+"""The corpus pipeline: quality, near duplicates, benchmark leaks, mixing, shards.
 
-from pyspark.sql import DataFrame, SparkSession
+Each stage takes the table that the stage before it has written and returns it with its own decisions carried out; all but
+the last return the columns of ``documents``.
+"""
 
-from clicktrail.llm import mixing, sharding
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from clicktrail.llm import decontamination, mixing, neighbours, quality, sharding
+from clicktrail.llm.common import table
 from clicktrail.spark import materialize
 
 
-def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+def good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the factorisation machine, fitted on the labelled ones among them, does not reject."""
+    machine = quality.train(docs, table(spark, folder, "labels"))
+    return quality.score(docs, machine).where("score >= 0.5").select("row.*")
+
+
+def different(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id; of rows that share an id, one."""
+    stay = (
+        neighbours.near(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(F.col("doc_id").alias("own")).distinct()
+    )
+    kept = docs.join(stay.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(stay["own"]), "left_semi")
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
+    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def unseen(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontamination.clean(docs, table(spark, folder, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
     return mixing.mixed(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The shard and slot of every document of the mix."""
     return sharding.shard(docs)
 
 
-STAGES = [("mix", mix), ("shards", shards)]
+STAGES = [("quality", good), ("near duplicates", different), ("decontamination", unseen), ("mixing", mixture), ("sharding", shards)]
 
-#: The quality model and the near-duplicate groups are beyond SQL; the tests hold the stages against brute force.
+#: The classifier and the groups of near duplicates are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = table(spark, folder, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, folder), f"pipeline-{name}")
+        docs = materialize(stage(spark, docs, folder), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, folder)
