@@ -84,7 +84,7 @@ c AS (
   SELECT event_id, ts AS event_time,
          CASE event_type WHEN 'click' THEN 'cart' ELSE event_type END AS event_type,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id,
-         user_id, CAST(value AS DECIMAL(12,2)) AS price,
+         user_id, CAST(value AS DECIMAL(24,6)) AS price,
          CASE WHEN event_id % 97 = 0 THEN NULL ELSE CAST(event_id AS VARCHAR) END AS user_session
   FROM events),
 clicks AS (

@@ -375,15 +375,15 @@ def _model(name, kind, **params):
 
 
 _model("logistic_regression", "logistic_regression", C=1.0, penalty="l2")
-_model("decision_tree", "decision_tree", max_depth=6)
-_model("random_forest", "random_forest", n_estimators=20, max_depth=6)
-_model("gradient_boosting", "gradient_boosting", n_estimators=10, max_depth=3, subsample=0.7)
+_model("decision_tree", "decision_tree")
+_model("random_forest", "random_forest", n_estimators=100)
+_model("gradient_boosting", "gradient_boosting", n_estimators=100, max_depth=3, subsample=0.7)
 
 
 def _small_search(spark, folder):
     train, test, columns = model_tables(spark, folder)
     grid = {"C": [0.01, 1.0], "penalty": ["l2"], "ratio": [0.3, 0.5]}
-    return models.random_search(train, "id", columns, "purchase_session", "logistic_regression", grid, 2, folds=3, fixed={"max_iter": 20})
+    return models.random_search(train, "id", columns, "purchase_session", "logistic_regression", grid)
 
 
 @check("random_search_results")
@@ -396,20 +396,24 @@ def score_by_ratio(spark, folder):
     return models.score_by_param(_small_search(spark, folder).results)
 
 
-def _graph_scores(name, kind, hops=2, hidden=None):
+def _graph_scores(name, kind, network=False):
     @check(name)
     def graph_scores(spark, folder):
+        """Scores of the test graphs; six rounds, the network chosen by its AUC on the validation graphs."""
         events, sessions = split_tables(spark, folder)
         frames = flows.graph_frames(events, sessions)
         lengths = sessions if kind == "item" else None
         features = {"event": graphs.EVENT_FEATURES, "item": graphs.ITEM_FEATURES}[kind]
-        columns = graphs.readout_names(features, hops) + (["session_length"] if kind == "item" else [])
-        train = materialize(flows.graph_readouts(frames["train"], kind, hops, lengths))
-        model = models.fit_graph_classifier(train, columns, hidden=hidden, weights=None if hidden else {0: 1.0, 1: 2.0})
-        test = flows.graph_readouts(frames["test"], kind, hops, lengths)
-        return models.score_graphs(model, test, columns, keep=graphs.GRAPH_KEY)
+        columns = graphs.readout_names(features) + (["session_length"] if kind == "item" else [])
+        readout = {part: materialize(flows.graph_readouts(frames[part], kind, sessions=lengths))
+                   for part in ("train", "test", *["validation"] * network)}
+        if network:
+            model = models.choose_graph_classifier(readout["train"], readout["validation"], columns)
+        else:
+            model = models.fit_graph_classifier(readout["train"], columns, weights={0: 1.0, 1: 2.0})
+        return models.score_graphs(model, readout["test"], keep=graphs.GRAPH_KEY)
 
 
 _graph_scores("event_graph_classifier", "event")
 _graph_scores("item_graph_classifier", "item")
-_graph_scores("item_graph_network", "item", hidden=8)
+_graph_scores("item_graph_network", "item", network=True)

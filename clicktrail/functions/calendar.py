@@ -22,8 +22,9 @@ def _texts(values) -> Column:
 def parse_event_time(text: Column) -> Column:
     """Time without zone from ``2020-01-31 10:11:12 UTC`` or a plain time text.
 
-    The zone is dropped after conversion to UTC, so the session time zone must
-    be UTC; unreadable text gives NULL.
+    A zone after a space is converted, in a session whose time zone is UTC; an offset that
+    is part of the time, as in ``10:11:12+05:00``, is dropped and the clock time stays.
+    Unreadable text gives NULL.
     """
     zoned = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS] z")).cast("timestamp_ntz")
     return F.coalesce(text.try_cast("timestamp_ntz"), zoned)

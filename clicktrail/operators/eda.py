@@ -45,7 +45,7 @@ def kde(df: DataFrame, column: str, low: float, high: float, points: int = GRID_
 
     Equal values are counted first.  Each distinct value then adds to every
     grid point through a generated array and a partial aggregate, so what is
-    shuffled is one row per grid point and task.
+    shuffled is one row per grid point and task.  A constant column has no density: NULL at every point.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
     counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("w"))
@@ -55,7 +55,7 @@ def kde(df: DataFrame, column: str, low: float, high: float, points: int = GRID_
     )
     step = (high - low) / (points - 1)
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(float(low)) + i * F.lit(step))
-    kernel = F.exp(F.lit(-0.5) * F.pow((F.col("x") - F.col("v")) / F.col("h"), 2))
+    kernel = F.exp(F.lit(-0.5) * F.pow((F.col("x") - F.col("v")) / F.nullif(F.col("h"), F.lit(0.0)), 2))
     spread_columns = counted.withColumns({"h": spread.select("h").scalar(), "n": spread.select("n").scalar()})
     terms = spread_columns.withColumn("x", F.explode(grid)).groupBy("x").agg(
         F.sum(F.col("w") * kernel).alias("total"), F.first("h").alias("h"), F.first("n").alias("n")

@@ -1,13 +1,15 @@
 """Evaluation of binary classifiers from rows of label, prediction and score."""
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicktrail.operators.rows import append
 from clicktrail.spark import materialize
 
-_BUCKETS = 256
+
+def _present(column: Column, what: str) -> Column:
+    """The column; a row without a value fails the job instead of leaving some measures and not others."""
+    return F.when(column.isNull(), F.raise_error(F.lit(f"a row has no {what}"))).otherwise(column)
 
 
 def confusion_counts(label: Column, predicted: Column) -> dict:
@@ -26,8 +28,8 @@ def confusion(df: DataFrame, label: str = "label", score: str = "score") -> Data
 
 
 def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Accuracy, F1, precision and recall of class 1; 0 where undefined.  One row."""
-    c = confusion_counts(F.col(label), F.col(prediction))
+    """Accuracy, F1, precision and recall of class 1; 0 where undefined.  One row.  A missing label or prediction fails."""
+    c = confusion_counts(_present(F.col(label), "label"), _present(F.col(prediction), "prediction"))
 
     def ratio(top, bottom):
         return F.coalesce(top / F.nullif(bottom, F.lit(0)), F.lit(0.0))
@@ -43,19 +45,14 @@ def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "predi
 def _ranked_scores(df: DataFrame, label: str, score: str) -> DataFrame:
     """Distinct scores with their positives, negatives and running totals from the highest score down.
 
-    Equal scores are collapsed first.  Approximate quantiles of the distinct
-    scores only place bucket borders; the sums are exact: running totals inside
-    each bucket plus the totals of the buckets above, of which there are at
-    most 256.  ``next_pos``/``next_neg`` are the counts at the next lower score.
+    Equal scores are collapsed first, then range partitioned and written once.  Running totals inside a partition
+    go on from the totals of the partitions above, of which there is one row each.  A missing label or score fails.
+    ``next_pos``/``next_neg`` are the counts at the next lower score.
     """
-    collapsed = df.groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-    ).filter("score IS NOT NULL")
-    shares = [i / _BUCKETS for i in range(1, _BUCKETS)]
-    borders = sorted(set(collapsed.approxQuantile("score", shares, 0.5 / _BUCKETS)))
-    splits = [float("-inf"), *borders, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(collapsed)
-    down = Window.orderBy(F.desc("bucket"))  # over one row per bucket
+    label, score = _present(F.col(label), "label"), _present(F.col(score).cast("double"), "score")
+    collapsed = df.groupBy(score.alias("score")).agg(F.count_if(label == 1).alias("pos"), F.count_if(label == 0).alias("neg"))
+    bucketed = materialize(collapsed.repartitionByRange(F.desc("score")).withColumn("bucket", F.spark_partition_id()), "scores")
+    down = Window.orderBy("bucket")  # over one row per partition
     above = down.rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy("bucket").agg(
         F.sum("pos").alias("_pos"),

@@ -22,10 +22,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.operators.evaluation import binary_metrics
+from clicktrail.operators.evaluation import auc, binary_metrics
 from clicktrail.operators.sampling import FOLDS, SEED, assign_folds, weight_column, with_balanced_weight
 from clicktrail.operators.smote import NEIGHBOURS, RATIOS, nearest_neighbours, smote
-from clicktrail.operators.transforms import Scaler, standard_scale
+from clicktrail.operators.transforms import Scaler, quoted, standard_scale
 from clicktrail.spark import materialize
 
 # Search grids and the number of candidates drawn from each.
@@ -59,13 +59,23 @@ GRIDS = {
 }
 CANDIDATES = {"logistic_regression": 100, "decision_tree": 100, "random_forest": 100, "gradient_boosting": 3}
 
+#: Trees grow until their leaves are small or pure; this is as deep as MLlib allows.
+MAX_DEPTH = 30
+
 _COLUMNS = dict(featuresCol="features", labelCol="label")
 
 
+def _weighted(train: DataFrame):
+    """Rows with their balanced class weight, and how many they are; counted once per table (see ``_balance``)."""
+    if hasattr(train, "_weighted"):
+        return train._weighted
+    return with_balanced_weight(train, "label"), train.count()
+
+
 def fit_lr(train: DataFrame, C: float = 1.0, penalty: str = "l2", max_iter: int = 100):
     """Class-weighted logistic regression; the intercept is not penalised."""
-    weighted = with_balanced_weight(train, "label")
-    strength = 1.0 / (C * weighted.count())
+    weighted, n = _weighted(train)
+    strength = 1.0 / (C * n)
     mix = {"l1": 1.0, "l2": 0.0}[penalty]
     return LogisticRegression(
         **_COLUMNS, weightCol="weight", regParam=strength, elasticNetParam=mix, standardization=False, maxIter=max_iter
@@ -73,21 +83,21 @@ def fit_lr(train: DataFrame, C: float = 1.0, penalty: str = "l2", max_iter: int
 
 
 def _forest(train, criterion, max_features, min_samples_leaf, max_depth, seed, **options):
-    weighted = with_balanced_weight(train, "label")
-    leaf = max(1, math.ceil(min_samples_leaf * weighted.count()))
+    weighted, n = _weighted(train)
+    leaf = max(1, math.ceil(min_samples_leaf * n))
     return RandomForestClassifier(
         **_COLUMNS, weightCol="weight", impurity=criterion, featureSubsetStrategy=max_features,
         minInstancesPerNode=leaf, maxDepth=max_depth, seed=seed, **options,
     ).fit(weighted)
 
 
-def fit_tree(train: DataFrame, criterion="gini", max_features="sqrt", min_samples_leaf=0.0001, max_depth=12, seed=SEED):
+def fit_tree(train: DataFrame, criterion="gini", max_features="sqrt", min_samples_leaf=0.0001, max_depth=MAX_DEPTH, seed=SEED):
     """One class-weighted tree with a feature subset per node."""
     return _forest(train, criterion, max_features, min_samples_leaf, max_depth, seed, numTrees=1, bootstrap=False)
 
 
 def fit_forest(
-    train: DataFrame, criterion="gini", n_estimators=100, max_features="sqrt", min_samples_leaf=0.0001, max_depth=12, seed=SEED
+    train: DataFrame, criterion="gini", n_estimators=100, max_features="sqrt", min_samples_leaf=0.0001, max_depth=MAX_DEPTH, seed=SEED
 ):
     return _forest(train, criterion, max_features, min_samples_leaf, max_depth, seed, numTrees=n_estimators)
 
@@ -125,7 +135,7 @@ class Trained:
 
 
 def _vectors(df: DataFrame, columns, label: str, keep=()) -> DataFrame:
-    features = array_to_vector(F.array(*[F.col(c).cast("double") for c in columns]))
+    features = array_to_vector(F.array(*[F.col(quoted(c)).cast("double") for c in columns]))
     return df.select(*keep, F.col(label).cast("int").alias("label"), features.alias("features"))
 
 
@@ -136,7 +146,7 @@ def _scale(train: DataFrame, key: str, columns, label: str, k: int, seed: int):
         scaler.apply(train).select(
             F.col(key).cast("string").alias("_id"),
             F.col(label).cast("int").alias("label"),
-            F.array(*[F.col(c) for c in columns]).alias("x"),
+            F.array(*[F.col(quoted(c)) for c in columns]).alias("x"),
         )
     )
     return scaler, rows, materialize(nearest_neighbours(rows.filter("label = 1"), "_id", "x", k, seed))
@@ -144,7 +154,9 @@ def _scale(train: DataFrame, key: str, columns, label: str, k: int, seed: int):
 
 def _balance(rows: DataFrame, neighbours: DataFrame, ratio: float, k: int, seed: int) -> DataFrame:
     added = smote(rows, "_id", "x", "label", ratio, k, seed, neighbours)
-    return materialize(rows.unionByName(added).select("label", array_to_vector("x").alias("features")))
+    balanced = materialize(rows.unionByName(added).select("label", array_to_vector("x").alias("features")))
+    balanced._weighted = materialize(with_balanced_weight(balanced, "label")), balanced.count()  # every candidate fits on these
+    return balanced
 
 
 def train_pipeline(
@@ -191,7 +203,7 @@ def random_search(
     ``(candidate, ratio, params, fold, f1, mean_f1)``.  Candidates of a fold are
     fitted ``parallelism`` at a time, each fit being a Spark job of its own.
     """
-    candidates = draw_candidates(grid or GRIDS[kind], n_iter or CANDIDATES[kind])
+    candidates = draw_candidates(grid or GRIDS[kind], n_iter or CANDIDATES[kind], seed)
     fixed = fixed or {}
     folded = materialize(assign_folds(train, key, label, folds, seed))
     scores = []
@@ -226,20 +238,63 @@ def score_by_param(results: DataFrame, param: str = "ratio", score: str = "f1")
     return results.groupBy(param).agg(F.avg(score).alias("mean_test_score"))
 
 
-def fit_graph_classifier(readout: DataFrame, columns, label: str = "label", hidden: int | None = None, weights=None, seed: int = SEED):
+@dataclass(frozen=True)
+class GraphClassifier:
+    """A classifier on graph readouts with the scaling fitted for it.
+
+    Readouts are sums over graphs of any size, so they are long-tailed: they are squashed by a signed logarithm first,
+    then scaled to zero mean and unit deviation on the training graphs.
+    """
+
+    scaler: Scaler
+    columns: tuple
+    model: object
+
+    @staticmethod
+    def squashed(df: DataFrame, columns) -> DataFrame:
+        number = {c: F.col(quoted(c)).cast("double") for c in columns}
+        return df.withColumns({c: F.signum(x) * F.log1p(F.abs(x)) for c, x in number.items()})
+
+    def rows(self, readout: DataFrame, label: str, keep=()) -> DataFrame:
+        return _vectors(self.scaler.apply(self.squashed(readout, self.columns)), self.columns, label, keep)
+
+
+def fit_graph_classifier(
+    readout: DataFrame, columns, label: str = "label", hidden: int | None = None, weights=None, max_iter: int = 100, seed: int = SEED
+) -> GraphClassifier:
     """Classifier on graph readouts: weighted logistic regression, or a hidden layer.
 
     The network takes no weights; balance its input by replication instead.
     """
-    rows = _vectors(readout, columns, label)
+    flat = GraphClassifier.squashed(readout, columns)
+    fitted = GraphClassifier(standard_scale(flat, columns), tuple(columns), None)
+    rows = materialize(fitted.rows(readout, label))
     if hidden:
         layers = [len(columns), hidden, 2]
-        return MultilayerPerceptronClassifier(**_COLUMNS, layers=layers, maxIter=100, seed=seed).fit(rows)
-    if weights is None:
-        return fit_lr(rows)
-    weighted = rows.withColumn("weight", weight_column(weights, "label"))
-    return LogisticRegression(**_COLUMNS, weightCol="weight", standardization=True).fit(weighted)
+        model = MultilayerPerceptronClassifier(**_COLUMNS, layers=layers, maxIter=max_iter, seed=seed).fit(rows)
+    elif weights is None:
+        model = fit_lr(rows, max_iter=max_iter)
+    else:
+        weighted = rows.withColumn("weight", weight_column(weights, "label"))
+        model = LogisticRegression(**_COLUMNS, weightCol="weight", standardization=True, maxIter=max_iter).fit(weighted)
+    return GraphClassifier(fitted.scaler, fitted.columns, model)
+
+
+def choose_graph_classifier(
+    train: DataFrame, validation: DataFrame, columns, label: str = "label", hidden=(4, 8, 16), iterations=(20, 60), seed: int = SEED
+) -> GraphClassifier:
+    """The network whose width and number of iterations give the highest AUC on the validation graphs.
+
+    Few iterations are the stop against overfitting; ties go to the smaller network and the shorter training.
+    """
+    best = (-1.0, None)
+    for width, steps in product(hidden, iterations):
+        model = fit_graph_classifier(train, columns, label, width, max_iter=steps, seed=seed)
+        area = auc(score_graphs(model, validation, columns, label)).first()["auc"]
+        if best[1] is None or (area is not None and area > best[0] + 1e-12):
+            best = (-1.0 if area is None else area, model)
+    return best[1]
 
 
-def score_graphs(model, readout: DataFrame, columns, label: str = "label", keep=()) -> DataFrame:
-    return predict(model, _vectors(readout, columns, label, keep), keep)
+def score_graphs(model: GraphClassifier, readout: DataFrame, columns=None, label: str = "label", keep=()) -> DataFrame:
+    return predict(model.model, model.rows(readout, label, keep), keep)

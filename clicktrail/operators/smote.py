@@ -6,6 +6,9 @@ size by hash, so that a dense region fills more blocks instead of one.  A row fi
 block, which bounds the distance to its k-th neighbour.  It then visits only
 blocks of groups that the triangle inequality cannot rule out, and keeps k
 candidates per block.  The result is exact.
+
+In many dimensions the triangle inequality rules out little, and every block is visited.  The work then grows with
+rows times blocks, so the search is for labelled minorities of up to ``MAX_ROWS`` distinct vectors and raises beyond.
 """
 
 import numpy as np
@@ -22,6 +25,8 @@ NEIGHBOURS = 5
 # Minority to majority ratios after adding synthetic rows.
 RATIOS = (0.2, 0.3, 0.5)
 
+#: Distinct vectors that the exact search takes at most.
+MAX_ROWS = 2_000_000
 _MAX_PIVOTS = 256
 _BLOCK_ROWS = 2048
 _VISITORS = 32_768
@@ -43,14 +48,20 @@ def _nearest(query: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
     ids = block["id"].to_numpy(dtype=object)
     points = np.stack(block["x"].to_numpy()) if len(block) else None
     found, near, far = [], [], []
-    for key, x in zip(query["id"], query["x"] if len(block) else ()):
-        distance = np.sqrt(((points - x) ** 2).sum(axis=1))
-        distance[ids == key] = np.inf
-        best = np.argsort(distance, kind="stable")[:k]
-        best = best[np.isfinite(distance[best])]
-        found += [key] * len(best)
-        near += list(ids[best])
-        far += list(distance[best])
+    asking = query["id"].to_numpy(dtype=object)
+    vectors = np.stack(query["x"].to_numpy()) if len(query) and len(block) else np.zeros((0, 0))
+    step = max(1, 4_000_000 // max(1, len(block) * (vectors.shape[1] if vectors.size else 1)))
+    for at in range(0, len(vectors), step):
+        some, keys = vectors[at:at + step], asking[at:at + step]
+        # differences, not products: equal distances stay equal
+        distance = np.sqrt(((points[None, :, :] - some[:, None, :]) ** 2).sum(axis=2))
+        distance[ids[None, :] == keys[:, None]] = np.inf
+        best = np.argsort(distance, axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(distance, best, axis=1)
+        use = np.isfinite(value)
+        found += list(np.repeat(keys, use.sum(axis=1)))
+        near += list(ids[best[use]])
+        far += list(value[use])
     return pd.DataFrame({"id": _objects(found), "nn": _objects(near), "distance": pd.Series(far, dtype="float64")})
 
 
@@ -58,6 +69,8 @@ def _nearest_vectors(rows: DataFrame, k: int, seed: int) -> DataFrame:
     """``(id, nn, distance)``: the k nearest others of distinct vectors ``(id, x)``, ties by id."""
     kind = rows.schema["id"].dataType.simpleString()
     total = rows.count()
+    if total > MAX_ROWS:
+        raise ValueError(f"{total} distinct vectors; the exact neighbour search takes {MAX_ROWS}")
     if total <= _BLOCK_ROWS:  # one block holds everything
         return rows.groupBy().applyInPandas(lambda b: _nearest(b, b, k), _PAIR.format(kind))
     wanted = min(_MAX_PIVOTS, total // _BLOCK_ROWS)
@@ -69,7 +82,8 @@ def _nearest_vectors(rows: DataFrame, k: int, seed: int) -> DataFrame:
         for batch in batches:
             if len(batch) == 0:
                 continue
-            away = np.stack([np.sqrt(((pivots - x) ** 2).sum(axis=1)) for x in batch["x"]])
+            points = np.stack(batch["x"].to_numpy())
+            away = np.sqrt(((pivots[None, :, :] - points[:, None, :]) ** 2).sum(axis=2))
             group = away.argmin(axis=1)
             nearest = pd.Series(away[np.arange(len(batch)), group])
             yield pd.DataFrame({"id": _objects(batch["id"]), "x": _objects(batch["x"]), "group": group, "away": nearest})
@@ -89,15 +103,19 @@ def _nearest_vectors(rows: DataFrame, k: int, seed: int) -> DataFrame:
 
     def visit(batches):
         for batch in batches:
+            if len(batch) == 0:
+                continue
+            points, own = np.stack(batch["x"].to_numpy()), batch["group"].to_numpy()
+            away = np.sqrt(((pivots[None, :, :] - points[:, None, :]) ** 2).sum(axis=2))
+            limit = batch["bound"].to_numpy() * (1 + _SLACK) + _SLACK
+            home = away[np.arange(len(points)), own]
             plan = []
-            for i, (x, group, block, bound) in enumerate(zip(batch["x"], batch["group"], batch["block"], batch["bound"])):
-                away = np.sqrt(((pivots - x) ** 2).sum(axis=1))
-                limit = bound * (1 + _SLACK) + _SLACK
-                for g, (_, low, high) in groups.items():
-                    apart = between[group, g]
-                    past_border = (away[g] ** 2 - away[group] ** 2) / (2 * apart) if apart > 0 else 0.0
-                    if max(away[g] - high, low - away[g], past_border - _SLACK) <= limit:
-                        plan += [(i, g, b) for b in range(blocks[g]) if (g, b) != (group, block)]
+            for g, (_, low, high) in groups.items():
+                apart = between[own, g]
+                border = np.where(apart > 0, (away[:, g] ** 2 - home**2) / (2 * np.where(apart > 0, apart, 1.0)), 0.0)
+                least = np.maximum(np.maximum(away[:, g] - high, low - away[:, g]), border - _SLACK)
+                for i in np.flatnonzero(least <= limit):
+                    plan += [(int(i), g, b) for b in range(blocks[g]) if (g, b) != (own[i], batch["block"].iloc[i])]
             if plan:
                 index, to_group, to_block = map(list, zip(*plan))
                 moved = {c: _objects(batch[c].iloc[index]) for c in ("id", "x")}

@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 
 from clicktrail.operators.eda import correlation_matrix
 
+#: More levels of a column than this are an error: each becomes a column.
+MAX_LEVELS = 1000
+
+
+def quoted(name: str) -> str:
+    """A column name as Spark reads it, whatever characters are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
 # Fixed value: pairs correlated above it lose their later column.
 CORRELATION_CUT = 0.9
 
@@ -47,7 +55,7 @@ class OneHot:
 
     def apply(self, df: DataFrame) -> DataFrame:
         columns = {
-            f"{c}_{v}": F.coalesce(F.col(c).cast("string") == v, F.lit(False)).cast("int")
+            f"{c}_{v}": F.coalesce(F.col(quoted(c)).cast("string") == v, F.lit(False)).cast("int")
             for c, values in self.levels.items()
             for v in values
         }
@@ -56,9 +64,16 @@ class OneHot:
 
 
 def one_hot(df: DataFrame, columns, drop_first: bool = False, keep: bool = False) -> OneHot:
-    """Fit levels on one table (train) and use them on any other."""
-    seen = df.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in columns]).first()
-    return OneHot({c: [str(v) for v in seen[c]][int(drop_first):] for c in columns}, keep)
+    """Fit levels on one table (train) and use them on any other; more than ``MAX_LEVELS`` of a column raise."""
+    levels = {}
+    for c in columns:
+        # as many rows reach the driver as are allowed, and one more to tell
+        level = F.col(quoted(c))
+        found = [r[0] for r in df.select(level.alias("v")).where("v IS NOT NULL").distinct().orderBy("v").limit(MAX_LEVELS + 1).collect()]
+        if len(found) > MAX_LEVELS:
+            raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
+        levels[c] = [str(v) for v in found][int(drop_first):]
+    return OneHot(levels, keep)
 
 
 @dataclass(frozen=True)
@@ -69,12 +84,12 @@ class Scaler:
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.withColumns(
-            {c: (F.col(c).cast("double") - F.lit(shift)) / F.lit(scale) for c, (shift, scale) in self.parameters.items()}
+            {c: (F.col(quoted(c)).cast("double") - F.lit(shift)) / F.lit(scale) for c, (shift, scale) in self.parameters.items()}
         )
 
 
 def _scaler(df: DataFrame, columns, shift, scale) -> Scaler:
-    number = {c: F.col(c).cast("double") for c in columns}
+    number = {c: F.col(quoted(c)).cast("double") for c in columns}
     row = df.agg(*[x for c in columns for x in (shift(number[c]).alias(f"{c}_0"), scale(number[c]).alias(f"{c}_1"))]).first()
     return Scaler({c: (row[f"{c}_0"], row[f"{c}_1"] or 1.0) for c in columns})
 
@@ -90,5 +105,8 @@ def min_max(df: DataFrame, columns) -> Scaler:
 
 
 def assemble(df: DataFrame, columns, name: str = "features") -> DataFrame:
-    numbers = df.withColumns({c: F.col(c).cast("double") for c in columns})
-    return VectorAssembler(inputCols=list(columns), outputCol=name).transform(numbers)
+    # plain names for the assembler, which does not read quoted ones
+    plain = [f"__{i}" for i in range(len(columns))]
+    numbers = df.withColumns({p: F.col(quoted(c)).cast("double") for p, c in zip(plain, columns)})
+    out = VectorAssembler(inputCols=plain, outputCol=name).transform(numbers).drop(*plain)
+    return out.withColumns({c: F.col(quoted(c)).cast("double") for c in columns})

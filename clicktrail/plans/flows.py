@@ -82,7 +82,7 @@ def graph_frames(events: DataFrame, sessions: DataFrame, seed: int = sampling.SE
 
 
 def graph_readouts(events: DataFrame, kind: str = "event", hops: int = graphs.HOPS, sessions: DataFrame | None = None) -> DataFrame:
-    """One row of readout columns per graph, with its label."""
+    """One row of readout columns per graph, with its label; given sessions, also their length in seconds."""
     build, features = {
         "event": (graphs.event_graph, graphs.EVENT_FEATURES),
         "item": (graphs.item_graph, graphs.ITEM_FEATURES),
@@ -90,4 +90,7 @@ def graph_readouts(events: DataFrame, kind: str = "event", hops: int = graphs.HO
     nodes, edges = build(events)
     spread = graphs.propagate(nodes, edges, features, hops)
     readout = graphs.graph_readout(spread, graphs.hop_names(features, hops))
-    return readout.join(graphs.graph_table(events, sessions), graphs.GRAPH_KEY)
+    table = graphs.graph_table(events, sessions)
+    if sessions is not None:
+        table = table.withColumn("session_length", seconds_component(F.col("session_length")))
+    return readout.join(table, graphs.GRAPH_KEY)

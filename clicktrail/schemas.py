@@ -12,7 +12,8 @@ SESSION_KEY = [USER, SESSION]
 SESSION_TEXT = "user_session_id_new"
 LABEL = "PurchaseSession"
 
-MONEY = T.DecimalType(12, 2)
+#: Wide enough for any price and its sums, with more places than prices have.
+MONEY = T.DecimalType(24, 6)
 
 #: Raw events as they arrive.  ``event_id`` only breaks ties between equal times.
 EVENT = T.StructType(

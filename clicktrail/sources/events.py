@@ -17,8 +17,10 @@ def _read(spark: SparkSession, path, fmt: str) -> DataFrame:
     return spark.read.format(fmt).load(path)
 
 
-def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast the known columns; unreadable values become NULL, other columns stay."""
+def _typed(df: DataFrame, schema: T.StructType, unreadable: str) -> DataFrame:
+    """Cast the known columns; unreadable values fail, or become NULL if ``unreadable`` is ``null``; other columns stay."""
+    if unreadable not in ("raise", "null"):
+        raise ValueError("unreadable is either raise or null")
     present = {f.name: f.dataType for f in df.schema}
     casts = {}
     for field in schema:
@@ -33,6 +35,11 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
             casts[field.name] = F.coalesce(column.try_cast("bigint"), parse_timedelta(column))
         else:
             casts[field.name] = column.try_cast(field.dataType)
+    if unreadable == "raise":
+        for name, cast in casts.items():
+            text = F.col(name).cast("string")
+            lost = text.isNotNull() & cast.isNull()
+            casts[name] = F.when(lost, F.raise_error(F.concat(F.lit(f"unreadable {name}: "), text))).otherwise(cast)
     return df.withColumns(casts) if casts else df
 
 
@@ -47,14 +54,18 @@ def with_event_id(df: DataFrame) -> DataFrame:
     return df.withColumn(S.EVENT_ID, F.xxhash64(*[F.col(c).cast("string") for c in sorted(df.columns)]))
 
 
-def read_events(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
-    """Raw or enriched events; all columns are kept, times lose their zone."""
+def read_events(spark: SparkSession, path, fmt: str = "csv", unreadable: str = "raise") -> DataFrame:
+    """Raw or enriched events; all columns are kept, times lose their zone.
+
+    A time, id or price that is there and cannot be read fails the job: as NULL its row would silently leave
+    sessions and sums.  ``unreadable="null"`` takes such values as NULL.
+    """
     known = T.StructType(S.EVENT.fields + S.DERIVED.fields)
-    return with_event_id(_typed(_read(spark, path, fmt), known))
+    return with_event_id(_typed(_read(spark, path, fmt), known, unreadable))
 
 
-def read_sessions(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
-    return _typed(_read(spark, path, fmt), S.SESSIONS)
+def read_sessions(spark: SparkSession, path, fmt: str = "csv", unreadable: str = "raise") -> DataFrame:
+    return _typed(_read(spark, path, fmt), S.SESSIONS, unreadable)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(), mode: str = "overwrite") -> None:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clicktrail.operators import evaluation, graphs, models, sampling, smote, transforms
+from clicktrail.operators import eda, evaluation, graphs, models, sampling, smote, transforms
 
 from tests.test_sessions import at
 
@@ -263,3 +263,62 @@ def test_grids_have_the_right_sizes():
     assert sizes == {"logistic_regression": 300, "decision_tree": 48, "random_forest": 144, "gradient_boosting": 810}
     drawn = {k: len(models.draw_candidates(models.GRIDS[k], models.CANDIDATES[k])) for k in sizes}
     assert drawn == {"logistic_regression": 100, "decision_tree": 48, "random_forest": 100, "gradient_boosting": 3}
+
+
+def test_graph_network_finds_a_planted_signal(spark):
+    """Long-tailed readouts of very different size, as sums over graphs are."""
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=400), rng.normal(size=400)
+    y = (a - 0.5 * b + 0.2 * rng.normal(size=400) > 0.4).astype(int)
+    rows = [(int(v), float(math.exp(3 * p)), float(1e9 * math.exp(q)), 7.0) for v, p, q in zip(y, a, b)]
+    df = spark.createDataFrame(rows, "label int, `a.sum` double, session_length double, constant double")
+    columns = ["a.sum", "session_length", "constant"]
+    train, valid, test = df.limit(200).cache(), df.offset(200).limit(100).cache(), df.offset(300).cache()
+    model = models.choose_graph_classifier(train, valid, columns, hidden=(4,), iterations=(10, 40))
+    scores = models.score_graphs(model, test)
+    assert scores.select("score").distinct().count() > 50
+    assert evaluation.auc(scores).first().auc > 0.8
+    assert evaluation.auc(models.score_graphs(models.fit_graph_classifier(train, columns, weights={0: 1.0, 1: 2.0}), test)).first().auc > 0.8
+
+
+def test_missing_scores_fail(spark):
+    df = spark.createDataFrame([(1, 0.5, 1), (0, None, 0), (None, 0.2, 1)], "label int, score double, prediction int")
+    for measure in (evaluation.auc, evaluation.roc_curve, evaluation.binary_metrics):
+        with pytest.raises(Exception, match="has no"):
+            measure(df).collect()
+
+
+def test_dotted_levels_and_bounded_levels(spark, monkeypatch):
+    train = spark.createDataFrame([("a.b", 1.0), ("c", 2.0)], "`code.x` string, v double")
+    encoder = transforms.one_hot(train, ["code.x"])
+    out = encoder.apply(train)
+    assert encoder.names == ["code.x_a.b", "code.x_c"] and transforms.standard_scale(out, encoder.names).apply(out).count() == 2
+    assert transforms.assemble(out, encoder.names).select("features").count() == 2
+    monkeypatch.setattr(transforms, "MAX_LEVELS", 1)
+    with pytest.raises(ValueError):
+        transforms.one_hot(train, ["code.x"])
+
+
+def test_density_of_a_constant(spark):
+    df = spark.createDataFrame([(2.0,)] * 4, "v double")
+    assert [r.density for r in eda.kde(df, "v", 0.0, 4.0, 5).collect()] == [None] * 5
+
+
+def test_searches_draw_by_seed():
+    assert models.draw_candidates(models.GRIDS["random_forest"], 10, 1) != models.draw_candidates(models.GRIDS["random_forest"], 10, 2)
+
+
+def test_prices_are_not_rounded_or_lost(spark, tmp_path):
+    from clicktrail.sources.events import read_events
+
+    path = str(tmp_path / "e.csv")
+    row = "2020-01-01 00:00:00 UTC,view,1,2,a.b,x,{},1,s,{}"
+    with open(path, "w") as f:
+        f.write("event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session,event_id\n")
+        f.write("\n".join(row.format(p, i) for i, p in enumerate(["1.999", "12345678901.5"])) + "\n")
+    assert sorted(float(r.price) for r in read_events(spark, path).collect()) == [1.999, 12345678901.5]
+    with open(path, "a") as f:
+        f.write(row.format("dear", 3) + "\n")
+    with pytest.raises(Exception, match="unreadable price"):
+        read_events(spark, path).collect()
+    assert read_events(spark, path, unreadable="null").where("price IS NULL").count() == 1
