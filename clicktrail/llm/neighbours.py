@@ -107,33 +107,31 @@ def _gram_rows(bits):
     return lambda batches: _packed(batches, lambda part: (_sets(part)[2],), emit)
 
 
-def _frequent(tables):
+def _frequent(t: pa.Table) -> pa.Table:
     """(gram, n): n-grams of a fragment that are in more than COMMON documents."""
-    for t in tables:
-        low = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("grams").to_pylist()]))
-        at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        n = np.diff(np.append(at, len(low)))
-        gram = (int(t.column("fragment")[0].as_py()) << 32) + low[at[n > COMMON]].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n[n > COMMON].astype(np.int64))], ["gram", "n"])
+    low = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("grams").to_pylist()]))
+    at, n = _groups(low[None])
+    gram = (int(t.column("fragment")[0].as_py()) << 32) + low[at[n > COMMON]].astype(np.int64)
+    return pa.table({"gram": gram, "n": n[n > COMMON].astype(np.int64)})
 
 
 def frequent(rows: DataFrame, bits: int) -> np.ndarray:
     """The most frequent n-grams as their first ``bits + 32`` bits, rarest first; bounded by HEAVIEST."""
     sent = rows.mapInArrow(_gram_rows(bits), "fragment long, grams binary")
-    found = sent.repartition("fragment").groupBy("fragment").applyInArrow(lambda t: _merge(_frequent([t]), "gram long, n long"), "gram long, n long")
-    top = found.orderBy(F.desc("n"), "gram").limit(HEAVIEST).toArrow()
+    found = sent.groupBy("fragment").applyInArrow(_frequent, "gram long, n long")
+    found = materialize(found, "gram-frequencies")
+    level = F.floor(F.log2("n") * 16).cast("int")  # at most some hundred levels reach the driver
+    room, cut = HEAVIEST, 1 << 30
+    for r in found.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        cut = r["level"]
+    top = found.where(level >= cut).toArrow()
     order = np.lexsort((top.column("gram").to_numpy(), top.column("n").to_numpy()))
     return top.column("gram").to_numpy()[order]
 
 
-def _merge(batches, schema):
-    batches = list(batches)
-    if batches:
-        return pa.Table.from_batches(batches)
-    kinds = {"long": pa.int64()}
-    return pa.table({c.split()[0]: pa.array([], kinds[c.split()[1]]) for c in schema.split(", ")})
-
-
 def _posting_rows(sent, bits, fragment_bits):
     """(fragment, hash, id, n, place): the first n-grams of each set in the global order, packed by fragment.
 
@@ -204,67 +202,74 @@ def _candidates(t: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[0], "b": pairs[1], "n": count.astype(np.int64)})
 
 
-def overlaps(of: np.ndarray, hashes: np.ndarray, cluster: np.ndarray):
-    """Pairs of sets and how many n-grams they share: counted for each fragment of the order, and summed per pair.
+def _groups(keys: np.ndarray):
+    """Start and size of each run of equal rows in the columns of ``keys``."""
+    at = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+    return at, np.diff(np.append(at, keys.shape[1]))
+
+
+def _pairs_of(h: np.ndarray, r: np.ndarray):
+    """All pairs of sets under equal hashes in a sorted array."""
+    for d in range(1, len(h)):
+        i = np.flatnonzero(h[d:] == h[:-d])
+        if not len(i):
+            return
+        yield r[i], r[i + d]
 
-    Rare n-grams are counted by listing their pairs, frequent ones by a matrix product within their cluster.
+
+def linked(of: np.ndarray, hashes: np.ndarray, n: np.ndarray):
+    """Pairs ``(x, y)`` of the sets of one cluster that link, by their exact overlaps.
+
+    Overlaps are counted for each fragment of the order of n-grams, and summed per pair.  A small cluster lists the
+    pairs under each n-gram; a large one, of at most two blocks, adds up a matrix of counts: n-grams in few sets as
+    listed pairs, those in many as products of incidence matrices.
     """
-    m, keys, counts = len(cluster), [], []
     order = np.argsort(hashes, kind="stable")
     of, hashes = of[order], hashes[order]
-    for _, part in _cut(hashes, FRAGMENTS.bit_length() - 1):
-        h, r = hashes[part], of[part]
-        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(at, len(h)))
-        dense = np.repeat(size > DENSE, size)
-        own = []
-        hs, rs = h[~dense], r[~dense]
-        for d in range(1, DENSE + 1):
-            i = np.flatnonzero(hs[d:] == hs[:-d])
-            if not len(i):
-                break
-            own.append(np.minimum(rs[i], rs[i + d]) * m + np.maximum(rs[i], rs[i + d]))
-        if own:
-            k, n = np.unique(np.concatenate(own), return_counts=True)
-            keys.append(k)
-            counts.append(n)
-        hd, rd = h[dense], r[dense]
-        for c in np.unique(cluster[rd]) if len(rd) else ():
-            inside = cluster[rd] == c
-            rows, row = np.unique(rd[inside], return_inverse=True)
-            grams_, column = np.unique(hd[inside], return_inverse=True)
-            total = np.zeros((len(rows), len(rows)), np.float32)
-            for low in range(0, len(grams_), 2048):
-                now = (column >= low) & (column < low + 2048)
-                a = np.zeros((len(rows), min(2048, len(grams_) - low)), np.float32)
-                a[row[now], column[now] - low] = 1
-                total += a @ a.T
-            x, y = np.nonzero(np.triu(total, 1))
-            keys.append(rows[x] * m + rows[y])
-            counts.append(total[x, y].astype(np.int64))
-    if not keys:
-        return np.zeros((3, 0), np.int64)
-    k, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return k // m, k % m, np.bincount(where, np.concatenate(counts)).astype(np.int64)
+    parts = [part for _, part in _cut(hashes, FRAGMENTS.bit_length() - 1)]
+    m = len(n)
+    if m <= DENSE:
+        keys = [np.minimum(x, y) * m + np.maximum(x, y) for part in parts for x, y in _pairs_of(hashes[part], of[part])]
+        both = np.bincount(np.concatenate(keys), minlength=m * m).reshape(m, m) if keys else np.zeros((m, m), np.int64)
+    else:
+        both = np.zeros((m, m), np.float32)  # counts far below 2 ** 24 are exact
+        for part in parts:
+            h, r = hashes[part], of[part]
+            _, size = _groups(h[None])
+            many = np.repeat(size > DENSE, size)
+            for x, y in _pairs_of(h[~many], r[~many]):
+                np.add.at(both, (np.minimum(x, y), np.maximum(x, y)), 1)
+            hm, rm = h[many], r[many]
+            column = np.cumsum(np.concatenate([[0], hm[1:] != hm[:-1]])) if len(hm) else hm
+            for low in range(0, int(column[-1]) + 1 if len(hm) else 0, 1024):
+                now = slice(*np.searchsorted(column, [low, low + 1024]))
+                a = np.zeros((m, 1024), np.float32)
+                a[rm[now], (column[now] - low).astype(np.int64)] = 1
+                both += np.triu(a @ a.T, 1)
+    return np.nonzero(5 * both >= FIFTHS * (n[:, None] + n[None, :] - both)) if m else (n, n)
 
 
 def _linked(t: pa.Table) -> pa.Table:
     """(a, b): of the sets in a block, each with the smallest id that it reaches by links inside the block."""
-    ids, cluster = t.column("id").to_numpy(), np.unique(t.column("cluster").to_numpy(), return_inverse=True)[1]
-    sets = [np.frombuffer(x, U) for x in t.column("grams").to_pylist()]
-    n = np.array([len(s) for s in sets])
-    x, y, both = overlaps(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), cluster)
-    ok = 5 * both >= FIFTHS * (n[x] + n[y] - both)
-    x, y, low = x[ok], y[ok], ids.copy()
-    while True:
-        before = low.copy()
-        least = np.minimum(low[x], low[y])
-        np.minimum.at(low, x, least)
-        np.minimum.at(low, y, least)
-        if (before == low).all():
-            break
-    own = low != ids
-    return pa.table({"a": low[own], "b": ids[own]})
+    order = np.argsort(t.column("cluster").to_numpy(), kind="stable")
+    cluster, ids = t.column("cluster").to_numpy()[order], t.column("id").to_numpy()[order]
+    sets = t.column("grams").take(pa.array(order))
+    a, b = [], []
+    for at, size in zip(*_groups(cluster[None])):
+        own = [np.frombuffer(x.as_py(), U) for x in sets[at:at + size]]
+        n, low = np.array([len(s) for s in own]), ids[at:at + size].copy()
+        x, y = linked(np.repeat(np.arange(size), n), np.concatenate(own), n)
+        while len(x):
+            before = low.copy()
+            least = np.minimum(low[x], low[y])
+            np.minimum.at(low, x, least)
+            np.minimum.at(low, y, least)
+            if (before == low).all():
+                break
+        moved = low != ids[at:at + size]
+        a.append(low[moved])
+        b.append(ids[at:at + size][moved])
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
 def _gram_sets(batches):

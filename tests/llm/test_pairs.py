@@ -80,14 +80,17 @@ def test_near_duplicates_in_large_groups(frame, monkeypatch):
     assert sorted(map(tuple, neighbours.near(frame(rows)).collect()), key=str) == want
 
 
-def test_overlaps_are_exact():
+def test_links_of_a_cluster_are_exact():
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 400, rng.integers(5, 80))) for _ in range(70)] + [np.arange(40)] * 60
-    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    hashes = neighbours.mix(np.concatenate(sets).astype(np.uint64) + np.uint64(9))
-    x, y, n = neighbours.overlaps(of, hashes, np.zeros(len(sets), np.int64))
-    want = {(i, j): c for j in range(len(sets)) for i in range(j) if (c := len(np.intersect1d(sets[i], sets[j])))}
-    assert dict(zip(zip(x.tolist(), y.tolist()), n.tolist())) == want
+    for many in (5, 120):
+        base = np.arange(60)
+        sets = [np.unique(np.where(rng.random(60) < rng.random() * 0.3, rng.integers(100, 10**6, 60), base)) for _ in range(many)]
+        sets += [np.unique(rng.integers(0, 400, rng.integers(5, 80))) for _ in range(many)]
+        of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        hashes = neighbours.mix(np.concatenate(sets).astype(np.uint64) + np.uint64(9))
+        x, y = neighbours.linked(of, hashes, np.array([len(s) for s in sets]))
+        want = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+        assert want and set(zip(x.tolist(), y.tolist())) == want
 
 
 def edits(a, b):
