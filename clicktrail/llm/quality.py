@@ -100,26 +100,22 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(text, index, value, len(f.dense))[0], -30, 30)))
 
 
-def fit(rows: list[Features], labels: np.ndarray, buckets: int = BUCKETS, rank: int = RANK, epochs: int = 12, batch: int = 128, seed: int = 7) -> Machine:
+def fit(f: Features, labels: np.ndarray, buckets: int = BUCKETS, rank: int = RANK, epochs: int = 12, batch: int = 128, seed: int = 7) -> Machine:
     """Adagrad on the log loss with a little decay; rows in a seeded order, so equal inputs give equal machines."""
-    dense = np.concatenate([r.dense for r in rows])
-    rng, d = np.random.default_rng(seed), dense.shape[1]
+    rng, n, d = np.random.default_rng(seed), len(f.dense), f.dense.shape[1]
     share = np.clip(labels.mean(), 0.01, 0.99)
-    m = Machine(dense.mean(0), dense.std(0) + 1e-3, float(np.log(share / (1 - share))), np.zeros(buckets + d, np.float32),
+    m = Machine(f.dense.mean(0), f.dense.std(0) + 1e-3, float(np.log(share / (1 - share))), np.zeros(buckets + d, np.float32),
                 rng.normal(0, 0.02, (buckets + d, rank)).astype(np.float32))
-    each = []
-    for r in rows:
-        text, index, value = m.entries(r)
-        order = np.argsort(text, kind="stable")
-        each += list(zip(*(np.split(x[order], np.cumsum(np.bincount(text, minlength=len(r.dense)))[:-1]) for x in (index, value))))
+    first = np.searchsorted(f.text, np.arange(n + 1))
     gw, gv, gb = np.full(len(m.weight), 1e-2, np.float32), np.full(m.factor.shape, 1e-2, np.float32), 1e-2
     for epoch in range(epochs):
-        order, rate = rng.permutation(len(each)), 0.1 / (1 + 0.3 * epoch)
-        for at in range(0, len(order), batch):
+        order, rate = rng.permutation(n), 0.1 / (1 + 0.3 * epoch)
+        for at in range(0, n, batch):
             chosen = order[at:at + batch]
-            sizes = [len(each[i][0]) for i in chosen]
-            text = np.repeat(np.arange(len(chosen)), sizes)
-            index, value = (np.concatenate([each[i][k] for i in chosen]) for k in (0, 1))
+            sizes = first[chosen + 1] - first[chosen]
+            own = np.arange(sizes.sum()) + np.repeat(first[chosen] - np.cumsum(sizes) + sizes, sizes)
+            part = Features(np.repeat(np.arange(len(chosen)), sizes), f.bucket[own].astype(np.int64), f.value[own], f.dense[chosen])
+            text, index, value = m.entries(part)
             out, sums = m.raw(text, index, value, len(chosen))
             error = ((1 / (1 + np.exp(-np.clip(out, -30, 30))) - labels[chosen]) / len(chosen)).astype(np.float32)
             used, own = np.unique(index, return_inverse=True)
@@ -135,6 +131,15 @@ def fit(rows: list[Features], labels: np.ndarray, buckets: int = BUCKETS, rank:
     return m
 
 
+def _joined(column: pa.ChunkedArray, order: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays in a binary column, end to end in the given order, and how long each is; without a Python object per row."""
+    whole = column.combine_chunks().cast(pa.large_binary()).take(pa.array(order))
+    whole = whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset:whole.offset + len(whole) + 1]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(whole.buffers()[2], kind)[offsets[0] // size:offsets[-1] // size], np.diff(offsets) // size
+
+
 def held_out(id_) -> F.Column:
     """Rows that the fit never sees."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -163,15 +168,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **kw) -> Mac
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = rows.mapInArrow(make, f"doc_id {kind}, label int, bucket binary, value binary, dense binary")
-    got = made.limit(sample).toArrow().sort_by([("doc_id", "ascending"), ("dense", "ascending")])
-    labels_ = got.column("label").to_numpy().astype(np.float32)
+    got = made.limit(sample).toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    labels_ = got.column("label").to_numpy()[order].astype(np.float32)
     if len(set(labels_.tolist())) < 2:
         return None
-    out = []
-    for bucket, value, dense in zip(*(got.column(c).to_pylist() for c in ("bucket", "value", "dense"))):
-        b = np.frombuffer(bucket, np.int16).astype(np.int64)
-        out.append(Features(np.zeros(len(b), np.int64), b, np.frombuffer(value, np.float32), np.frombuffer(dense, np.float32)[None]))
-    return fit(out, labels_, **kw)
+    bucket, sizes = _joined(got.column("bucket"), order, np.int16)
+    dense, _ = _joined(got.column("dense"), order, np.float32)
+    f = Features(np.repeat(np.arange(len(order), dtype=np.int32), sizes), bucket, _joined(got.column("value"), order, np.float32)[0], dense.reshape(len(order), -1))
+    return fit(f, labels_, **kw)
 
 
 def score(docs: DataFrame, machine: Machine | None, keep: list[str] | None = None) -> DataFrame:
