@@ -334,7 +334,7 @@ def _propagation(kind, build, features):
     @check(f"propagate_{kind}_graph", over_sessions(
         f"SELECT {G}, node, {', '.join(f'ROUND({c}, 8) AS {c}' for c in names)} FROM h6", extra=GRAPH + _hop_sql(kind, features)))
     def propagate(spark, folder):
-        nodes, edges = standardised(build(graph_input(spark, folder)), features)
+        nodes, edges = standardised(build(materialize(graph_input(spark, folder))), features)
         return rounded(graphs.propagate(nodes, edges, features), names, 8)
 
     outputs = graphs.readout_names(features)
@@ -344,7 +344,7 @@ def _propagation(kind, build, features):
         f"SELECT {G}, " + ", ".join(f"ROUND({fn}({c}), 8) AS {c}_{k}" for c in names for k, fn in aggregates.items())
         + f" FROM h6 GROUP BY {G}", extra=GRAPH + _hop_sql(kind, features)))
     def readout(spark, folder):
-        nodes, edges = standardised(build(graph_input(spark, folder)), features)
+        nodes, edges = standardised(build(materialize(graph_input(spark, folder))), features)
         spread = graphs.propagate(nodes, edges, features)
         return rounded(graphs.graph_readout(spread, names), outputs, 8)
 

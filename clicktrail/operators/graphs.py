@@ -24,9 +24,9 @@ def graph_events(events: DataFrame) -> DataFrame:
     """Events a graph is made of: no purchases, a copy number, type flags and the pause before each."""
     kept = drop_event_types(events, ["purchase"])
     if "copy_no" not in kept.columns:
-        # Sessions count from 0, so this is 0.  A literal would be folded out of some partitionings
+        # This is 0.  A literal would be folded out of some partitionings
         # and stay in others, and every step would shuffle again.
-        kept = kept.withColumn("copy_no", F.least(F.col(S.SESSION), F.lit(0)).cast("int"))
+        kept = kept.withColumn("copy_no", F.least(F.abs(F.col(S.SESSION)), F.lit(0)).cast("int"))
     kept = event_gaps(kept, "_gap", GRAPH_KEY)
     return kept.withColumns(
         {
@@ -86,6 +86,55 @@ def _incoming(edges: DataFrame) -> DataFrame:
     return per_node.groupBy(*GRAPH_KEY).agg(F.map_from_entries(F.collect_list(F.struct("dst", "edges"))).alias("incoming"))
 
 
+def _listed(events: DataFrame) -> DataFrame:
+    """One row per graph: its events in order, bounded by the size filter, and its label.  The only exchange of a graph flow."""
+    event = F.struct(S.TIME, S.EVENT_ID, "product_id", *EVENT_FEATURES)
+    return events.groupBy(*GRAPH_KEY).agg(F.array_sort(F.collect_list(event)).alias("_events"), F.max(S.LABEL).alias("label"))
+
+
+def _in_place(listed: DataFrame, kind: str) -> DataFrame:
+    """Add ``g``, the node vectors, and ``_in``, the incoming edges of each node, from the events in the row."""
+    events = F.col("_events")
+    if kind == "event":
+        codes = F.transform(events, lambda _, i: i)
+        vectors = F.transform(events, lambda e: F.array(*[e[f].cast("double") for f in EVENT_FEATURES]))
+        coded = listed.select("*", codes.alias("_codes"), vectors.alias("_x"))
+    else:
+        products = F.array_distinct(F.transform(events, lambda e: e["product_id"]))  # by first appearance
+        coded = listed.withColumn("_products", products)
+        codes = F.transform(events, lambda e: (F.array_position(F.col("_products"), e["product_id"]) - 1).cast("int"))
+
+        def item(product):
+            own = F.filter(events, lambda e: e["product_id"] == product)
+            total = lambda f: F.aggregate(own, F.lit(0.0), lambda t, e: t + e[f])
+            return F.array(total("is_view"), total("is_cart"), own[0]["price"].cast("double"))
+
+        coded = coded.select("*", codes.alias("_codes"), F.transform("_products", item).alias("_x"))
+    # every step is an edge both ways, so in- and out-degree are both the number of steps that touch a node
+    steps = F.filter(F.transform("_codes", lambda c, i: F.struct(c.alias("a"), F.get("_codes", i + 1).alias("b"))), lambda p: p["b"].isNotNull())
+    back = F.transform("_steps", lambda p: F.struct(p["b"].alias("a"), p["a"].alias("b")))
+    coded = coded.withColumn("_steps", steps).withColumn("_ways", F.concat("_steps", back))
+    coded = coded.withColumn("_degree", F.transform("_x", lambda _, v: F.size(F.filter("_ways", lambda p: p["a"] == v)).cast("double")))
+
+    def incoming(_, v):
+        weight = lambda p: F.lit(1.0) / F.sqrt(F.get("_degree", p["a"]) * F.get("_degree", v))
+        return F.transform(F.filter("_ways", lambda p: p["b"] == v), lambda p: F.struct(p["a"].alias("src"), weight(p).alias("weight")))
+
+    return coded.select(
+        *GRAPH_KEY, "label", F.transform("_x", lambda x, v: F.struct(v.alias("node"), x.alias("x"))).alias("g"), F.transform("_x", incoming).alias("_in"))
+
+
+def readouts(events: DataFrame, kind: str, hops: int = HOPS) -> DataFrame:
+    """Graphs, rounds and readout of bounded sessions in one pass: events are shuffled once, by the graph key.
+
+    Equal to ``event_graph`` or ``item_graph`` with ``propagate``, ``graph_readout`` and the labels of ``graph_table``.
+    """
+    features = {"event": EVENT_FEATURES, "item": ITEM_FEATURES}[kind]
+    rows = _rounds(_in_place(_listed(events), kind), features, hops, "label")
+    names = hop_names(features, hops)
+    return rows.groupBy(*GRAPH_KEY).agg(*_readout(names), F.max("label").alias("label"))
+
+
 def _hop(state: Column, incoming: Column, width: int) -> Column:
     """One round: each node's weighted sum over its incoming edges."""
     zero = F.array(*[F.lit(0.0)] * width)
@@ -114,25 +163,31 @@ def propagate(nodes: DataFrame, edges: DataFrame, features, hops: int = HOPS) ->
     graphs = listed.join(_incoming(edges), GRAPH_KEY, "left").withColumn(
         "_in", F.transform("g", lambda n: F.try_element_at("incoming", n["node"]))
     )
+    return _rounds(graphs, features, hops)
+
+
+def _rounds(graphs: DataFrame, features, hops: int, *keep) -> DataFrame:
+    """A row per node with its features after each round, from rows of node vectors and incoming edges."""
     start = F.transform("g", lambda n: n["x"])
     rounds = F.aggregate(
         F.sequence(F.lit(1), F.lit(hops)) if hops else F.array().cast("array<int>"),
         F.array(start),
         lambda done, _: F.concat(done, F.array(_hop(F.element_at(done, -1), F.col("_in"), len(features)))),
     )
-    rows = graphs.withColumn("_rounds", rounds).select(*GRAPH_KEY, "_rounds", F.posexplode("g").alias("_i", "_n"))
+    rows = graphs.withColumn("_rounds", rounds).select(*GRAPH_KEY, *keep, "_rounds", F.posexplode("g").alias("_i", "_n"))
     columns = [
         F.col("_rounds")[h][F.col("_i")][i].alias(f"{f}_{h}") for h in range(hops + 1) for i, f in enumerate(features)
     ]
-    return rows.select(*GRAPH_KEY, F.col("_n.node").alias("node"), *columns)
+    return rows.select(*GRAPH_KEY, *keep, F.col("_n.node").alias("node"), *columns)
 
 
 def graph_readout(nodes: DataFrame, features) -> DataFrame:
     """Mean, maximum and sum of each node feature per graph."""
-    aggregates = []
-    for f in features:
-        aggregates += [F.avg(f).alias(f"{f}_mean"), F.max(f).alias(f"{f}_max"), F.sum(f).alias(f"{f}_sum")]
-    return nodes.groupBy(*GRAPH_KEY).agg(*aggregates)
+    return nodes.groupBy(*GRAPH_KEY).agg(*_readout(features))
+
+
+def _readout(features) -> list:
+    return [g(f).alias(f"{f}_{name}") for f in features for name, g in (("mean", F.avg), ("max", F.max), ("sum", F.sum))]
 
 
 def hop_names(features, hops: int = HOPS) -> list:

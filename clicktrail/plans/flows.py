@@ -37,9 +37,9 @@ def preprocess(
 ):
     """Raw events to labelled events and the session table, both with their ``set``.
 
-    The enriched events are materialised once; the session table derives from
-    them without a further exchange of events, and the split marks both tables
-    by expression.
+    The enriched events are materialised once; the session table reads them back and
+    groups them by session, which shuffles them a third time, and the split marks both
+    tables by expression.
     """
     prepared = prepare_sessions(not_null(raw, "user_session"), gap)
     events = materialize(labelled_events(enrich(prepared)))
@@ -83,14 +83,8 @@ def graph_frames(events: DataFrame, sessions: DataFrame, seed: int = sampling.SE
 
 def graph_readouts(events: DataFrame, kind: str = "event", hops: int = graphs.HOPS, sessions: DataFrame | None = None) -> DataFrame:
     """One row of readout columns per graph, with its label; given sessions, also their length in seconds."""
-    build, features = {
-        "event": (graphs.event_graph, graphs.EVENT_FEATURES),
-        "item": (graphs.item_graph, graphs.ITEM_FEATURES),
-    }[kind]
-    nodes, edges = build(events)
-    spread = graphs.propagate(nodes, edges, features, hops)
-    readout = graphs.graph_readout(spread, graphs.hop_names(features, hops))
-    table = graphs.graph_table(events, sessions)
+    readout = graphs.readouts(events, kind, hops)
     if sessions is not None:
-        table = table.withColumn("session_length", seconds_component(F.col("session_length")))
-    return readout.join(table, graphs.GRAPH_KEY)
+        readout = graphs.attach_graph_features(readout, sessions)
+        readout = readout.withColumn("session_length", seconds_component(F.col("session_length")))
+    return readout

@@ -204,6 +204,19 @@ def test_event_graph_and_propagation_against_matrices(events):
             x = norm @ x
 
 
+def test_one_pass_readout_equals_the_steps(spark, events):
+    rng = random.Random(5)
+    rows = [(u, at(60 * k), rng.choice(["view", "cart", "view", "purchase"]), rng.randint(1, 4), f"{rng.randint(1, 90)}.50")
+            for u in range(12) for k in range(rng.randint(1, 14))]
+    df = events(rows).withColumns({"session": F.col("user_id") % 2, "PurchaseSession": (F.col("user_id") % 3 == 0).cast("int")})
+    source = graphs.graph_events(df)
+    for kind, build, features in (("event", graphs.event_graph, graphs.EVENT_FEATURES), ("item", graphs.item_graph, graphs.ITEM_FEATURES)):
+        steps = graphs.graph_readout(graphs.propagate(*build(source), features), graphs.hop_names(features)).join(graphs.graph_table(source), graphs.GRAPH_KEY)
+        names = [*graphs.GRAPH_KEY, "label", *graphs.readout_names(features)]
+        one, other = (sorted(tuple(r) for r in x.select(names).collect()) for x in (graphs.readouts(source, kind), steps))
+        assert len(one) == len(other) > 5 and np.allclose(np.array(one, float), np.array(other, float))
+
+
 def test_readout_sum_is_n_times_mean(events):
     nodes, _ = graphs.event_graph(graphs.graph_events(graph_rows(events)))
     r = graphs.graph_readout(nodes, ["price"]).first()

@@ -51,16 +51,17 @@ def test_no_python_rows_in_the_hot_path(spark):
         assert "Python" not in text and "InPandas" not in text, name
 
 
-def test_graph_rounds_shuffle_once_per_scan(spark):
-    """Six rounds, readout and labels: each scan of the events is shuffled by the graph key, nothing else moves."""
+def test_graph_flow_shuffles_events_once(spark):
+    """Graphs, six rounds, readout and labels from one scan and one exchange."""
     events = materialize(base.labelled(spark, FOLDER))
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = plan(flows.graph_readouts(graphs.graph_events(events), "item"))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert text.count("Exchange hashpartitioning") == text.count("FileScan") == 3
+    for kind in ("event", "item"):
+        text = plan(flows.graph_readouts(graphs.graph_events(events), kind))
+        assert text.count("Exchange hashpartitioning") == text.count("FileScan") == 1
+
+
+def test_scores_are_ranked_without_a_second_pass(spark):
+    text = plan(base.QUERIES["auc"](spark, FOLDER))
+    assert text.count("FileScan") <= 2  # scores, and the totals of their partitions
 
 
 def test_copies_are_limited_before_the_shuffle(spark, monkeypatch):
