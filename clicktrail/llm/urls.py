@@ -102,6 +102,33 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX
     )
 
 
-@query("op6_url_filters")
+def _level(name: str, members: str, above: str) -> str:
+    """A level of the SQL twin: members with counts ``n, k`` and the mean ``above`` of their parent."""
+    flat = f"(n * {above} * (1 - {above}))"
+    return f"""
+{name}_m AS (SELECT least(greatest(1 / greatest(coalesce(sum(pow(k - n * {above}, 2) - {flat}) / nullif(greatest(sum({flat} * (n - 1)), 0), 0), 0), 1e-9) - 1,
+  {STRENGTHS[0]}), {STRENGTHS[1]}) AS m FROM {members}),
+{name} AS (SELECT *, k + m * {above} AS a, n - k + m * (1 - {above}) AS b, (k + m * {above}) / (n + m) AS p FROM {members}, {name}_m)"""
+
+
+_FITS = sorted(((kind, rule, *rule.partition("/")) for kind, rule in RULES), key=lambda r: -len(r[1]))
+_WHEN = "\n  ".join(
+    f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{start}') THEN '{kind} {rule}'" for kind, rule, name, slash, start in _FITS)
+SQL = f"""
+WITH r AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
+parsed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM r),
+outcomes AS (SELECT doc_id AS page_id, max(CAST(quality = 0 OR coalesce(toxic, 0) = 1 AS INTEGER)) AS bad FROM labels GROUP BY 1),
+hosts AS (SELECT host, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix,
+  CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k FROM parsed LEFT JOIN outcomes USING (page_id) GROUP BY host),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM hosts) AS top FROM hosts GROUP BY suffix),{_level("s1", "s0", "top")},
+d0 AS (SELECT domain, sum(h.n) AS n, sum(h.k) AS k, any_value(s1.p) AS up FROM hosts h JOIN s1 USING (suffix) GROUP BY domain),{_level("d1", "d0", "up")},
+h0 AS (SELECT host, h.n, h.k, d1.p AS up FROM hosts h JOIN d1 USING (domain)),{_level("h1", "h0", "up")},
+judged AS (SELECT page_id, host, path, CASE {_WHEN} END AS fits,
+  CASE WHEN p - {Z} * sqrt(p * (1 - p) / (a + b + 1)) > {MAX_BAD} THEN 'block' ELSE 'allow' END AS own FROM parsed LEFT JOIN h1 USING (host))
+SELECT page_id, host, path, string_split(fits, ' ')[2] AS rule, coalesce(string_split(fits, ' ')[1], own) AS verdict FROM judged
+"""
+
+
+@query("op6_url_filters", SQL)
 def op6(spark, folder):
     return judge(table(spark, folder, "pages"), table(spark, folder, "labels")).select("page_id", "host", "path", "rule", "verdict")
