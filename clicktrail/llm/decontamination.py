@@ -19,7 +19,7 @@ SLICE_BYTES = 4 << 20
 #: How far back a repeated word is looked for before windows are counted.
 ECHO = 4
 #: Benchmark text that is sent to every executor at once; a larger benchmark is matched part by part.
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 
 
 def embed(windows: np.ndarray, keys: int) -> np.ndarray:
@@ -82,9 +82,7 @@ class Items:
         for length in sorted({int(c) for c in words.counts if c}):
             of = np.flatnonzero(words.counts == length)
             rows = np.stack([words.hash[words.first[i]:words.first[i + 1]] for i in of])
-            known = np.zeros((len(of), len(vocabulary) + 1), bool)
-            for k, row in enumerate(rows):
-                known[k, np.searchsorted(vocabulary, row)] = True
+            known = [np.searchsorted(vocabulary, np.unique(row)) for row in rows]
             tables = []
             for hashes in embed(rows, keys):
                 order = np.argsort(hashes, kind="stable")
@@ -124,19 +122,23 @@ class Items:
             # a window within `most` edits of an item has all but `most` of the item's number of words in common with
             # it: first a running count of words that any item of this size has, then a count for each such item
             n, shortest = len(words.hash), length - most
-            inside = running(known.any(0)[place_of])
-            again = length - min(len(np.unique(r)) for r in rows) + most  # words that a window may repeat
+            own = np.zeros(len(self.vocabulary) + 1, bool)
+            own[np.concatenate(known)] = True
+            inside = running(own[place_of])
+            again = length - min(map(len, known)) + most  # words that a window may repeat
             ok = (inside[length:length + n] - inside[:n] >= shortest) & (echoes[length:length + n] - echoes[ECHO:ECHO + n] <= again)
             start = np.flatnonzero(ok)
             start = start[(start + length <= ends[text[start]]) | ((start == words.first[text[start]]) & (start + shortest <= ends[text[start]]))]
-            for block in np.array_split(start, max(1, len(start) * length >> 21)):
+            for block in np.array_split(start, max(1, len(start) * length >> 21)) if len(start) else ():
                 near = np.zeros(len(block), bool)
                 at = np.sort(place_of[np.minimum(block[:, None] + np.arange(length), len(words.hash) - 1)], axis=1)
                 new = np.ones(at.shape, bool)
                 new[:, 1:] = at[:, 1:] != at[:, :-1]
                 for one in known:
-                    has = one[at]
-                    near |= (has.sum(1) >= shortest) & ((has & new).sum(1) >= one.sum() - most)
+                    own = np.zeros(len(self.vocabulary) + 1, bool)
+                    own[one] = True
+                    has = own[at]
+                    near |= (has.sum(1) >= shortest) & ((has & new).sum(1) >= len(one) - most)
                 self._block(words, text, ends, block[near], length, most, ids, rows, tables, found)
         return [(t, i, p, d) for (t, i), (d, p) in found.items()]
 

@@ -73,10 +73,18 @@ def _sets(batch):
     return ids, of[use[of]], hashes[use[of]], n
 
 
+def _groups(keys: np.ndarray):
+    """Start and size of each run of equal columns of ``keys``."""
+    if not keys.shape[1]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+    return at, np.diff(np.append(at, keys.shape[1]))
+
+
 def _cut(hashes, bits):
-    """Fragments of the order by hash: the first ``bits`` bits; where each begins in a sorted array."""
-    edges = np.searchsorted(hashes >> U(64 - bits), np.arange((1 << bits) + 1).astype(U))
-    return [(f, slice(edges[f], edges[f + 1])) for f in np.flatnonzero(np.diff(edges))]
+    """Fragments of the order by hash: the first ``bits`` bits; where each is in a sorted array."""
+    fragment = hashes >> U(64 - bits)
+    return [(int(fragment[at]), slice(at, at + size)) for at, size in zip(*_groups(fragment[None]))]
 
 
 def _packed(batches, collect, emit):
@@ -102,7 +110,7 @@ def _gram_rows(bits):
         hashes = np.sort(arrays[0])
         parts = _cut(hashes, bits)
         low = ((hashes >> U(32 - bits)) & U(0xFFFFFFFF)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([int(f) for f, _ in parts], pa.int64()), pa.array([low[s].tobytes() for _, s in parts], pa.binary())], ["fragment", "grams"])
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in parts], pa.int64()), pa.array([low[s].tobytes() for _, s in parts], pa.binary())], ["fragment", "grams"])
 
     return lambda batches: _packed(batches, lambda part: (_sets(part)[2],), emit)
 
@@ -166,7 +174,7 @@ def _posting_rows(sent, bits, fragment_bits):
         arrays = [x[order] for x in arrays]
         parts = _cut(arrays[0], fragment_bits)
         columns = [pa.array([x[s].tobytes() for _, s in parts], pa.binary()) for x in arrays]
-        yield pa.RecordBatch.from_arrays([pa.array([int(f) for f, _ in parts], pa.int64()), *columns], ["fragment", "hash", "id", "n", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in parts], pa.int64()), *columns], ["fragment", "hash", "id", "n", "place"])
 
     return lambda batches: _packed(batches, collect, emit)
 
@@ -202,12 +210,6 @@ def _candidates(t: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[0], "b": pairs[1], "n": count.astype(np.int64)})
 
 
-def _groups(keys: np.ndarray):
-    """Start and size of each run of equal rows in the columns of ``keys``."""
-    at = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-    return at, np.diff(np.append(at, keys.shape[1]))
-
-
 def _pairs_of(h: np.ndarray, r: np.ndarray):
     """All pairs of sets under equal hashes in a sorted array."""
     for d in range(1, len(h)):
@@ -300,8 +302,8 @@ def near(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text")
     marked = materialize(rows.mapInArrow(_signatures, f"doc_id {kind}, id long, n long, s1 long, s2 long"), "gram-signatures")
     total = marked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    # fragments of a million n-grams or so
-    bits = min(32, max(6, (total >> 20).bit_length()))
+    # fragments of some million n-grams
+    bits = min(31, max(6, (total >> 22).bit_length()))
 
     slim = rows.select("id", "text")
     heavy = frequent(slim, bits)
