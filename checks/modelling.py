@@ -165,12 +165,13 @@ def min_max(spark, folder):
     return rounded(scaler.apply(sessions).drop("set"), SCALED)
 
 
-@check("assemble")
+@check("assemble", over_sessions(f"SELECT {KEY}, " + ", ".join(f"ROUND(CAST({c} AS DOUBLE), 6) AS x{i}" for i, c in enumerate(SCALED)) + " FROM sess"))
 def assemble(spark, folder):
     from pyspark.ml.functions import vector_to_array
 
     out = transforms.assemble(session_rows(spark, folder), SCALED)
-    return out.select(*S.SESSION_KEY, vector_to_array("features").alias("features"))
+    x = vector_to_array("features")
+    return out.select(*S.SESSION_KEY, *[F.round(x[i], 6).alias(f"x{i}") for i in range(len(SCALED))])
 
 
 # Evaluation: every event is a case, purchases are class 1, the price is the score
@@ -366,6 +367,18 @@ def model_tables(spark, folder):
     return materialize(encoder.apply(train)), encoder.apply(test), columns
 
 
+def sound(scored, *keep):
+    """What must hold of any scores, row by row: a probability, the class that it says, and not one score for all."""
+    scored = materialize(scored)
+    varied = scored.select("score").distinct().count() > 1
+    fits = F.col("score").between(0, 1) & (F.col("prediction") == (F.col("score") > 0.5).cast("int"))
+    return scored.select(*keep, "label", (fits & F.lit(varied)).alias("sound"))
+
+
+TEST_SESSIONS = over_split("""SELECT CAST(user_id AS VARCHAR) || '_' || CAST(session AS VARCHAR) AS id, "PurchaseSession" AS label, TRUE AS sound
+FROM marked WHERE "set" = 'test'""")
+
+
 def _model(name, kind, **params):
     @check(name)
     def fitted(spark, folder):
@@ -373,6 +386,10 @@ def _model(name, kind, **params):
         trained = models.train_pipeline(train, "id", columns, "purchase_session", kind, ratio=0.5, **params)
         return trained.predict(test, "purchase_session", keep=("id",))
 
+    @check(f"{name}_rows", TEST_SESSIONS)
+    def rows_of_test(spark, folder):
+        return sound(fitted(spark, folder), "id")
+
 
 _model("logistic_regression", "logistic_regression", C=1.0, penalty="l2")
 _model("decision_tree", "decision_tree")
@@ -396,7 +413,37 @@ def score_by_ratio(spark, folder):
     return models.score_by_param(_small_search(spark, folder).results)
 
 
+# Candidates of a search, folds and scores taken from the events, to compare the reports themselves
+RUNS = """, runs AS (SELECT product_id % 7 AS candidate, CAST(product_id % 3 AS DOUBLE) / 10 AS ratio, 'p' || (product_id % 7) AS params,
+  event_id % 5 AS fold, CAST(price AS DOUBLE) / 1000 AS f1 FROM clicks)"""
+
+
+def _runs(spark, folder):
+    return clicks(spark, folder).selectExpr(
+        "product_id % 7 AS candidate", "CAST(product_id % 3 AS DOUBLE) / 10 AS ratio", "'p' || (product_id % 7) AS params",
+        "event_id % 5 AS fold", "CAST(price AS DOUBLE) / 1000 AS f1")
+
+
+@check("search_results", over_clicks(f"""{RUNS} SELECT candidate, ratio, params, ROUND(AVG(f1), 6) AS mean_test_score,
+  ROUND(STDDEV_POP(f1), 6) AS std_test_score FROM runs GROUP BY ALL"""))
+def search_results(spark, folder):
+    return rounded(models.search_results(models.Search(_runs(spark, folder), {}, None)), ["mean_test_score", "std_test_score"])
+
+
+@check("score_by_param", over_clicks(f"{RUNS} SELECT ratio, ROUND(AVG(f1), 6) AS mean_test_score FROM runs GROUP BY ratio"))
+def score_by_param(spark, folder):
+    return rounded(models.score_by_param(_runs(spark, folder)), ["mean_test_score"])
+
+
+TEST_GRAPHS = over_split(f"""SELECT {KEY}, 0 AS copy_no, ANY_VALUE(m."PurchaseSession") AS label, TRUE AS sound
+FROM marked m JOIN kept k USING ({KEY}) WHERE m."set" = 'test' AND k.event_type <> 'purchase' GROUP BY {KEY}""")
+
+
 def _graph_scores(name, kind, network=False):
+    @check(f"{name}_rows", TEST_GRAPHS)
+    def rows_of_test(spark, folder):
+        return sound(graph_scores(spark, folder), *graphs.GRAPH_KEY)
+
     @check(name)
     def graph_scores(spark, folder):
         """Scores of the test graphs; six rounds, the network chosen by its AUC on the validation graphs."""
