@@ -7,9 +7,9 @@ from clicktrail import schemas as S
 from clicktrail.functions.calendar import day_name, month_name, week_of_month
 from clicktrail.functions.durations import seconds_component
 from clicktrail.functions.text import as_int
-from clicktrail.operators import graphs, sampling
+from clicktrail.operators import evaluation, graphs, models, sampling
 from clicktrail.operators.features import enrich, labelled_events, session_table
-from clicktrail.operators.rows import not_null, only, semi
+from clicktrail.operators.rows import append, not_null, only, semi
 from clicktrail.operators.sessions import GAP, prepare_sessions
 from clicktrail.operators.transforms import min_max
 from clicktrail.spark import materialize
@@ -64,6 +64,23 @@ def tabular_frame(sessions: DataFrame) -> DataFrame:
     return typed.drop(*DROPPED).withColumnsRenamed(RENAMED)
 
 
+def tabular_models(
+    train: DataFrame, test: DataFrame, key: str, columns, label: str = "purchase_session", kinds=tuple(models.GRIDS), grids: dict | None = None, **search
+):
+    """Search, refit and test a classifier of each kind: ``(searches, metrics, curves)``.
+
+    ``searches`` has the ``models.Search`` of each kind; ``metrics`` a row of test measures per kind with its AUC; ``curves``
+    the ROC points of all kinds in one table.  ``grids`` replaces search grids by kind; further arguments go to the search.
+    """
+    searches, scored, metrics = {}, {}, []
+    for kind in kinds:
+        searches[kind] = models.random_search(train, key, columns, label, kind, grid=(grids or {}).get(kind), **search)
+        scored[kind] = materialize(searches[kind].trained.predict(test, label, keep=(key,)))
+        area = evaluation.auc(scored[kind]).scalar()
+        metrics.append(evaluation.binary_metrics(scored[kind]).select(F.lit(kind).alias("model"), "*", area.alias("auc")))
+    return searches, append(*metrics), evaluation.compare_models(scored)
+
+
 def graph_frames(events: DataFrame, sessions: DataFrame, seed: int = sampling.SEED) -> dict:
     """Events of the graph models per part, balanced and scaled: train, validation, test."""
     kept = semi(events, not_null(sessions, "set"))

@@ -335,3 +335,19 @@ def test_prices_are_not_rounded_or_lost(spark, tmp_path):
     with pytest.raises(Exception, match="unreadable price"):
         read_events(spark, path).collect()
     assert read_events(spark, path, unreadable="null").where("price IS NULL").count() == 1
+
+
+def test_all_kinds_are_searched_and_compared(signal):
+    from clicktrail.plans import flows
+
+    grids = {
+        "logistic_regression": {"C": [1.0], "penalty": ["l2"], "ratio": [0.5]},
+        "decision_tree": {"min_samples_leaf": [0.01], "ratio": [0.5]},
+        "random_forest": {"n_estimators": [5], "ratio": [0.5]},
+        "gradient_boosting": {"n_estimators": [5], "max_depth": [2], "ratio": [0.5]},
+    }
+    searches, metrics, curves = flows.tabular_models(signal, signal, "id", ["a", "b"], "y", grids=grids, n_iter=1, folds=2)
+    table = {r.model: r for r in metrics.collect()}
+    assert set(table) == set(searches) == set(models.GRIDS) and all(r.auc > 0.8 for r in table.values())
+    assert {r.model for r in curves.select("model").distinct().collect()} == set(models.GRIDS)
+    assert all(models.search_results(s).count() == 1 for s in searches.values())
