@@ -136,8 +136,8 @@ def frequent(rows: DataFrame, bits: int) -> np.ndarray:
             break
         cut = r["level"]
     top = found.where(level >= cut).toArrow()
-    order = np.lexsort((top.column("gram").to_numpy(), top.column("n").to_numpy()))
-    return top.column("gram").to_numpy()[order]
+    gram, n = top.column("gram").to_numpy(), top.column("n").to_numpy()
+    return gram[np.lexsort((gram, n))]
 
 
 def _posting_rows(sent, bits, fragment_bits):

@@ -175,8 +175,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **kw) -> Mac
         return None
     bucket, sizes = _joined(got.column("bucket"), order, np.int16)
     dense, _ = _joined(got.column("dense"), order, np.float32)
-    f = Features(np.repeat(np.arange(len(order), dtype=np.int32), sizes), bucket, _joined(got.column("value"), order, np.float32)[0], dense.reshape(len(order), -1))
-    return fit(f, labels_, **kw)
+    value, _ = _joined(got.column("value"), order, np.float32)
+    del got
+    f = Features(np.repeat(np.arange(len(order), dtype=np.int32), sizes), bucket, value, dense.reshape(len(order), -1))
+    machine = fit(f, labels_, **kw)
+    del f, bucket, value, dense
+    pa.default_memory_pool().release_unused()  # the driver goes on with the machine alone
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine | None, keep: list[str] | None = None) -> DataFrame:
