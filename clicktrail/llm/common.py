@@ -32,8 +32,3 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the body names it."""
     return F.transform(F.array(value), body)[0]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly where the input has few partitions, without looking at any key."""
-    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
