@@ -8,8 +8,9 @@ from clicktrail.spark import materialize
 
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
-#: The schedule has 2 ** BITS slots, whatever the size of the corpus; a source is off its target by a slot at most.
-BITS = 18
+#: The schedule has 2 ** BITS slots, whatever the size of the corpus.  A source of FEW slots or more is off its target by a
+#: slot at most; a smaller one takes its target to the word, in blocks of its own size that share slots with other sources.
+BITS, FEW = 18, 64
 #: Rows that one running sum takes; a source gets as many buckets as it needs for that.
 BUCKET_ROWS = 2_000
 
@@ -24,7 +25,10 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """A row per source: number, size, target, and its range of schedule slots.
+    """A row per source: number, size, target, its range of schedule slots, and its blocks.
+
+    Block b of a source holds its words from ``b * block_words / block_count`` on.  A source of fewer than ``FEW`` slots has a
+    block in every slot that its part of the cumulative targets touches, one at least.
 
     Sources count by code point, null last, and weigh ``weights`` in turn.  A target stops at ``repeats`` times the
     size of its source; what is over is shared again by weight.  The level at which that ends follows from
@@ -35,6 +39,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFr
     weigh = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("number") - 1) % n + 1).cast("int"))
     fills = Window.orderBy("stop_level", "number").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    slots_to = lambda at: F.coalesce(at.cast("double") / F.when(F.col("whole") > 0, F.col("whole").cast("double")) * 2**BITS, F.lit(0.0))
     return (
         sized.groupBy("source").agg(F.sum("size").alias("source_size"))
         .withColumn("number", F.row_number().over(by_name))
@@ -50,12 +55,17 @@ def targets(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFr
         .withColumn("exact", F.col("target").cast("decimal(28,6)"))
         .withColumn("through", F.sum("exact").over(upto))
         .withColumn("whole", F.sum("exact").over(all_rows))
+        .withColumn("from", slots_to(F.col("through") - F.col("exact")))
+        .withColumn("to", slots_to(F.col("through")))
+        .withColumn("few", (F.col("exact") > 0) & (F.col("exact").cast("double") * 2**BITS < FEW * F.col("whole").cast("double")))
+        .withColumn("first_point", F.when(F.col("few"), F.least(F.floor("from"), F.lit(2**BITS - 1))).otherwise(F.ceil("from")))
+        .withColumn("end_point", F.when(F.col("few"), F.greatest(F.ceil("to"), F.col("first_point") + 1)).otherwise(F.ceil("to")))
+        .withColumn("blocks", F.col("end_point") - F.col("first_point"))
         .select(
-            "source", "number", "source_size", "target", "words",
-            *[F.coalesce(F.ceil(at.cast("double") / F.when(F.col("whole") > 0, F.col("whole").cast("double")) * 2**BITS), F.lit(0)).alias(name)
-              for at, name in ((F.col("through") - F.col("exact"), "first_point"), (F.col("through"), "end_point"))],
+            "source", "number", "source_size", "target", "first_point", "end_point", "blocks",
+            F.when(F.col("few"), F.greatest(F.round("target").cast("long"), F.lit(1))).otherwise(F.greatest("words", F.lit(1))).alias("block_words"),
+            F.when(F.col("few"), F.col("blocks")).otherwise(F.lit(2**BITS)).alias("block_count"),
         )
-        .withColumn("blocks", F.col("end_point") - F.col("first_point"))
     )
 
 
@@ -64,7 +74,8 @@ def schedule(goals: DataFrame) -> DataFrame:
 
     Slot k stands at the van der Corput point of k, its ``BITS`` bits in reverse.  Those points are the multiples of
     2 ** -BITS, so a source takes the slots whose points lie in its part of the cumulative targets, and
-    reversing the bits of these points gives the slots back; no range join is needed.
+    reversing the bits of these points gives the slots back; no range join is needed.  A slot has a row for the source that
+    its point lies in and for each small source that touches it.
     """
     point = F.explode(F.sequence("first_point", F.col("end_point") - 1))
     slot = F.conv(F.reverse(F.lpad(F.bin("point"), BITS, "0")), 2, 10).cast("long")
@@ -79,7 +90,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> tuple[DataF
     """The mix as ``(slots, pieces)``.
 
     Each source is a stream of words: its documents in shuffled order, ``repeats`` times over, cut into blocks of
-    ``words / 2 ** BITS`` words.  The r-th slot of a source takes its r-th block.  ``slots`` is the schedule; ``pieces``
+    ``words / 2 ** BITS`` words, or those of its own size if it is small.  The r-th slot of a source takes its r-th block.  ``slots`` is the schedule; ``pieces``
     has a row for each document, turn and block: ``number, block, turn, words``, and a row without a block for a turn that
     the mix does not reach.  Joining both on source number and rank gives the training order.
 
@@ -93,7 +104,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> tuple[DataF
 
     bucket = F.pmod(F.conv(F.substring("key", 1, 12), 16, 10).cast("long"), F.lit(buckets))
     named = sized.join(
-        goals.select(F.col("source").alias("own"), "number", "source_size", "target", "words", "blocks"),
+        goals.select(F.col("source").alias("own"), "number", "source_size", "target", "blocks", "block_words", "block_count"),
         F.col("source").eqNullSafe(F.col("own")),
     ).withColumn("bucket", bucket)
     sums = (
@@ -110,9 +121,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> tuple[DataF
         .withColumn("start", F.col("turn") * F.col("source_size") + F.col("offset") + F.col("inside"))
         .withColumn("end", F.col("start") + F.col("size"))
     )
-    # block b holds words b * words div slots up to, not including, (b + 1) * words div slots
-    block_of = lambda at: F.expr(f"CAST((CAST({at} AS DECIMAL(38,0)) * {2**BITS} + {2**BITS - 1}) DIV words AS BIGINT)")
-    cut = lambda b: F.expr(f"CAST(CAST({b} AS DECIMAL(38,0)) * words DIV {2**BITS} AS BIGINT)")
+    # block b holds words b * block_words div block_count up to, not including, (b + 1) * block_words div block_count
+    block_of = lambda at: F.expr(f"CAST((CAST({at} AS DECIMAL(38,0)) * block_count + block_count - 1) DIV block_words AS BIGINT)")
+    cut = lambda b: F.expr(f"CAST(CAST({b} AS DECIMAL(38,0)) * block_words DIV block_count AS BIGINT)")
     low = F.greatest(block_of("start") - 1, F.lit(0))
     high = F.least(block_of("`end`"), F.col("blocks") - 1)
     pieces = (

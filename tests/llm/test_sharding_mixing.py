@@ -110,3 +110,22 @@ def test_schedule_is_balanced_at_every_length(frame):
         rank[r["number"]] += 1
         counts[r["number"]] += 1
         assert k < 50 or all(abs(counts[n] / k - n / 6) < 0.1 for n in (1, 2, 3))
+
+
+def test_sources_below_a_slot_meet_their_targets(frame, monkeypatch):
+    """With 2 ** 4 slots a slot has hundreds of words; sources of a few words are taken three times, not left out."""
+    monkeypatch.setattr(mixing, "BITS", 4)
+    monkeypatch.setattr(mixing, "FEW", 2)
+    rows = [(i, "w " * 100, f"s{i % 3}") for i in range(60)] + [(100 + i, "w " * (1 + i % 7), f"t{i:02}") for i in range(40)]
+    got, want, taken, goal = held(frame(rows), rows)
+    for source, target in want.items():
+        assert abs(taken[source] - target) <= (1 if source[0] == "t" else sum(want.values()) / 2**4 + 1)
+    assert all(r["taken"] == 3 * r["size"] for r in got if r["doc_id"] >= 100)
+    out = Counter(r["doc_id"] for r in mixing.mixed(frame(rows)).collect())
+    assert all(out[100 + i] == 3 for i in range(40))
+    slots = mixing.mix(frame(rows))[0].collect()
+    assert {r["slot"] for r in slots} == set(range(2**4)) and len({r["number"] for r in slots}) == 43
+    # many sources that all are below a slot, with targets below three times their size
+    rows = [(i, "w " * (5 + i % 5), f"u{i:03}") for i in range(200)]
+    _, want, taken, _ = held(frame(rows), rows)
+    assert all(abs(taken[s] - t) <= 1 for s, t in want.items())
