@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicktrail.llm.common import query, table
@@ -45,32 +45,50 @@ def grams(texts: pa.Array, n: int = N):
     return of, hashes, np.bincount(of, minlength=len(texts))
 
 
+def set_keys(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit key of each set of n-grams, the same for equal sets; 0 for the empty one."""
+    total = np.zeros(len(hashes) + 1, U)
+    np.cumsum(mix(hashes ^ U(0x5851F42D4C957F2D)), out=total[1:], dtype=U)
+    first = np.concatenate([[0], np.cumsum(n)])
+    key = mix((total[first[1:]] - total[first[:-1]]) ^ n.astype(U))
+    return np.where(n > 0, np.maximum(key, U(1)), U(0)).view(np.int64)
+
+
 def _signatures(batches):
-    """(doc_id, id, n, s1, s2): size and 128-bit signature of each set."""
+    """(doc_id, id, n, key): size and key of each set."""
     for batch in batches:
         for part in slices(batch):
-            of, hashes, n = grams(part.column("text"))
-            first = np.concatenate([[0], np.cumsum(n)])
-            both = []
-            for seed in (1, 2):
-                total = np.zeros(len(hashes) + 1, U)
-                np.cumsum(mix(hashes ^ U(seed * 0x5851F42D4C957F2D % (1 << 63))), out=total[1:], dtype=U)
-                both.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
+            _, hashes, n = grams(part.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("id"), pa.array(n.astype(np.int64)), *map(pa.array, both)], ["doc_id", "id", "n", "s1", "s2"])
+                [part.column("doc_id"), part.column("id"), pa.array(n.astype(np.int64)), pa.array(set_keys(hashes, n))], ["doc_id", "id", "n", "key"])
+
+
+def _one_each(column):
+    """(id, key, ``column``) of the first row in a task of each id and set, so that copies without an id are few."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            for part in slices(batch):
+                _, hashes, n = grams(part.column("text"))
+                keys, new = set_keys(hashes, n), []
+                for k, pair in enumerate(zip(part.column("id").to_pylist(), keys.tolist())):
+                    if pair not in seen:
+                        seen.add(pair)
+                        new.append(k)
+                new = pa.array(new, pa.int64())
+                yield pa.RecordBatch.from_arrays([x.take(new) for x in (part.column("id"), pa.array(keys), part.column(column))], ["id", "key", column])
+
+    return run
 
 
 def _sets(batch):
-    """Ids and distinct n-grams of the different sets in a batch, copies left out."""
+    """Keys and distinct n-grams of the different sets in a batch, copies left out."""
     of, hashes, n = grams(batch.column("text"))
-    ids = batch.column("id").to_numpy(zero_copy_only=False)
-    total = np.zeros(len(hashes) + 1, U)
-    np.cumsum(mix(hashes), out=total[1:], dtype=U)
-    first = np.concatenate([[0], np.cumsum(n)])
-    _, kept = np.unique(np.stack([total[first[1:]] - total[first[:-1]], n.astype(U)]), axis=1, return_index=True)
+    keys = set_keys(hashes, n)
     use = np.zeros(len(n), bool)
-    use[kept] = True
-    return ids, of[use[of]], hashes[use[of]], n
+    use[np.unique(keys, return_index=True)[1]] = True
+    return keys, of[use[of]], hashes[use[of]], n
 
 
 def _groups(keys: np.ndarray):
@@ -253,8 +271,11 @@ def linked(of: np.ndarray, hashes: np.ndarray, n: np.ndarray):
 
 def _linked(t: pa.Table) -> pa.Table:
     """(a, b): of the sets in a block, each with the smallest id that it reaches by links inside the block."""
-    order = np.argsort(t.column("cluster").to_numpy(), kind="stable")
-    cluster, ids = t.column("cluster").to_numpy()[order], t.column("id").to_numpy()[order]
+    cluster, ids = t.column("cluster").to_numpy(), t.column("id").to_numpy()
+    order = np.lexsort((ids, cluster))
+    at, _ = _groups(np.stack([cluster[order], ids[order]]))  # copies of a set that share an id may come from several tasks
+    order = order[at]
+    cluster, ids = cluster[order], ids[order]
     sets = t.column("grams").take(pa.array(order))
     a, b = [], []
     for at, size in zip(*_groups(cluster[None])):
@@ -282,68 +303,88 @@ def _gram_sets(batches):
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("block", "cluster", "id")), pa.array([s.tobytes() for s in sets], pa.binary())], ["block", "cluster", "id", "grams"])
 
 
-def near(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document.
+def _rows(docs: DataFrame, *columns) -> DataFrame:
+    return docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text")
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, id, n, key)`` of every row, and ``(key, first, component)`` of every set: its smallest id and its component.
 
-    1. Equal sets form a class; its smallest id stands for it.  So copies never meet in pairs.
+    1. Equal sets have one key, and only keys are linked, whatever the ids of their rows.  So copies never meet in pairs.
     2. The global order of n-grams puts frequent ones last (``frequent``) and the rest by hash.  It is cut into fragments;
-       a task for each counts which documents have n-grams of their prefixes in common, and the partial counts are
+       a task for each counts which sets have n-grams of their prefixes in common, and the partial counts are
        summed per pair.
     3. Candidates that hang together form a cluster, and clusters are dealt into blocks of bounded size; a cluster
        beyond a block is split into blocks that meet two by two.  In a block all overlaps are counted exactly, fragment
-       by fragment, and summed per pair; each document goes out with the smallest id that it reaches.
-    4. Components of these links, and of classes.
-
-    A text without words, null or not, has an empty set and is alone.  Null ids are one document that sorts last.  Rows that
-    share an id are one document as far as links go.  Empty tables give empty results; further columns are ignored.
+       by fragment, and summed per pair; each set goes out with the smallest key that it reaches.
+    4. Components of these links.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text")
-    marked = materialize(rows.mapInArrow(_signatures, f"doc_id {kind}, id long, n long, s1 long, s2 long"), "gram-signatures")
+    rows = _rows(docs, "doc_id")
+    marked = materialize(rows.mapInArrow(_signatures, f"doc_id {kind}, id long, n long, key long"), "gram-signatures")
     total = marked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     # fragments of some million n-grams
     bits = min(31, max(6, (total >> 22).bit_length()))
 
-    slim = rows.select("id", "text")
+    slim = rows.select("text")
     heavy = frequent(slim, bits)
     sent = spark.sparkContext.broadcast(heavy)
     postings = slim.mapInArrow(_posting_rows(sent, bits, bits), "fragment long, hash binary, id binary, n binary, place binary")
     pairs = postings.groupBy("fragment").applyInArrow(_candidates, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    clusters = components(pairs.select("a", "b"))
 
-    classes = marked.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("first"))
-    named = materialize(marked.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "id", "n", F.coalesce("first", "id").alias("first")), "gram-classes")
-    first = named.select("id", "first").distinct()
-    as_class = (
-        pairs.join(first.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a")
-        .join(first.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
-    )
-    clusters = components(as_class.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
-
-    sizes = clusters.join(named.where("id = first").groupBy("id").agg(F.max("n").alias("n")), "id")
+    sets = materialize(marked.where("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.min("id").alias("first")), "gram-sets")
+    sizes = clusters.join(sets.withColumnRenamed("key", "id"), "id")
     blocks = sizes.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_DOCS)).alias("parts"), F.sum("n").alias("grams"))
     blocks = materialize(blocks, "gram-blocks")
     small = blocks.where("parts = 1").agg(F.coalesce(F.sum("grams"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, -(-small // BLOCK_GRAMS) * 2)
     part = F.pmod(F.xxhash64("id"), F.col("parts")).alias("p")
-    member = clusters.join(blocks, "component").select("id", F.col("component").alias("cluster"), "parts", part)
+    member = sizes.join(blocks, "component").select("id", "first", F.col("component").alias("cluster"), "parts", part)
     block = F.when(
         F.col("parts") == 1, F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(buckets)))),
     ).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.concat_ws(
         "-", F.col("cluster").cast("string"), F.least(i, "p").cast("string"), F.greatest(i, "p").cast("string"))))
-    member = member.select("id", "cluster", block.alias("blocks"))
-
-    together = slim.join(member, "id").select(F.explode("blocks").alias("block"), "cluster", "id", "text")
-    sets = together.mapInArrow(_gram_sets, "block string, cluster long, id long, grams binary")
-    links = sets.groupBy("block").applyInArrow(_linked, "a long, b long")
-    # an id may stand for several sets if rows share it
-    links = links.union(named.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
-    ends = components(links)
-    return (
-        named.join(ends, "id", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-        .withColumn("component_id", F.when(F.col("component_id") < _LAST, F.col("component_id")))
-    )
+    member = member.select(F.col("id").alias("key"), F.col("first").alias("id"), "cluster", block.alias("blocks"))
+
+    one = rows.select("id", "text").mapInArrow(_one_each("text"), rows.select("id", F.col("id").alias("key"), "text").schema)
+    together = one.join(member, ["id", "key"]).select(F.explode("blocks").alias("block"), "cluster", F.col("key").alias("id"), "text")
+    grams_of = together.mapInArrow(_gram_sets, "block string, cluster long, id long, grams binary")
+    links = grams_of.groupBy("block").applyInArrow(_linked, "a long, b long")
+    ends = components(links).withColumnRenamed("id", "key")
+    return marked, sets.join(ends, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
+
+
+def near(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row; the component is the smallest id that is not null among its texts.
+
+    Texts are linked, not ids: rows that share an id, or have none, and differ in text have each the component of their text;
+    it is null if no row of the component has an id.  A text without words, null or not, has an empty set and links to
+    nothing; it goes with the smallest component of other rows of its id, if there are any.  Sets are told apart by 64-bit keys, as
+    n-grams are.  Empty tables give empty results; further columns are ignored.
+    """
+    marked, sets = _grouped(docs)
+    sets = materialize(sets, "gram-components")
+    least = sets.groupBy("component").agg(F.min("first").alias("least"))
+    full = marked.where("n > 0").join(sets.join(least, "component").select("key", "least"), "key")
+    full = materialize(full.select("doc_id", "id", "n", "least"), "gram-named")
+    others = full.groupBy("id").agg(F.min("least").alias("least"))
+    blank = marked.where("n = 0").join(others, "id", "left").select("doc_id", "id", "n", F.coalesce("least", "id").alias("least"))
+    return full.union(blank).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("least") < _LAST, F.col("least")).alias("component_id"))
+
+
+def different(docs: DataFrame) -> DataFrame:
+    """One row of each component of texts, with the smallest id in it; of rows without words, one for each id."""
+    marked, sets = _grouped(docs)
+    stay = sets.groupBy("component").agg(F.min(F.struct("first", "key")).alias("own")).select(F.col("own.first").alias("id"), "own.key")
+    stay = stay.union(marked.where("n = 0").select("id", "key").distinct())
+    rows = _rows(docs, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    one = rows.mapInArrow(_one_each("row"), rows.select("id", F.col("id").alias("key"), "row").schema)
+    kept = one.join(stay.hint("shuffle_hash"), ["id", "key"], "left_semi")
+    first = Window.partitionBy("id", "key").orderBy(F.xxhash64("row"))
+    return kept.withColumn("turn", F.row_number().over(first)).where("turn = 1").select("row.*")
 
 
 @query("op5_jaccard_join")

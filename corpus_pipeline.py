@@ -4,8 +4,7 @@ Each stage takes the table that the stage before it has written and returns it w
 the last return the columns of ``documents``.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from clicktrail.llm import decontamination, mixing, neighbours, quality, sharding
 from clicktrail.llm.common import table
@@ -19,14 +18,8 @@ def good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def different(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id; of rows that share an id, one."""
-    stay = (
-        neighbours.near(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("own")).distinct()
-    )
-    kept = docs.join(stay.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(stay["own"]), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group of near duplicate texts: one with the smallest id."""
+    return neighbours.different(docs)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -80,6 +80,20 @@ def test_near_duplicates_in_large_groups(frame, monkeypatch):
     assert sorted(map(tuple, neighbours.near(frame(rows)).collect()), key=str) == want
 
 
+def test_null_and_repeated_ids_link_by_text(frame):
+    rng = random.Random(12)
+    text = [" ".join(words(rng, 60)) for _ in range(9)]
+    rows = [(5, text[0]), (9, text[1]), (None, text[0]), (None, text[1] + " more"), (None, text[2]), (None, text[3]), (None, text[3]), (20, text[4]), (20, text[5]), (21, text[5]),
+            (30, text[6]), (None, text[7]), (31, text[7]), (31, text[8])]
+    want = [(5, 5), (9, 9), (None, 5), (None, 9), (None, None), (None, None), (None, None), (20, 20), (20, 20), (21, 20), (30, 30), (None, 31), (31, 31), (31, 31)]
+    got = neighbours.near(frame(rows))
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    kept = neighbours.different(frame(rows))
+    assert kept.columns == frame(rows).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+        [(5, text[0]), (9, text[1]), (None, text[2]), (None, text[3]), (20, text[4]), (20, text[5]), (30, text[6]), (31, text[7]), (31, text[8])], key=str)
+
+
 def test_links_of_a_cluster_are_exact():
     rng = np.random.default_rng(3)
     for many in (5, 120):
