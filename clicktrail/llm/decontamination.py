@@ -1,6 +1,7 @@
 """Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows, then exact edit distance."""
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,9 @@ from clicktrail.llm.wordhash import U, Words, mix, slices
 
 #: A window leaks an item if at most this share of the item's words must be edited.
 MAX_EDITS = 0.2
-#: Sampled coordinates of a key, and keys per window.  A window at the full distance shares about 60 % of its
-#: embedded symbols with the item, so one key meets with 0.6 ** 3 and one of 24 with 0.997.
-BITS, KEYS = 3, 24
+#: Sampled coordinates of a key; keys per window, at least and at most; and the share of items at the full distance to be found.
+#: Walks of longer items drift further apart, so ``keys_for`` measures how many keys an item of some length takes.
+BITS, KEYS, MOST_KEYS, RECALL, TRIALS = 3, 24, 96, 0.99, 256
 SLICE_BYTES = 4 << 20
 #: How far back a repeated word is looked for before windows are counted.
 ECHO = 4
@@ -52,6 +53,32 @@ def coordinates(length: int, seed: int, bits: int = BITS) -> np.ndarray:
     return np.random.default_rng([seed, length]).choice(max(1, 2 * length - 1), min(bits, max(1, 2 * length - 1)), replace=False)
 
 
+@lru_cache(maxsize=None)
+def _keys_at(length: int) -> int:
+    rng, most = np.random.default_rng([7, length]), int(MAX_EDITS * length)
+    rows = rng.integers(0, 1 << 63, (TRIALS, length), np.uint64) * U(2) + U(1)
+    shifted, replaced = rows.copy(), rows.copy()
+    for row, moved, other in zip(rows, shifted, replaced):
+        other[rng.choice(length, most, replace=False)] = rng.integers(0, 1 << 63, most, np.uint64) * U(2)
+        left = np.delete(row, rng.choice(length, most // 2, replace=False))
+        moved[:] = np.insert(left, rng.integers(0, len(left) + 1, most // 2), rng.integers(0, 1 << 63, most // 2, np.uint64) * U(2))
+    own = embed(rows, MOST_KEYS)
+    found = [np.logical_or.accumulate(own == embed(x, MOST_KEYS)).mean(1) for x in (shifted, replaced)]
+    enough = np.flatnonzero(np.minimum(*found) >= RECALL)
+    return max(KEYS, int(enough[0]) + 1) if len(enough) else 0
+
+
+def keys_for(length: int) -> int:
+    """Keys with which ``RECALL`` of the items of ``length`` words are found at the full distance, by trials with random words.
+
+    0 if walks would take more work than comparing at once, which misses nothing.  Lengths are rounded up to eight per
+    octave, so few are tried.
+    """
+    step = max(1, (1 << max(0, length.bit_length() - 1)) // 8)
+    keys = _keys_at(-(-length // step) * step) if length < 512 else 0  # no number of keys up to MOST_KEYS is enough for longer ones
+    return keys if keys <= max(KEYS, length // 2) else 0
+
+
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Edit distance between the rows of two equally tall arrays of word hashes."""
     n, width = a.shape[0], b.shape[1]
@@ -67,14 +94,14 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A benchmark part: its vocabulary, and per number of words the items, their vocabulary and their LSH keys."""
+    """A benchmark part: its vocabulary, and per number of words the items, their vocabulary and their LSH keys, if they have any."""
 
     vocabulary: np.ndarray
     filter: np.ndarray
     groups: list = field(default_factory=list)
 
     @staticmethod
-    def build(ids: list, texts: list[str], keys: int = KEYS) -> "Items":
+    def build(ids: list, texts: list[str]) -> "Items":
         words = Words(pa.array([t.encode() for t in texts], pa.binary()), lower=True)
         vocabulary = np.unique(words.hash)
         out = Items(vocabulary, np.zeros(1 << 20, bool))
@@ -84,7 +111,8 @@ class Items:
             rows = np.stack([words.hash[words.first[i]:words.first[i + 1]] for i in of])
             known = [np.searchsorted(vocabulary, np.unique(row)) for row in rows]
             tables = []
-            for hashes in embed(rows, keys):
+            keys = keys_for(length)
+            for hashes in embed(rows, keys) if keys else ():
                 order = np.argsort(hashes, kind="stable")
                 tables.append((hashes[order], order))
             out.groups.append((length, int(MAX_EDITS * length), [ids[i] for i in of], rows, known, tables))
@@ -134,29 +162,36 @@ class Items:
                 at = np.sort(place_of[np.minimum(block[:, None] + np.arange(length), len(words.hash) - 1)], axis=1)
                 new = np.ones(at.shape, bool)
                 new[:, 1:] = at[:, 1:] != at[:, :-1]
-                for one in known:
+                pairs = []  # windows and items to compare at once, where there are no keys
+                for item, one in enumerate(known):
                     own = np.zeros(len(self.vocabulary) + 1, bool)
                     own[one] = True
                     has = own[at]
-                    near |= (has.sum(1) >= shortest) & ((has & new).sum(1) >= len(one) - most)
-                self._block(words, text, ends, block[near], length, most, ids, rows, tables, found)
+                    alike = (has.sum(1) >= shortest) & ((has & new).sum(1) >= len(one) - most)
+                    near |= alike
+                    if not tables:
+                        pairs.append(np.flatnonzero(alike) * len(rows) + item)
+                if tables:
+                    self._block(words, text, ends, block[near], length, most, ids, rows, tables, found)
+                else:
+                    self._block(words, text, ends, block, length, most, ids, rows, tables, found, np.concatenate(pairs))
         return [(t, i, p, d) for (t, i), (d, p) in found.items()]
 
     @staticmethod
-    def _block(words, text, ends, start, length, most, ids, rows, tables, found):
+    def _block(words, text, ends, start, length, most, ids, rows, tables, found, pairs=None):
         if not len(start):
             return
         at = start[:, None] + np.arange(length)
         own = at < ends[text[start]][:, None]  # a text that is a little shorter than the item is one window
         windows = np.where(own, words.hash[np.minimum(at, len(words.hash) - 1)], U(0))
-        pairs = []
-        for got, (hashes, order) in zip(embed(windows, len(tables)), tables):
+        near = [] if pairs is None else [pairs]
+        for got, (hashes, order) in zip(embed(windows, len(tables)), tables) if tables else ():
             low, high = np.searchsorted(hashes, got, "left"), np.searchsorted(hashes, got, "right")
             hit = np.flatnonzero(high > low)
             n = (high - low)[hit]
             item = order[np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            pairs.append(np.repeat(hit, n) * len(rows) + item)
-        pairs = np.unique(np.concatenate(pairs))
+            near.append(np.repeat(hit, n) * len(rows) + item)
+        pairs = np.unique(np.concatenate(near))
         for part in np.array_split(pairs, max(1, len(pairs) * length >> 21)):
             w, item = part // len(rows), part % len(rows)
             missing = (~own[w]).sum(1)
@@ -177,7 +212,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, p
     Words are runs of characters between ASCII white space, A-Z lower-cased.  A document leaks an item if one of its
     windows of as many words as the item has is within ``MAX_EDITS`` of it, by words inserted, removed and replaced.  A
     document with fewer words than the item is one window.  Windows that have too few words in common with the items of
-    their size cannot be that near and are not embedded.  The nearest window counts, of equal ones the first.
+    their size cannot be that near and are not embedded; where
+    keys would be too many, all other windows are compared with the item.  The nearest window counts, of equal ones the first.
 
     Null and empty texts and items leak nothing; repeated rows are judged each; equal items are all named; empty tables
     are fine.  Nothing is shuffled: the benchmark goes to the executors in parts of at most ``part_bytes``, each part in

@@ -157,6 +157,28 @@ def test_leaks_reach_the_target_recall(spark, frame):
     assert {p[:2] for p in parts} == {g[:2] for g in got}
 
 
+def test_long_items_at_the_full_distance_are_found():
+    rng = random.Random(9)
+    for length in (59, 150, 400):
+        items = [[f"w{rng.randrange(10**6)}" for _ in range(length)] for _ in range(20)]
+        texts = []
+        for item in items:
+            for kind in range(2):
+                v = list(item)
+                if kind:
+                    for at in rng.sample(range(length), int(0.2 * length)):
+                        v[at] = "new"
+                else:  # words removed, others inserted
+                    for _ in range(int(0.1 * length)):
+                        del v[rng.randrange(len(v))]
+                    for _ in range(int(0.1 * length)):
+                        v.insert(rng.randrange(len(v)), f"x{rng.randrange(10**6)}")
+                texts.append(" ".join(["before"] * 3 + v + ["after"] * 3))
+        built = decontamination.Items.build(list(range(20)), [" ".join(i) for i in items])
+        got = {(t, i) for t, i, *_ in built.matches(decontamination.Words(decontamination.pa.array(texts), lower=True))}
+        assert len(got & {(k, k // 2) for k in range(40)}) >= 38, length
+
+
 def test_leaks_of_odd_rows(spark, odd, odd_rows, none):
     bench = spark.createDataFrame([(1, odd_rows[2][1]), (2, odd_rows[20][1]), (3, "one two")], "item_id long, text string")
     assert {tuple(r) for r in decontamination.leaks(odd, bench).collect()} >= {(2, 1, 0, 0), (20, 2, 0, 0), (53, 3, 0, 0), (54, 3, 0, 0)}
