@@ -54,9 +54,12 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 class Words:
-    """The words of some texts: ``start`` and ``end`` in ``data``, ``hash``; those of text i are ``first[i]:first[i + 1]``."""
+    """The words of some texts: ``start`` and ``end`` in ``data``, ``hash``; those of text i are ``first[i]:first[i + 1]``.
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    ``hashed=False`` leaves the hashes out.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False, hashed: bool = True):
         texts = texts.cast(pa.large_binary())
         if texts.null_count:
             texts = texts.fill_null(b"")
@@ -74,12 +77,23 @@ class Words:
         after[offsets] = False
         self.end = np.flatnonzero(ink & ~after[1:]) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.hash = runs(_digits(lower)[data], self.start, self.end) if len(data) else np.zeros(0, U)
+        self.ink = ink
+        if hashed:
+            self.hash = runs(_digits(lower)[data], self.start, self.end) if len(data) else np.zeros(0, U)
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def strings(self, lower: bool = False) -> pa.LargeBinaryArray:
+        """The words themselves, A-Z lower-cased if asked."""
+        ink = self.data[self.ink]
+        if lower:
+            ink = np.where((ink >= 65) & (ink <= 90), ink + np.uint8(32), ink)
+        ends = np.zeros(len(self.start) + 1, np.int64)
+        np.cumsum(self.end - self.start, out=ends[1:])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(ink)])
+
     def places(self) -> tuple[np.ndarray, np.ndarray]:
         """Text of each word, and its place in it."""
         text = np.repeat(np.arange(len(self.first) - 1), self.counts)
