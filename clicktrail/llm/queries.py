@@ -1,4 +1,18 @@
 """Imports every module that registers queries."""
 
-from clicktrail.llm import decontamination, mixing, neighbours, quality, rules, secrets, sharding, substrings, tokens, urls  # noqa: F401
+from clicktrail.llm import (  # noqa: F401
+    codes,
+    decontamination,
+    mixing,
+    neighbours,
+    periods,
+    quality,
+    rules,
+    scoring,
+    secrets,
+    sharding,
+    substrings,
+    tokens,
+    urls,
+)
 from clicktrail.llm.common import ORACLES, QUERIES  # noqa: F401

@@ -36,5 +36,5 @@ def test_stages_on_odd_and_empty_rows(spark, odd, none):
 
 
 def test_names():
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     assert neighbours.near and quality.judge
