@@ -82,9 +82,9 @@ def test_the_model_is_a_distribution():
         assert sum(chance(counts, list(context.encode()), s) for s in range(256) if s != scoring.BEGIN) == pytest.approx(1)
 
 
-@pytest.mark.parametrize("slice_bytes", [1000, 1 << 24])
-def test_odd_rows_against_brute_force(odd, odd_rows, monkeypatch, slice_bytes):
-    monkeypatch.setattr(scoring, "SLICE_BYTES", slice_bytes)
+@pytest.mark.parametrize("most", [0, 40, 1 << 18])
+def test_odd_rows_against_brute_force(odd, odd_rows, monkeypatch, most):
+    monkeypatch.setattr(scoring, "FREQUENT", most)
     assert any(held(r[0]) for r in odd_rows)
     check(scoring.score(odd).collect(), brute(odd_rows))
 
@@ -95,6 +95,20 @@ def test_held_out_texts_teach_nothing(frame):
     check(scoring.score(frame(rows)).collect(), brute(rows))
 
 
+def test_counts_sent_in_parts_add_up(odd, odd_rows, monkeypatch):
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"text": [r[1] or "" for r in odd_rows], "held_out": [held(r[0]) for r in odd_rows]})
+    whole = pa.Table.from_batches(list(scoring._counts([rows])))
+    monkeypatch.setattr(scoring, "MOST_KEYS", 50)
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 2000)
+    parts = pa.Table.from_batches(list(scoring._counts([rows])))
+    assert len(parts) > len(whole)
+    sums = parts.group_by(["gram", "word"]).aggregate([("n", "sum"), ("m", "sum")])
+    rows_of = lambda t, n, m: sorted(zip(t["gram"].to_pylist(), t["word"].to_pylist(), t[n].to_pylist(), t[m].to_pylist()), key=lambda r: str(r))
+    assert rows_of(sums, "n_sum", "m_sum") == rows_of(whole, "n", "m")
+
+
 def test_nothing_to_learn_from_and_no_rows(frame, none):
     only = [(i, f"text {i}") for i in range(50) if held(i)]
     got = scoring.score(frame(only)).collect()
