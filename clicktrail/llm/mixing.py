@@ -15,12 +15,16 @@ BITS, FEW = 18, 64
 BUCKET_ROWS = 2_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """Id, source and number of words of each document, in a shuffled order that repeats: the md5 of the id."""
+def sizes(docs: DataFrame, own=None) -> DataFrame:
+    """Id, source and number of words of each document, in a shuffled order that repeats: the md5 of the id, or of the text's hash.
+
+    ``own`` is a column that tells rows apart, for those who join the result with them; null without.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text")))
     return docs.select(
         "doc_id", "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
+        F.md5(name.cast("binary")).alias("key"), (F.lit(None) if own is None else own).cast("long").alias("own"),
     )
 
 
@@ -86,33 +90,33 @@ def schedule(goals: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, own=None) -> tuple[DataFrame, DataFrame]:
     """The mix as ``(slots, pieces)``.
 
     Each source is a stream of words: its documents in shuffled order, ``repeats`` times over, cut into blocks of
-    ``words / 2 ** BITS`` words, or those of its own size if it is small.  The r-th slot of a source takes its r-th block.  ``slots`` is the schedule; ``pieces``
-    has a row for each document, turn and block: ``number, block, turn, words``, and a row without a block for a turn that
+    ``words / 2 ** BITS`` words, or those of its own size if it is small.  The r-th slot of a source takes its r-th block.
+    ``slots`` is the schedule; ``pieces`` has a row for each document, turn and block: ``number, block, turn, words``, and a row without a block for a turn that
     the mix does not reach.  Joining both on source number and rank gives the training order.
 
     Positions come from per-bucket totals, so a source of any size is summed in parallel.  Null or empty
     texts have size 0 and are never taken; a null source is a source; repeated rows count each by itself; empty
     tables give empty results.  Reruns agree: everything depends on ids and sizes alone.
     """
-    sized = materialize(sizes(docs), "mix-sizes")
+    sized = materialize(sizes(docs, own), "mix-sizes")
     buckets = max(1, sized.count() // BUCKET_ROWS)
     goals = materialize(targets(sized, weights, repeats), "mix-targets")
 
     bucket = F.pmod(F.conv(F.substring("key", 1, 12), 16, 10).cast("long"), F.lit(buckets))
     named = sized.join(
-        goals.select(F.col("source").alias("own"), "number", "source_size", "target", "blocks", "block_words", "block_count"),
-        F.col("source").eqNullSafe(F.col("own")),
+        goals.select(F.col("source").alias("of"), "number", "source_size", "target", "blocks", "block_words", "block_count"),
+        F.col("source").eqNullSafe(F.col("of")),
     ).withColumn("bucket", bucket)
     sums = (
         named.groupBy("number", "bucket").agg(F.sum("size").alias("n"))
         .withColumn("offset", F.sum("n").over(Window.partitionBy("number").orderBy("bucket")) - F.col("n"))
         .select("number", "bucket", "offset")
     )
-    inside = Window.partitionBy("number", "bucket").orderBy("key", "doc_id", "size")
+    inside = Window.partitionBy("number", "bucket").orderBy("key", "doc_id", "size", "own")
     placed = (
         named.withColumn("row", F.row_number().over(inside))
         .withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -129,22 +133,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> tuple[DataF
     pieces = (
         placed.withColumn("block", F.explode_outer(F.when((F.col("size") > 0) & (F.col("blocks") > 0) & (low <= high), F.sequence(low, high))))
         .withColumn("words", F.greatest(F.lit(0), F.least("end", cut("(block + 1)")) - F.greatest("start", cut("block"))))
-        .select("doc_id", "size", "source", "source_size", "target", "number", "bucket", "row", "turn", "start", "block", "words")
+        .select("doc_id", "own", "size", "source", "source_size", "target", "number", "bucket", "row", "turn", "start", "block", "words")
     )
     return schedule(goals), pieces
 
 
-def taken(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+def taken(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, own=None) -> DataFrame:
     """A row per document: how many of its words the mix takes, repeats counted, and in how many turns most of it."""
-    slots, pieces = mix(docs, weights, repeats)
+    slots, pieces = mix(docs, weights, repeats, own)
     joined = pieces.join(slots, (pieces["number"] == slots["number"]) & (pieces["block"] == slots["rank"]), "left")
     used = F.when(F.col("slot").isNotNull(), pieces["words"])
     turns = (
-        joined.groupBy("doc_id", "size", "source_size", "target", pieces["number"], "bucket", "row", "turn")
+        joined.groupBy("doc_id", "own", "size", "source_size", "target", pieces["number"], "bucket", "row", "turn")
         .agg(F.coalesce(F.sum(used), F.lit(0)).alias("taken"))
     )
     return (
-        turns.groupBy("doc_id", "size", "source_size", "target", "number", "bucket", "row")
+        turns.groupBy("doc_id", "own", "size", "source_size", "target", "number", "bucket", "row")
         .agg(F.sum("taken").alias("taken"), F.sum((2 * F.col("taken") > F.col("size")).cast("int")).alias("copies"))
         .drop("number", "bucket", "row")
     )
@@ -153,16 +157,14 @@ def taken(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame
 def mixed(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The documents of the mix, each as often as the mix takes more than half of it in a turn.
 
-    Documents without words cost nothing and stay once.  Rows that share an id share the highest count among them.
+    Documents without words cost nothing and stay once.  Rows are numbered and written first, so that rows without an id, or
+    with the same one, have each their own count.
     """
-    counts = (
-        taken(docs, weights, repeats)
-        .groupBy(F.col("doc_id").alias("own")).agg(F.max(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("n"))
-        .where("n > 0")
-    )
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["own"]))
-    again = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("n"))).alias("__turn"))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    record = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("record")
+    rows = materialize(docs.select(record, F.monotonically_increasing_id().alias("own")), "mix-rows")
+    slim = rows.select("record.doc_id", "record.source", "record.text", "own")
+    counts = taken(slim, weights, repeats, F.col("own")).select("own", F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias("n")).where("n > 0")
+    return rows.join(counts, "own").select("record", F.explode(F.sequence(F.lit(1), F.col("n")))).select("record.*")
 
 
 SQL = f"""

@@ -129,3 +129,33 @@ def test_sources_below_a_slot_meet_their_targets(frame, monkeypatch):
     rows = [(i, "w " * (5 + i % 5), f"u{i:03}") for i in range(200)]
     _, want, taken, _ = held(frame(rows), rows)
     assert all(abs(taken[s] - t) <= 1 for s, t in want.items())
+
+
+def test_mix_of_rows_without_ids_meets_targets(frame):
+    """A third of the rows has no id, others share one; each row has its own count."""
+    rng = random.Random(11)
+    rows = [(None if i % 3 == 0 else i // 4 * 4 if i % 3 == 1 else i, f"text{i} " + "w " * rng.randint(20, 40), f"s{i % 4}") for i in range(1200)]
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    want, got, copies = targets(sizes), Counter(), Counter()
+    for r in mixing.mixed(frame(rows)).collect():
+        got[r["source"]] += len(r["text"].split())
+        copies[r["text"]] += 1
+    assert max(copies.values()) <= 3 and set(copies) <= {r[1] for r in rows}
+    for source, target in want.items():
+        assert abs(got[source] - target) <= 0.02 * target + 80
+
+
+def test_written_shards_hold_every_row_of_a_mix_once(spark, frame, tmp_path):
+    rng = random.Random(13)
+    rows = [(None if i % 3 == 0 else i // 2, f"text{i} " + "w " * rng.randint(1, 60), f"s{i % 3}") for i in range(300)]
+    mix = spark.createDataFrame(mixing.mixed(frame(rows)).collect(), frame(rows).schema)
+    assert mix.count() > mix.select("text").distinct().count()
+    placed = sharding.write_shards(mix, str(tmp_path / "out"), 7)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == set(mix.columns)
+    kept = [c for c in mix.columns if c != "shard"]
+    assert Counter(map(tuple, back.select(kept).collect())) == Counter(map(tuple, mix.select(kept).collect()))
+    by_shard = lambda df: Counter((r["shard"], r["doc_id"], r["crc"]) for r in df.collect())
+    assert by_shard(back.selectExpr("shard", "doc_id", "crc32(text) crc")) == by_shard(placed.selectExpr("shard", "doc_id", "text_crc32 crc"))
