@@ -153,30 +153,56 @@ def test_leaks_reach_the_target_recall(spark, frame):
     assert len({g[:2] for g in got}) >= 0.9 * len({w[:2] for w in want})
     exact = {w for w in want if w[3] == 0}
     assert exact and exact <= got
-    parts = {tuple(r) for r in decontamination.scan(frame(rows), bench, ["doc_id"], part_bytes=900).selectExpr("row.doc_id", "inline(leaks)").collect()}
-    assert {p[:2] for p in parts} == {g[:2] for g in got}
-
-
-def test_long_items_at_the_full_distance_are_found():
+    parts = {tuple(r) for r in decontamination.scan(frame(rows), bench, ["doc_id"], part_bytes=900).selectExpr("row.doc_id", "item_id").collect()}
+    assert parts == {g[:2] for g in got}
+
+
+def edited(rng, item, kind):
+    """The item with a fifth of its words replaced, or a tenth removed and a tenth inserted."""
+    v = list(item)
+    if kind:
+        for at in rng.sample(range(len(item)), int(0.2 * len(item))):
+            v[at] = "new"
+        return v
+    for _ in range(int(0.1 * len(item))):
+        del v[rng.randrange(len(v))]
+    for _ in range(int(0.1 * len(item))):
+        v.insert(rng.randrange(len(v)), f"x{rng.randrange(10**6)}")
+    return v
+
+
+def test_keys_alone_find_items_of_every_length():
+    """At the full distance; no length is without keys, and whatever is found shares one."""
     rng = random.Random(9)
-    for length in (59, 150, 400):
+    for length in (5, 12, 16, 30, 59, 150, 400, 512):
+        plan = decontamination.plan(decontamination.planned(length))
+        assert plan[0] >= 1 and 1 <= plan[1] <= decontamination.KEYS
         items = [[f"w{rng.randrange(10**6)}" for _ in range(length)] for _ in range(20)]
-        texts = []
-        for item in items:
-            for kind in range(2):
-                v = list(item)
-                if kind:
-                    for at in rng.sample(range(length), int(0.2 * length)):
-                        v[at] = "new"
-                else:  # words removed, others inserted
-                    for _ in range(int(0.1 * length)):
-                        del v[rng.randrange(len(v))]
-                    for _ in range(int(0.1 * length)):
-                        v.insert(rng.randrange(len(v)), f"x{rng.randrange(10**6)}")
-                texts.append(" ".join(["before"] * 3 + v + ["after"] * 3))
-        built = decontamination.Items.build(list(range(20)), [" ".join(i) for i in items])
-        got = {(t, i) for t, i, *_ in built.matches(decontamination.Words(decontamination.pa.array(texts), lower=True))}
-        assert len(got & {(k, k // 2) for k in range(40)}) >= 38, length
+        texts = [" ".join(["before"] * 3 + edited(rng, item, kind) + ["after"] * 3) for item in items for kind in range(2)]
+        hashed = lambda t: decontamination.Words(decontamination.pa.array(t), lower=True)
+        own = hashed([" ".join(i) for i in items])
+        rows = [own.hash[a:b] for a, b in zip(own.first, own.first[1:])]
+        built = decontamination.Items(np.arange(20), rows, {decontamination.planned(length): plan})
+        words, n = hashed(texts), len(texts)
+        got = {(t, i) for t, i, *_ in built.matches(words.hash, words.first, np.zeros(n, int), np.diff(words.first), np.diff(words.first))}
+        want = {(k, k // 2) for k in range(2 * len(items)) if edits(items[k // 2], texts[k].split()[3:3 + length]) <= int(0.2 * length)}
+        assert len(want) >= 20 and len(got & want) >= 0.9 * len(want), length
+
+
+def test_pieces_of_long_texts_lose_no_window(spark, frame, monkeypatch):
+    """Items at the ends of pieces, in texts that are cut into many."""
+    monkeypatch.setattr(decontamination, "PIECE", 40)
+    monkeypatch.setattr(decontamination, "GROUP_BYTES", 4000)
+    rng = random.Random(15)
+    items = [(k, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randint(16, 40)))) for k in range(30)]
+    texts = []
+    for i in range(12):
+        order = rng.sample(range(30), 30)
+        texts.append((i if i else None, " ".join(items[k][1] for k in order)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in decontamination.leaks(frame(texts), bench).collect()]
+    assert len(got) == len(set(got)) and {g for g in got if g[3] == 0} == {w for w in leaked(texts, items) if w[3] == 0}
+    assert len([g for g in got if g[3] == 0]) >= 360
 
 
 def test_leaks_of_odd_rows(spark, odd, odd_rows, none):
