@@ -32,7 +32,7 @@ BITS, KEYS, RECALL, TRIALS = 3, 96, 0.99, 128
 RUN = 4
 SLICE_BYTES = 4 << 20
 #: Benchmark text in a part; hashed words of pieces in a group; window starts in a piece, at least; bits of the filter, at least and at most.
-PART_BYTES, GROUP_BYTES, PIECE, FILTER = 2 << 20, 8 << 20, 1024, (16, 26)
+PART_BYTES, GROUP_BYTES, PIECE, FILTER = 2 << 20, 2 << 20, 1024, (22, 26)
 PIECES = "uid long, at long, starts long, words long, hashes binary, runs array<long>"
 
 
@@ -165,7 +165,7 @@ def prepared(benchmark: DataFrame) -> DataFrame:
 
 def bloom(runs: DataFrame, total: int) -> np.ndarray:
     """A Bloom filter over the column ``run``, two bits each, as 64-bit words; its size follows ``total`` within ``FILTER``."""
-    bits = min(FILTER[1], max(FILTER[0], (16 * total).bit_length()))
+    bits = min(FILTER[1], max(FILTER[0], (32 * total).bit_length()))
     mask = (1 << bits) - 1
     place = F.explode(F.array(F.col("run").bitwiseAND(mask), F.shiftrightunsigned("run", 32).bitwiseAND(mask)))
     words = (
