@@ -160,9 +160,12 @@ def _made(batches):
 
 def _fitted(kw: dict):
     def run(batches):
-        got = pa.Table.from_batches(list(batches))
-        order = np.argsort(got.column("doc_id").to_numpy(), kind="stable") if len(got) else np.zeros(0, np.int64)
-        labels = got.column("label").to_numpy()[order].astype(np.float32) if len(got) else np.zeros(0, np.float32)
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        got = pa.Table.from_batches(batches)
+        order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+        labels = got.column("label").to_numpy()[order].astype(np.float32)
         if len(set(labels.tolist())) == 2:
             bucket, sizes = _joined(got.column("bucket"), order, np.int16)
             dense, _ = _joined(got.column("dense"), order, np.float32)
@@ -191,95 +194,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **kw) -> Mac
     return pickle.loads(got[0]["machine"]) if got else None
 
 
-def score(self, f: Features) -> np.ndarray:
-        text, index, value = self.entries(f)
-        return 1 / (1 + np.exp(-np.clip(self.raw(text, index, value, len(f.dense))[0], -30, 30)))
-
-
-def fit(f: Features, labels: np.ndarray, buckets: int = BUCKETS, rank: int = RANK, epochs: int = 12, batch: int = 128, seed: int = 7) -> Machine:
-    """Adagrad on the log loss with a little decay; rows in a seeded order, so equal inputs give equal machines."""
-    rng, n, d = np.random.default_rng(seed), len(f.dense), f.dense.shape[1]
-    share = np.clip(labels.mean(), 0.01, 0.99)
-    m = Machine(f.dense.mean(0), f.dense.std(0) + 1e-3, float(np.log(share / (1 - share))), np.zeros(buckets + d, np.float32),
-                rng.normal(0, 0.02, (buckets + d, rank)).astype(np.float32))
-    first = np.searchsorted(f.text, np.arange(n + 1))
-    gw, gv, gb = np.full(len(m.weight), 1e-2, np.float32), np.full(m.factor.shape, 1e-2, np.float32), 1e-2
-    for epoch in range(epochs):
-        order, rate = rng.permutation(n), 0.1 / (1 + 0.3 * epoch)
-        for at in range(0, n, batch):
-            chosen = order[at:at + batch]
-            sizes = first[chosen + 1] - first[chosen]
-            own = np.arange(sizes.sum()) + np.repeat(first[chosen] - np.cumsum(sizes) + sizes, sizes)
-            part = Features(np.repeat(np.arange(len(chosen)), sizes), f.bucket[own].astype(np.int64), f.value[own], f.dense[chosen])
-            text, index, value = m.entries(part)
-            out, sums = m.raw(text, index, value, len(chosen))
-            error = ((1 / (1 + np.exp(-np.clip(out, -30, 30))) - labels[chosen]) / len(chosen)).astype(np.float32)
-            used, own = np.unique(index, return_inverse=True)
-            e = error[text] * value
-            w = np.bincount(own, e, len(used)) + 1e-5 * m.weight[used]
-            v = np.stack([np.bincount(own, e * (sums[text, k] - m.factor[index, k] * value), len(used)) for k in range(rank)], 1) + 1e-5 * m.factor[used]
-            gw[used] += w**2
-            gv[used] += v**2
-            gb += error.sum() ** 2
-            m.weight[used] -= rate * w / np.sqrt(gw[used])
-            m.factor[used] -= rate * v / np.sqrt(gv[used])
-            m.bias -= float(rate * error.sum() / np.sqrt(gb))
-    return m
-
-
-def _joined(column: pa.ChunkedArray, order: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
-    """The arrays in a binary column, end to end in the given order, and how long each is; without a Python object per row."""
-    whole = column.combine_chunks().cast(pa.large_binary()).take(pa.array(order))
-    whole = whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole
-    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset:whole.offset + len(whole) + 1]
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(whole.buffers()[2], kind)[offsets[0] // size:offsets[-1] // size], np.diff(offsets) // size
-
-
-def held_out(id_) -> F.Column:
-    """Rows that the fit never sees."""
-    return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **kw) -> Machine | None:
-    """Fit on at most ``sample`` labelled documents outside the held-out third; None where there are none of both kinds.
-
-    The chosen ids are at most ``sample`` rows, so they are broadcast; features are made on the executors.
-    """
-    chosen = (
-        labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"))
-        .where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-
-    def make(batches):
-        for batch in batches:
-            for part in slices(batch):
-                f = features(part.column("text"))
-                ends = np.cumsum(np.bincount(f.text, minlength=part.num_rows))[:-1]
-                lists = [[x.tobytes() for x in np.split(a, ends)] for a in (f.bucket.astype(np.int16), f.value)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("label").cast(pa.int32()), *[pa.array(x, pa.binary()) for x in (*lists, [r.tobytes() for r in f.dense])]],
-                    ["doc_id", "label", "bucket", "value", "dense"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    made = rows.mapInArrow(make, f"doc_id {kind}, label int, bucket binary, value binary, dense binary")
-    got = made.limit(sample).toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    labels_ = got.column("label").to_numpy()[order].astype(np.float32)
-    if len(set(labels_.tolist())) < 2:
-        return None
-    bucket, sizes = _joined(got.column("bucket"), order, np.int16)
-    dense, _ = _joined(got.column("dense"), order, np.float32)
-    value, _ = _joined(got.column("value"), order, np.float32)
-    del got
-    f = Features(np.repeat(np.arange(len(order), dtype=np.int32), sizes), bucket, value, dense.reshape(len(order), -1))
-    machine = fit(f, labels_, **kw)
-    del f, bucket, value, dense
-    pa.default_memory_pool().release_unused()  # the driver goes on with the machine alone
-    return machine
-
-
 def score(docs: DataFrame, machine: Machine | None, keep: list[str] | None = None) -> DataFrame:
     """``(row, score)``: the columns ``keep`` (all) of every document as a struct, and its quality between 0 and 1.
 
