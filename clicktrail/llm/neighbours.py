@@ -19,6 +19,11 @@ COMMON = 4
 HEAVIEST = 1 << 19
 #: A group of up to this many documents under one n-gram is paired; larger ones are tied to their first document.
 PAIRED = 8
+#: Different sets that link have four n-grams in common at least.  Prefixes are so long that links have SHARED of them there, and
+#: pairs whose partial counts add up to fewer are no candidates.
+SHARED = 3
+#: n-grams of a fragment.
+FRAGMENT = 1 << 20
 #: What a task holds at most: n-grams before they are sent, n-grams and documents of a block.
 HELD, BLOCK_GRAMS, BLOCK_DOCS = 1 << 20, 1 << 21, 2048
 FRAGMENTS = 8
@@ -122,28 +127,34 @@ def _packed(batches, collect, emit):
 
 
 def _gram_rows(bits):
-    """(fragment, grams): the next 32 bits of all n-grams of a fragment, one array per task and fragment."""
+    """(fragment, grams, counts): the next 32 bits of the n-grams of a fragment and in how many sets of the task each is."""
 
     def emit(arrays):
         hashes = np.sort(arrays[0])
+        at, n = _groups((hashes >> U(32 - bits))[None])
+        hashes, n = hashes[at], n.astype(np.uint32)
         parts = _cut(hashes, bits)
         low = ((hashes >> U(32 - bits)) & U(0xFFFFFFFF)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in parts], pa.int64()), pa.array([low[s].tobytes() for _, s in parts], pa.binary())], ["fragment", "grams"])
+        packed = [pa.array([x[s].tobytes() for _, s in parts], pa.binary()) for x in (low, n)]
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in parts], pa.int64()), *packed], ["fragment", "grams", "counts"])
 
     return lambda batches: _packed(batches, lambda part: (_sets(part)[2],), emit)
 
 
 def _frequent(t: pa.Table) -> pa.Table:
     """(gram, n): n-grams of a fragment that are in more than COMMON documents."""
-    low = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("grams").to_pylist()]))
-    at, n = _groups(low[None])
+    low, counts = (np.concatenate([np.frombuffer(x, np.uint32) for x in t.column(c).to_pylist()]) for c in ("grams", "counts"))
+    order = np.argsort(low, kind="stable")
+    low, total = low[order], np.concatenate([[0], np.cumsum(counts[order], dtype=np.int64)])
+    at, size = _groups(low[None])
+    n = total[at + size] - total[at]
     gram = (int(t.column("fragment")[0].as_py()) << 32) + low[at[n > COMMON]].astype(np.int64)
     return pa.table({"gram": gram, "n": n[n > COMMON].astype(np.int64)})
 
 
 def frequent(rows: DataFrame, bits: int) -> np.ndarray:
     """The most frequent n-grams as their first ``bits + 32`` bits, rarest first; bounded by HEAVIEST."""
-    sent = rows.mapInArrow(_gram_rows(bits), "fragment long, grams binary")
+    sent = rows.mapInArrow(_gram_rows(bits), "fragment long, grams binary, counts binary")
     found = sent.groupBy("fragment").applyInArrow(_frequent, "gram long, n long")
     found = materialize(found, "gram-frequencies")
     level = F.floor(F.log2("n") * 16).cast("int")  # at most some hundred levels reach the driver
@@ -159,9 +170,11 @@ def frequent(rows: DataFrame, bits: int) -> np.ndarray:
 
 
 def _posting_rows(sent, bits, fragment_bits):
-    """(fragment, hash, id, n, place): the first n-grams of each set in the global order, packed by fragment.
+    """(fragment, hash, id, n, place, many): the first n-grams of each set in the global order, packed by fragment.
 
-    Sets that link have one of these in common: a set of n has n - ceil(4 n / 5) + 1.
+    Sets that link have SHARED of these in common: a set of n has n - ceil(4 n / 5) + SHARED.  An n-gram that more than PAIRED sets
+    of the task have goes out once, with their number; the sets are tied to its first, in a row without a fragment: ``hash`` holds
+    the first ones' ids there, and ``id`` the others'.
     """
     state = {}
 
@@ -184,48 +197,84 @@ def _posting_rows(sent, bits, fragment_bits):
         of, hashes = of[order], hashes[order]
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
         place = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of)))) if len(of) else of
-        use = place < n[of] - (FIFTHS * n[of] + 4) // 5 + 1
+        use = place < n[of] - (FIFTHS * n[of] + 4) // 5 + SHARED
         return hashes[use], ids[of[use]], n[of[use]].astype(np.int32), place[use].astype(np.int32)
 
     def emit(arrays):
-        order = np.argsort(arrays[0], kind="stable")
+        order = np.lexsort((arrays[1], arrays[0]))
         arrays = [x[order] for x in arrays]
+        new, _ = _groups(np.stack([arrays[0], arrays[1].view(U)]))
+        arrays = [x[new] for x in arrays]
+        at, size = _groups(arrays[0][None])
+        large = np.repeat(size > PAIRED, size)
+        lead = np.repeat(at, size)
+        tied = np.flatnonzero(large & (lead != np.arange(len(lead))))
+        ties = np.unique(np.stack([arrays[1][lead[tied]], arrays[1][tied]]), axis=1)
+        arrays.append(np.repeat(size, size).astype(np.int32))
+        stay = np.ones(len(lead), bool)
+        stay[tied] = False
+        arrays = [x[stay] for x in arrays]
         parts = _cut(arrays[0], fragment_bits)
-        columns = [pa.array([x[s].tobytes() for _, s in parts], pa.binary()) for x in arrays]
-        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in parts], pa.int64()), *columns], ["fragment", "hash", "id", "n", "place"])
+        columns = [[x[s].tobytes() for _, s in parts] for x in arrays]
+        for column, extra in zip(columns, (ties[0].tobytes(), ties[1].tobytes(), None, None, None)):
+            column.append(extra)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*(f for f, _ in parts), None], pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], ["fragment", "hash", "id", "n", "place", "many"])
 
     return lambda batches: _packed(batches, collect, emit)
 
 
+def _ties(batches):
+    """(a, b, n): the ties that tasks have sent; each is a candidate."""
+    for batch in batches:
+        a, b = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in batch.column(c)] or [np.zeros(0, np.int64)]) for c in ("hash", "id"))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), SHARED))], ["a", "b", "n"])
+
+
 def _candidates(t: pa.Table) -> pa.Table:
     """(a, b, n): for a fragment, which documents have how many of their first n-grams in common.
 
-    Pairs whose sizes or places rule out enough n-grams in common are left out; the first common n-gram of a link
-    never rules it out.  In a large group every document is only tied to the first, to be compared later as a block.
+    Pairs whose sizes or places rule out enough n-grams in common are left out; the first SHARED common n-grams of a link
+    never rule it out.  In a large group every document is only tied to the first, to be compared later as a block.
     """
-    h, ids, n, place = (np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()])
-                        for c, k in (("hash", U), ("id", np.int64), ("n", np.int32), ("place", np.int32)))
-    order = np.lexsort((ids, h))
-    h, ids, n, place = (x[order] for x in (h, ids, n, place))
+    h, ids, n, place, many = (np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()])
+                              for c, k in (("hash", U), ("id", np.int64), ("n", np.int32), ("place", np.int32), ("many", np.int32)))
+    order = np.lexsort((-many, ids, h))
+    h, ids, n, place, many = (x[order] for x in (h, ids, n, place, many))
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])])
-    h, ids, n, place = (x[new] for x in (h, ids, n, place))
+    h, ids, n, place, many = (x[new] for x in (h, ids, n, place, many))
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     size = np.diff(np.append(at, len(h)))
-    large = np.repeat(size > PAIRED, size)
+    large = np.repeat(np.maximum(size, np.maximum.reduceat(many, at)) > PAIRED, size)
     found = []
     for d in range(1, PAIRED):
         i = np.flatnonzero((h[d:] == h[:-d]) & ~large[d:])
         if not len(i):
             break
         j, a, b = i + d, n[i].astype(np.int64), n[i + d].astype(np.int64)
-        rest = np.minimum(a - place[i], b - place[j])
+        rest = np.minimum(a - place[i], b - place[j]) + SHARED - 1
         ok = (5 * np.minimum(a, b) >= FIFTHS * np.maximum(a, b)) & (9 * rest >= FIFTHS * (a + b))
-        found.append((ids[i[ok]], ids[j[ok]]))
+        found.append((np.minimum(ids[i[ok]], ids[j[ok]]), np.maximum(ids[i[ok]], ids[j[ok]])))
+    pairs, count = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1, return_counts=True) if found else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
     tied = np.flatnonzero(large)
     lead = np.repeat(at, size)[tied]
-    found.append((ids[lead[lead != tied]], ids[tied[lead != tied]]))
-    pairs, count = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1, return_counts=True)
-    return pa.table({"a": pairs[0], "b": pairs[1], "n": count.astype(np.int64)})
+    ties = np.unique(np.stack([ids[lead[lead != tied]], ids[tied[lead != tied]]]), axis=1)
+    both = np.concatenate([pairs, ties], axis=1)
+    return pa.table({"a": both[0], "b": both[1], "n": np.concatenate([count, np.full(ties.shape[1], SHARED)]).astype(np.int64)})
+
+
+def candidates(rows: DataFrame, total: int) -> DataFrame:
+    """``(a, b, n)``: keys of sets that may link; ``n``, summed over the fragments, decides.
+
+    ``total`` is the number of n-grams in all rows, copies included.
+    """
+    bits = min(31, max(9, (total // FRAGMENT).bit_length()))
+    sent = rows.sparkSession.sparkContext.broadcast(frequent(rows, bits))  # HEAVIEST n-grams at most
+    postings = materialize(rows.mapInArrow(_posting_rows(sent, bits, bits), "fragment long, hash binary, id binary, n binary, place binary, many binary"), "gram-postings")
+    sent.unpersist()
+    partial = postings.where("fragment IS NOT NULL").groupBy("fragment").applyInArrow(_candidates, "a long, b long, n long")
+    ties = postings.where("fragment IS NULL").select("hash", "id").mapInArrow(_ties, "a long, b long, n long")
+    return partial.union(ties).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED)
 
 
 def _pairs_of(h: np.ndarray, r: np.ndarray):
@@ -313,26 +362,17 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     1. Equal sets have one key, and only keys are linked, whatever the ids of their rows.  So copies never meet in pairs.
     2. The global order of n-grams puts frequent ones last (``frequent``) and the rest by hash.  It is cut into fragments;
        a task for each counts which sets have n-grams of their prefixes in common, and the partial counts are
-       summed per pair.
+       summed per pair; pairs with a sum below SHARED go (``candidates``).
     3. Candidates that hang together form a cluster, and clusters are dealt into blocks of bounded size; a cluster
        beyond a block is split into blocks that meet two by two.  In a block all overlaps are counted exactly, fragment
        by fragment, and summed per pair; each set goes out with the smallest key that it reaches.
     4. Components of these links.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _rows(docs, "doc_id")
     marked = materialize(rows.mapInArrow(_signatures, f"doc_id {kind}, id long, n long, key long"), "gram-signatures")
     total = marked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    # fragments of some million n-grams
-    bits = min(31, max(6, (total >> 22).bit_length()))
-
-    slim = rows.select("text")
-    heavy = frequent(slim, bits)
-    sent = spark.sparkContext.broadcast(heavy)
-    postings = slim.mapInArrow(_posting_rows(sent, bits, bits), "fragment long, hash binary, id binary, n binary, place binary")
-    pairs = postings.groupBy("fragment").applyInArrow(_candidates, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    clusters = components(pairs.select("a", "b"))
+    clusters = components(candidates(rows.select("text"), total).select("a", "b"))
 
     sets = materialize(marked.where("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.min("id").alias("first")), "gram-sets")
     sizes = clusters.join(sets.withColumnRenamed("key", "id"), "id")

@@ -94,6 +94,45 @@ def test_null_and_repeated_ids_link_by_text(frame):
         [(5, text[0]), (9, text[1]), (None, text[2]), (None, text[3]), (20, text[4]), (20, text[5]), (30, text[6]), (31, text[7]), (31, text[8])], key=str)
 
 
+def test_the_sum_of_partial_counts_decides(spark, frame, monkeypatch):
+    """Texts with a few rare n-grams in common, in several fragments: candidates by one of them, but not by the sum."""
+    rng = random.Random(31)
+    rows, links = [], 0
+    for i in range(120):
+        w = words(rng, 40)
+        rows.append((2 * i, " ".join(w)))
+        other = words(rng, 40)
+        if i % 3 == 0:  # near copies
+            other, links = [*w[:-1], "changed"], links + 1
+        else:  # one or two n-grams in common
+            other[10:15 + i % 3 - 1] = w[10:15 + i % 3 - 1]
+        rows.append((2 * i + 1, " ".join(other)))
+    text = frame(rows).select("text")
+    one = lambda low: {(r["a"], r["b"]) for r in (monkeypatch.setattr(neighbours, "SHARED", low), neighbours.candidates(text, 240 * 36))[1].collect()}
+    few, many = one(3), one(1)
+    assert links <= len(few) < len(many) and len(many - few) > 10
+    monkeypatch.setattr(neighbours, "SHARED", 3)
+    assert sorted(map(tuple, neighbours.near(frame(rows)).collect()), key=str) == joined(rows)
+
+
+def test_a_hot_ngram_costs_a_row_per_task():
+    rng = random.Random(3)
+    passage = words(rng, 30)
+    texts = [" ".join([*passage, *(f"n{rng.randrange(10**6)}" for _ in range(k % 9))]) for k in range(3000)]
+    batch = neighbours.pa.RecordBatch.from_pydict({"text": texts})
+    class Sent:
+        value = np.zeros(0, np.int64)
+    out = neighbours.pa.Table.from_batches(list(neighbours._posting_rows(Sent, 9, 9)([batch])))
+    own = out.filter(neighbours.pa.compute.is_valid(out["fragment"]))
+    hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in own["hash"]])
+    many = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in own["many"]])
+    _, counts = np.unique(hashes, return_counts=True)
+    assert counts.max() <= neighbours.PAIRED and many.max() > 500
+    sent = neighbours.pa.Table.from_batches(list(neighbours._gram_rows(9)([batch])))
+    grams = [np.frombuffer(x.as_py(), np.uint32) for x in sent["grams"]]
+    assert all(len(np.unique(g)) == len(g) for g in grams) and max(np.frombuffer(x.as_py(), np.uint32).max() for x in sent["counts"]) > 1500
+
+
 def test_links_of_a_cluster_are_exact():
     rng = np.random.default_rng(3)
     for many in (5, 120):
