@@ -1,7 +1,13 @@
-"""Exact nearest neighbours and synthetic minority rows.
+"""Nearest neighbours, by hashed projections or exact, and synthetic minority rows.
 
-The neighbour search never pairs all rows.  Copies are collapsed first.  Distinct
-vectors are grouped around pivots and each group is cut into blocks of bounded
+Neither search pairs all rows.  Copies are collapsed first.
+
+``projected``, which ``smote`` uses, cuts the vectors into buckets of bounded size by random projections, ``TREES`` times over: a
+bucket is halved at the median of a random direction until it has ``BUCKET`` vectors or fewer, and each vector looks for its neighbours
+in its own buckets.  A row is compared with ``TREES * BUCKET`` others at most, whatever the size and the number of columns.
+The first cuts come from a bounded sample, the others from all vectors of a group; up to ``BUCKET`` distinct vectors the result is exact.
+
+The exact search (``nearest_neighbours`` by default) works on distinct vectors that are grouped around pivots and each group is cut into blocks of bounded
 size by hash, so that a dense region fills more blocks instead of one.  A row first searches its own
 block, which bounds the distance to its k-th neighbour.  It then visits only
 blocks of groups that the triangle inequality cannot rule out, and keeps k
@@ -20,6 +26,11 @@ from clicktrail.functions.text import seeded_digest
 from clicktrail.operators.sampling import SEED, stratified_rank
 from clicktrail.spark import materialize
 
+#: Buckets that a vector is in, and distinct vectors of a bucket at most.
+TREES, BUCKET = 20, 512
+#: Vectors that a task cuts into buckets, about; vectors of the sample for each such group, and how many groups a sample makes at most.
+_GROUP, _SAMPLED, _DEPTH = 16_384, 16, 12
+
 # Fixed value: neighbours a synthetic row may be drawn towards.
 NEIGHBOURS = 5
 # Minority to majority ratios after adding synthetic rows.
@@ -35,8 +46,6 @@ _SLACK = 1e-9  # keeps ties at the bound in spite of rounding
 _PAIR = "id {0}, nn {0}, distance double"
 
 
-
-
 def _objects(values) -> pd.Series:
     """Keys as plain objects; Arrow conversion then follows the declared type."""
     return pd.Series(list(values), dtype=object)
@@ -141,8 +150,76 @@ def _nearest_vectors(rows: DataFrame, k: int, seed: int) -> DataFrame:
     return ranked.filter(F.col("_rank") <= k).drop("_rank")
 
 
-def nearest_neighbours(df: DataFrame, key: str, features: str, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
-    """``(id, nn, distance, rank)``: exact k nearest other rows by Euclidean distance.
+def _directions(seed: int, tree: int, node: int, width: int) -> np.ndarray:
+    return np.random.default_rng([seed & 0xFFFFFFFF, tree, node]).normal(size=width)
+
+
+def _cuts(sample: np.ndarray, depth: int, tree: int, seed: int) -> np.ndarray:
+    """Medians of the projections of a sample, for the ``2 ** depth - 1`` nodes from the root on."""
+    out, at = np.zeros((1 << depth) - 1), np.zeros(len(sample), np.int64)
+    for node in range(len(out)):
+        own = at == node
+        away = sample[own] @ _directions(seed, tree, node, sample.shape[1])
+        out[node] = np.median(away) if own.any() else 0.0
+        at[own] = 2 * node + 1 + (away > out[node])
+    return out
+
+
+def _leaf(points: np.ndarray, cuts: np.ndarray, depth: int, tree: int, seed: int) -> np.ndarray:
+    at = np.zeros(len(points), np.int64)
+    for _ in range(depth):
+        for node in np.unique(at):
+            own = at == node
+            at[own] = 2 * node + 1 + (points[own] @ _directions(seed, tree, int(node), points.shape[1]) > cuts[node])
+    return at
+
+
+def _in_buckets(group: pd.DataFrame, k: int, seed: int) -> pd.DataFrame:
+    """The k nearest of each row in its bucket: the group halved at medians until there are ``BUCKET`` rows or fewer."""
+    tree, leaf = int(group["tree"].iloc[0]), int(group["leaf"].iloc[0])
+    group = group.sort_values("id", kind="stable").reset_index(drop=True)
+    points = np.stack(group["x"].to_numpy())
+    out, todo, node = [], [np.arange(len(group))], leaf + 1
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= BUCKET:
+            part = group.iloc[rows]
+            out.append(_nearest(part, part, k))
+            continue
+        node += 1 << 32  # a number of its own for the direction
+        order = np.argsort(points[rows] @ _directions(seed, tree, node, points.shape[1]), kind="stable")
+        todo += [np.sort(rows[order[:len(rows) // 2]]), np.sort(rows[order[len(rows) // 2:]])]
+    return pd.concat(out, ignore_index=True)
+
+
+def projected(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """``(id, nn, distance)``: for distinct vectors ``(id, x)`` the k nearest that share a bucket, ties by id."""
+    kind = rows.schema["id"].dataType.simpleString()
+    total = rows.count()
+    if total <= BUCKET:  # one bucket holds everything
+        return rows.groupBy().applyInPandas(lambda b: _nearest(b, b, k), _PAIR.format(kind))
+    depth = min(_DEPTH, max(0, (total // _GROUP).bit_length()))
+    # Bounded: _SAMPLED * 2 ** _DEPTH vectors at most.
+    sample = rows.orderBy(seeded_digest(seed, F.col("id")), "id").limit(_SAMPLED << depth).select("x").collect() if depth else []
+    sample = np.array([r["x"] for r in sample], dtype=float)
+    cuts = [_cuts(sample, depth, tree, seed) for tree in range(TREES)] if depth else None
+
+    def place(batches):
+        for batch in batches:
+            points = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, 1))
+            for tree in range(TREES if len(batch) else 0):
+                leaf = _leaf(points, cuts[tree], depth, tree, seed) if depth else np.zeros(len(batch), np.int64)
+                yield pd.DataFrame({"tree": tree, "leaf": leaf, "id": _objects(batch["id"]), "x": _objects(batch["x"])})
+
+    placed = rows.mapInPandas(place, f"tree int, leaf long, id {kind}, x array<double>")
+    pairs = placed.groupBy("tree", "leaf").applyInPandas(lambda group: _in_buckets(group, k, seed), _PAIR.format(kind))
+    found = F.array_sort(F.array_distinct(F.collect_list(F.struct("distance", "nn"))))  # TREES * k at most
+    near = pairs.groupBy("id").agg(F.slice(found, 1, k).alias("near"))
+    return near.select("id", F.explode("near").alias("n")).select("id", "n.nn", "n.distance")
+
+
+def nearest_neighbours(df: DataFrame, key: str, features: str, k: int = NEIGHBOURS, seed: int = SEED, exact: bool = True) -> DataFrame:
+    """``(id, nn, distance, rank)``: k nearest other rows by Euclidean distance, exact or by ``projected``.
 
     ``features`` is an array of doubles; ties are ordered by id.  Copies are
     searched for once: each distinct vector stands for its k+1 smallest ids,
@@ -152,7 +229,8 @@ def nearest_neighbours(df: DataFrame, key: str, features: str, k: int = NEIGHBOU
     place = F.row_number().over(Window.partitionBy("x").orderBy("id"))  # limited before the shuffle
     heads = rows.withColumn("_place", place).filter(F.col("_place") <= k + 1)
     vectors = materialize(heads.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    pairs = _nearest_vectors(vectors.select(F.col("ids")[0].alias("id"), "x"), k, seed)
+    search = _nearest_vectors if exact else projected
+    pairs = search(vectors.select(F.col("ids")[0].alias("id"), "x"), k, seed)
     others = vectors.select(F.col("ids")[0].alias("nn"), F.col("ids").alias("_theirs"))
     lists = pairs.join(others, "nn").groupBy("id").agg(
         F.flatten(
@@ -180,7 +258,7 @@ def smote(
     Returns only the new rows: ``key`` (id of the base row and a running
     number), ``features`` and ``label``.  Each base row gets an equal share, the
     remainder goes to base rows in digest order; neighbour and position on the
-    line to it come from hashes, so a repeated run gives the same rows.  Several
+    line to it come from md5 digests, so a repeated run gives the same rows.  Several
     ratios can share the ``neighbours`` of the minority.
     """
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # one row per class
@@ -192,14 +270,15 @@ def smote(
     share = F.lit(new // few) + (F.col("_rank") < new % few).cast("int")
     base = stratified_rank(minority, key, label, seed, "_rank").withColumn("_share", share).filter("_share > 0")
     if neighbours is None:
-        neighbours = nearest_neighbours(minority, key, features, k, seed)
+        neighbours = nearest_neighbours(minority, key, features, k, seed, exact=False)
     near = neighbours.groupBy(F.col("id").alias(key)).agg(
         F.array_sort(F.collect_list(F.struct("rank", "nn", "distance"))).alias("_near")
     )
     drawn = base.join(near, key).withColumn("_no", F.explode(F.sequence(F.lit(1), F.col("_share"))))
-    pick = F.pmod(F.xxhash64(key, F.lit(seed), "_no"), F.size("_near").cast("bigint")).cast("int")
-    unit = F.pmod(F.xxhash64("_no", F.lit(seed), key), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    drawn = drawn.withColumns({"_to": F.get("_near", pick), "_u": unit})
+    drawn = drawn.withColumn("_draw", seeded_digest(seed, F.col(key), F.col("_no")))
+    number = lambda first, digits: F.conv(F.substring("_draw", first, digits), 16, 10).cast("bigint")
+    pick = F.pmod(number(1, 8), F.size("_near").cast("bigint")).cast("int")
+    drawn = drawn.withColumns({"_to": F.get("_near", pick), "_u": number(9, 13) / F.lit(float(1 << 52))})
     # A copy of the base row at distance 0 needs no lookup, which keeps groups of copies out of the join.
     target = F.when(F.col("_to.distance") > 0, F.col("_to.nn"))
     ends = minority.select(F.col(key).alias("_nn"), F.col(features).alias("_end"))
