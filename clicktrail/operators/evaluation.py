@@ -42,32 +42,34 @@ def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "predi
     )
 
 
-def _ranked_scores(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Distinct scores with their positives, negatives and running totals from the highest score down.
+def _ranked_scores(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
+    """Distinct scores, within each group of ``by``, with their positives, negatives and running totals from the highest score down.
 
     Equal scores are collapsed first, then range partitioned and written once.  Running totals inside a partition
     go on from the totals of the partitions above, of which there is one row each.  A missing label or score fails.
     ``next_pos``/``next_neg`` are the counts at the next lower score.
     """
     label, score = _present(F.col(label), "label"), _present(F.col(score).cast("double"), "score")
-    collapsed = df.groupBy(score.alias("score")).agg(F.count_if(label == 1).alias("pos"), F.count_if(label == 0).alias("neg"))
-    bucketed = materialize(collapsed.repartitionByRange(F.desc("score")).withColumn("bucket", F.spark_partition_id()), "scores")
-    down = Window.orderBy("bucket")  # over one row per partition
+    collapsed = df.groupBy(*by, score.alias("score")).agg(F.count_if(label == 1).alias("pos"), F.count_if(label == 0).alias("neg"))
+    bucketed = materialize(collapsed.repartitionByRange(*by, F.desc("score")).withColumn("bucket", F.spark_partition_id()), "scores")
+    down = Window.partitionBy(*by).orderBy("bucket")  # over one row per group and partition
     above = down.rowsBetween(Window.unboundedPreceding, -1)
-    totals = bucketed.groupBy("bucket").agg(
+    totals = bucketed.groupBy(*by, "bucket").agg(
         F.sum("pos").alias("_pos"),
         F.sum("neg").alias("_neg"),
         F.max_by(F.struct("pos", "neg"), "score").alias("_top"),
     )
     offsets = totals.select(
+        *by,
         "bucket",
         F.coalesce(F.sum("_pos").over(above), F.lit(0)).alias("_pos_above"),
         F.coalesce(F.sum("_neg").over(above), F.lit(0)).alias("_neg_above"),
         F.lead("_top").over(down).alias("_next_top"),
     )
-    inside = Window.partitionBy("bucket").orderBy(F.desc("score"))
+    inside = Window.partitionBy(*by, "bucket").orderBy(F.desc("score"))
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return bucketed.join(offsets, "bucket").select(
+    return bucketed.join(offsets, [*by, "bucket"]).select(
+        *by,
         "score",
         "pos",
         "neg",
@@ -78,22 +80,24 @@ def _ranked_scores(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def _area(ranked: DataFrame) -> DataFrame:
+def _area() -> Column:
     # A positive beats every negative with a lower score and half of those with its own.
     beaten = F.sum(F.col("neg").cast("double") * (F.col("tps") - F.col("pos")) + F.col("pos") * F.col("neg") / 2.0)
     pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return ranked.agg((beaten / F.nullif(pairs, F.lit(0.0))).alias("auc"))
+    return (beaten / F.nullif(pairs, F.lit(0.0))).alias("auc")
+
+
+def _totals() -> list:
+    return [F.nullif(F.sum("pos"), F.lit(0)).alias("p"), F.nullif(F.sum("neg"), F.lit(0)).alias("n"), (F.max("score") + 1).alias("top")]
+
+
+_CORNER = "next_pos <> pos OR next_neg <> neg OR next_pos IS NULL"
 
 
 def _curve(ranked: DataFrame, drop_intermediate: bool) -> DataFrame:
-    totals = ranked.agg(
-        F.nullif(F.sum("pos"), F.lit(0)).alias("p"),
-        F.nullif(F.sum("neg"), F.lit(0)).alias("n"),
-        (F.max("score") + 1).alias("top"),
-    )
+    totals = ranked.agg(*_totals())
     if drop_intermediate:
-        corner = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
-        ranked = ranked.filter(corner | F.col("next_pos").isNull())
+        ranked = ranked.filter(_CORNER)
     p, n = totals.select("p").scalar(), totals.select("n").scalar()
     points = ranked.select(F.col("score").alias("threshold"), (F.col("fps") / n).alias("fpr"), (F.col("tps") / p).alias("tpr"))
     start = totals.filter("top IS NOT NULL").select(
@@ -104,7 +108,7 @@ def _curve(ranked: DataFrame, drop_intermediate: bool) -> DataFrame:
 
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve, ties counted half; NULL when a class is empty.  One row."""
-    return _area(_ranked_scores(df, label, score))
+    return _ranked_scores(df, label, score).agg(_area())
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score", drop_intermediate: bool = True) -> DataFrame:
@@ -118,13 +122,17 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", drop_in
 
 
 def compare_models(scored: dict, label: str = "label", score: str = "score") -> DataFrame:
-    """ROC points and AUC of several models in one table; each model's scores are ranked once."""
-    curves = []
-    for name, df in scored.items():
-        ranked = materialize(_ranked_scores(df, label, score))
-        area = _area(ranked).scalar()
-        curves.append(_curve(ranked, True).select(F.lit(name).alias("model"), "*", F.round(area, 4).alias("auc")))
-    return append(*curves)
+    """ROC points and AUC of several models in one table.
+
+    The scores of all models are ranked together, by model and score, in one range partitioned pass with one write, however many they are.
+    """
+    rows = [df.select(F.lit(name).alias("model"), F.col(label).alias("label"), F.col(score).cast("double").alias("score")) for name, df in scored.items()]
+    ranked = _ranked_scores(append(*rows), "label", "score", ["model"])
+    totals = materialize(ranked.groupBy("model").agg(*_totals(), _area()), "models")  # a row per model
+    start = totals.select("model", F.col("top").alias("threshold"), F.lit(0).alias("fps"), F.lit(0).alias("tps"))
+    points = ranked.filter(_CORNER).select("model", F.col("score").alias("threshold"), "fps", "tps")
+    return append(start, points).join(totals, "model").select(
+        "model", "threshold", (F.col("fps") / F.col("n")).alias("fpr"), (F.col("tps") / F.col("p")).alias("tpr"), F.round("auc", 4).alias("auc"))
 
 
 def weighted_log_loss(df: DataFrame, label: str = "label", score: str = "score", weights=(1.0, 1.0)) -> DataFrame:
