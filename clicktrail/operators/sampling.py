@@ -2,8 +2,9 @@
 
 Rows are ordered inside their class by the md5 of seed and key.  Digests are
 spread evenly, so their first digits cut a class into buckets of equal size
-whatever the keys look like; counts per bucket locate any rank, and no task
-ever sorts a whole class.
+whatever the keys look like; counts per bucket locate any rank.  A cut is found by
+radix selection: rounds of counts, each over the one bucket that holds it, until few rows are left.
+Ranks of all rows take as many digits as keep a bucket small.  No task ever sorts a whole class.
 """
 
 import math
@@ -23,17 +24,16 @@ SEED = 42
 FOLDS = 5
 COPY_DIVISOR = 8
 
-_PREFIX = 3  # hex digits, 4096 buckets per class
+#: Hex digits that a round of counts goes on by: 4096 buckets per class and cut.
+_DIGITS = 3
+#: Rows of a bucket that are listed to find a cut, and rows that are ranked together, about.
+_LISTED, _RANKED = 4096, 500_000
 
 
 def _key_columns(key) -> list:
     return [F.col(k) for k in ([key] if isinstance(key, str) else key)]
 
 
-def _bucket(digest: Column) -> Column:
-    return F.substring(digest, 1, _PREFIX)
-
-
 def allocate(counts: dict, total: int) -> dict:
     """Share ``total`` over classes in proportion to their counts, largest remainders first."""
     everything = sum(counts.values())
@@ -77,42 +77,76 @@ class Split:
         return df.withColumn(name, self.column())
 
 
+def _in_buckets(buckets) -> Column:
+    """Whether a row is in one of the ``(label, prefix)`` buckets."""
+    out = F.lit(False)
+    for value, prefix in sorted(set(buckets), key=str):
+        mine = F.col("_label") == F.lit(value)
+        out |= mine & F.col("_digest").startswith(prefix) if prefix else mine
+    return out
+
+
+def _bucket_counts(keyed: DataFrame, buckets, digits: int) -> dict:
+    """Rows per ``(label, first digits)`` in some buckets: the driver sees 4096 numbers a bucket at most."""
+    prefix = F.substring("_digest", 1, digits).alias("_prefix")
+    rows = keyed.filter(_in_buckets(buckets)) if any(p for _, p in buckets) else keyed
+    return {(r["_label"], r["_prefix"]): r["count"] for r in rows.groupBy("_label", prefix).count().collect()}
+
+
+def select_digests(keyed: DataFrame, wanted: dict, counts: dict, digits: int) -> dict:
+    """Digest of the row of a 1-based rank in its class: ``{name: digest}`` for ``wanted {name: (label, rank)}``.
+
+    ``keyed`` has ``_label`` and ``_digest``; ``counts`` are those of the first ``digits`` digits.  Buckets that hold more than
+    ``_LISTED`` rows are counted by further digits, so a round divides them by 4096 and classes of any size take a few rounds;
+    then the digests of the bucket are sorted as one short list.
+    """
+    at = {name: (label, "", rank) for name, (label, rank) in wanted.items()}
+    done = {}
+    while at:
+        sizes = {}
+        for name, (label, prefix, rank) in at.items():
+            for bucket in sorted(b for c, b in counts if c == label and b.startswith(prefix)):
+                n = counts[label, bucket]
+                if rank <= n:
+                    at[name], sizes[name] = (label, bucket, rank), n
+                    break
+                rank -= n
+        done.update({name: at[name] for name, n in sizes.items() if n <= _LISTED or digits >= 32})
+        at = {name: where for name, where in at.items() if name in sizes and name not in done}
+        if at:
+            digits = min(32, digits + _DIGITS)
+            counts = _bucket_counts(keyed, {w[:2] for w in at.values()}, digits)
+    if not done:
+        return {}
+    numbers = {b: i for i, b in enumerate(sorted({w[:2] for w in done.values()}, key=str))}
+    cases = F.coalesce(*[F.when(_in_buckets([b]), F.lit(i)) for b, i in numbers.items()])
+    listed = keyed.select(cases.alias("_cut"), "_digest").filter("_cut IS NOT NULL").groupBy("_cut").agg(F.sort_array(F.collect_list("_digest")).alias("digests"))
+    digests = {r["_cut"]: r["digests"] for r in listed.collect()}
+    return {name: digests[numbers[label, prefix]][rank - 1] for name, (label, prefix, rank) in done.items()}
+
+
 def fit_split(df: DataFrame, key, label: str, sizes, parts, seed: int) -> Split:
     """Find the digests that cut each class at the given cumulative sizes.
 
-    ``df`` has one row per key.  ``sizes`` maps class to the number of rows per
-    part.  The driver sees bucket counts (4096 per class of a binary label) and
-    one digest per cut; rows are ranked only inside the buckets that hold a cut.
+    ``df`` has one row per key.  ``sizes`` maps counts per class to the number of rows per part.  One job counts, a second lists
+    the buckets that hold a cut; classes of over 16 million rows take a round of counts more.
     """
     digest = seeded_digest(seed, *_key_columns(key))
     keyed = df.select(F.col(label).alias("_label"), digest.alias("_digest")).filter(F.col("_label").isNotNull())
-    counts = keyed.groupBy("_label", _bucket(F.col("_digest")).alias("_bucket")).count().collect()
-    by_class = {}
-    for row in sorted(counts, key=lambda r: r["_bucket"]):
-        by_class.setdefault(row["_label"], []).append((row["_bucket"], row["count"]))
-    wanted = []  # (class, part index, bucket, rank in bucket)
-    quotas = sizes({c: sum(n for _, n in buckets) for c, buckets in by_class.items()})
-    for value, buckets in sorted(by_class.items()):
+    counts = _bucket_counts(keyed, [], _DIGITS)
+    totals: dict = {}
+    for (value, _), n in counts.items():
+        totals[value] = totals.get(value, 0) + n
+    wanted = {}
+    cuts = {value: [None] * len(parts) for value in sorted(totals)}
+    for value, quota in sizes(totals).items():
         target = 0
-        for i, size in enumerate(quotas[value]):
+        for i, size in enumerate(quota):
             target += size
-            seen = 0
-            for bucket, n in buckets:
-                if seen < target <= seen + n:
-                    wanted.append((value, i, bucket, target - seen))
-                seen += n
-    cuts = {value: [None] * len(parts) for value in sorted(by_class)}
-    if wanted:
-        label_type = df.schema[label].dataType.simpleString()
-        schema = f"_label {label_type}, _part int, _bucket string, _rank int"
-        cut = df.sparkSession.createDataFrame(wanted, schema)
-        in_cut = F.lit(False)
-        for value, bucket in {(w[0], w[2]) for w in wanted}:
-            in_cut |= (F.col("_label") == F.lit(value)) & (F.col("_bucket") == bucket)
-        rank = F.row_number().over(Window.partitionBy("_label", "_bucket").orderBy("_digest"))
-        ranked = keyed.withColumn("_bucket", _bucket(F.col("_digest"))).filter(in_cut).withColumn("_rank", rank)
-        for row in ranked.join(cut, ["_label", "_bucket", "_rank"]).collect():
-            cuts[row["_label"]][row["_part"]] = row["_digest"]
+            if target:
+                wanted[value, i] = (value, target)
+    for (value, i), found in select_digests(keyed, wanted, counts, _DIGITS).items():
+        cuts[value][i] = found
     key = (key,) if isinstance(key, str) else tuple(key)
     return Split(key, label, seed, tuple(parts), cuts)
 
@@ -146,18 +180,24 @@ def stratified_fraction_split(
 def stratified_rank(df: DataFrame, key, label: str, seed: int = SEED, name: str = "rank") -> DataFrame:
     """0-based rank of each row in its class by digest.
 
-    Offset of the bucket plus rank in the bucket: tasks hold 1/4096 of a class.
+    Offset of the bucket plus rank in the bucket.  A bucket has as many digits as the largest class needs for ``_RANKED`` rows
+    or fewer in it; offsets are summed over the first half of the digits, then inside it, so those windows stay short too.
     """
+    largest = df.groupBy(label).count().agg(F.max("count")).first()[0] or 0
+    digits = max(0, math.ceil(math.log(max(1, largest / _RANKED), 16)))
     keyed = df.withColumn("_digest", seeded_digest(seed, *_key_columns(key)))
-    keyed = keyed.withColumn("_bucket", _bucket(F.col("_digest")))
-    before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(label, "_bucket")
-        .count()
-        .select(label, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_digest", *_key_columns(key)))
-    ranked = keyed.withColumn("_inside", inside).join(offsets, [label, "_bucket"])
+    inside = Window.orderBy("_digest", *_key_columns(key))
+    if not digits:
+        return keyed.withColumn(name, (F.row_number().over(inside.partitionBy(label)) - 1).cast("bigint")).select(*df.columns, name)
+    keyed = keyed.withColumn("_bucket", F.substring("_digest", 1, digits))
+    half = F.substring("_bucket", 1, (digits + 1) // 2)
+    buckets = keyed.groupBy(label, "_bucket").count().withColumn("_half", half)
+    before = lambda *by: Window.partitionBy(label, *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda c, *by: F.coalesce(F.sum(c).over(before(*by)), F.lit(0))
+    halves = buckets.groupBy(label, "_half").agg(F.sum("count").alias("n")).select(label, "_half", sum_before("n", "_half").alias("_far"))
+    offsets = buckets.withColumn("_near", sum_before("count", "_half", "_bucket")).join(halves, [label, "_half"])
+    offsets = offsets.select(label, "_bucket", (F.col("_far") + F.col("_near")).alias("_offset"))
+    ranked = keyed.withColumn("_inside", F.row_number().over(inside.partitionBy(label, "_bucket"))).join(offsets, [label, "_bucket"])
     return ranked.withColumn(name, F.col("_offset") + F.col("_inside") - 1).select(*df.columns, name)
 
 
