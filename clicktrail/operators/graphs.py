@@ -3,6 +3,7 @@
 A graph is one copy of one session, keyed ``(user_id, session, copy_no)``.
 Sessions are bounded by the size filter, so a graph never spans tasks; every
 step partitions by the graph key and all of them share that partitioning.
+Graphs beyond ``MAX_EVENTS`` are an error there; ``propagate_by_join`` takes graphs of any size.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,12 +13,15 @@ from clicktrail import schemas as S
 from clicktrail.operators.features import attach_graph_features
 from clicktrail.operators.rows import drop_event_types
 from clicktrail.operators.sessions import consecutive_pairs, event_gaps, event_position, factorize
+from clicktrail.spark import materialize
 
 GRAPH_KEY = [*S.SESSION_KEY, "copy_no"]
 EVENT_FEATURES = ["is_view", "is_cart", "price", "session_time"]
 ITEM_FEATURES = ["n_views", "n_carts", "price"]
 # Fixed value: rounds of neighbourhood aggregation.
 HOPS = 6
+#: Events or nodes of a graph that is worked on as one row; ``propagate_by_join`` has no such bound.
+MAX_EVENTS = 10_000
 
 
 def graph_events(events: DataFrame) -> DataFrame:
@@ -86,10 +90,15 @@ def _incoming(edges: DataFrame) -> DataFrame:
     return per_node.groupBy(*GRAPH_KEY).agg(F.map_from_entries(F.collect_list(F.struct("dst", "edges"))).alias("incoming"))
 
 
+def _bounded(items: Column) -> Column:
+    """The array, if it is within ``MAX_EVENTS``; an error otherwise."""
+    return F.when(F.size(items) <= MAX_EVENTS, items).otherwise(F.raise_error(F.lit(f"a graph of more than {MAX_EVENTS} events; use propagate_by_join")))
+
+
 def _listed(events: DataFrame) -> DataFrame:
     """One row per graph: its events in order, bounded by the size filter, and its label.  The only exchange of a graph flow."""
     event = F.struct(S.TIME, S.EVENT_ID, "product_id", *EVENT_FEATURES)
-    return events.groupBy(*GRAPH_KEY).agg(F.array_sort(F.collect_list(event)).alias("_events"), F.max(S.LABEL).alias("label"))
+    return events.groupBy(*GRAPH_KEY).agg(F.array_sort(_bounded(F.collect_list(event))).alias("_events"), F.max(S.LABEL).alias("label"))
 
 
 def _in_place(listed: DataFrame, kind: str) -> DataFrame:
@@ -124,15 +133,33 @@ def _in_place(listed: DataFrame, kind: str) -> DataFrame:
         *GRAPH_KEY, "label", F.transform("_x", lambda x, v: F.struct(v.alias("node"), x.alias("x"))).alias("g"), F.transform("_x", incoming).alias("_in"))
 
 
-def readouts(events: DataFrame, kind: str, hops: int = HOPS) -> DataFrame:
-    """Graphs, rounds and readout of bounded sessions in one pass: events are shuffled once, by the graph key.
+def _standardised(rows: DataFrame, width: int) -> DataFrame:
+    """Node vectors less their means, over their deviations (1 where there is none); the rows are written, so that they are made once."""
+    rows = materialize(rows, "graphs")
+    parts = [f(F.col("x")[i]) for i in range(width) for f in (F.avg, F.stddev_pop)]
+    fitted = list(rows.select(F.explode("g").alias("n")).select("n.x").agg(*parts).first())
+    scaled = lambda x: F.array(*[(x[i] - F.lit(fitted[2 * i])) / F.lit(fitted[2 * i + 1] or 1.0) for i in range(width)])
+    return rows.withColumn("g", F.transform("g", lambda n: F.struct(n["node"].alias("node"), scaled(n["x"]).alias("x"))))
 
-    Equal to ``event_graph`` or ``item_graph`` with ``propagate``, ``graph_readout`` and the labels of ``graph_table``.
+
+def spread(events: DataFrame, kind: str, hops: int = HOPS, standard: bool = False) -> DataFrame:
+    """A row per node with its features after 0..hops rounds, and the label of its graph, of bounded sessions.
+
+    Events are shuffled once, by the graph key.  Equal to ``event_graph`` or ``item_graph`` with ``propagate``; ``standard`` standardises the features of
+    all nodes first.
     """
     features = {"event": EVENT_FEATURES, "item": ITEM_FEATURES}[kind]
-    rows = _rounds(_in_place(_listed(events), kind), features, hops, "label")
-    names = hop_names(features, hops)
-    return rows.groupBy(*GRAPH_KEY).agg(*_readout(names), F.max("label").alias("label"))
+    rows = _in_place(_listed(events), kind)
+    return _rounds(_standardised(rows, len(features)) if standard else rows, features, hops, "label")
+
+
+def readouts(events: DataFrame, kind: str, hops: int = HOPS, standard: bool = False) -> DataFrame:
+    """Graphs, rounds and readout of bounded sessions in one pass (``spread``).
+
+    Equal to ``event_graph`` or ``item_graph`` with ``propagate``, ``graph_readout`` and the labels of ``graph_table``.
+    """
+    names = hop_names({"event": EVENT_FEATURES, "item": ITEM_FEATURES}[kind], hops)
+    return spread(events, kind, hops, standard).groupBy(*GRAPH_KEY).agg(*_readout(names), F.max("label").alias("label"))
 
 
 def _hop(state: Column, incoming: Column, width: int) -> Column:
@@ -159,13 +186,36 @@ def propagate(nodes: DataFrame, edges: DataFrame, features, hops: int = HOPS) ->
     """
     features = list(features)
     vector = F.array(*[F.col(f).cast("double") for f in features])
-    listed = nodes.groupBy(*GRAPH_KEY).agg(F.array_sort(F.collect_list(F.struct("node", vector.alias("x")))).alias("g"))
+    listed = nodes.groupBy(*GRAPH_KEY).agg(F.array_sort(_bounded(F.collect_list(F.struct("node", vector.alias("x"))))).alias("g"))
     graphs = listed.join(_incoming(edges), GRAPH_KEY, "left").withColumn(
         "_in", F.transform("g", lambda n: F.try_element_at("incoming", n["node"]))
     )
     return _rounds(graphs, features, hops)
 
 
+def propagate_by_join(nodes: DataFrame, edges: DataFrame, features, hops: int = HOPS) -> DataFrame:
+    """``propagate`` for graphs of any size: a join of edges with the nodes they leave, and a sum per node they enter, each round.
+
+    Parallel edges are counted into one row first.  No graph and no node is gathered anywhere: sums are combined before the shuffle, and an end that
+    many edges share is a key that adaptive execution splits.  Each round is written.
+    """
+    features = list(features)
+    weight = F.col("n") / F.sqrt((F.col("_out") * F.col("_in")).cast("double"))
+    links = materialize(edges.groupBy(*GRAPH_KEY, "src", "dst").agg(F.count(F.lit(1)).alias("n")), "links")
+    degrees = {end: materialize(links.groupBy(*GRAPH_KEY, end).agg(F.sum("n").alias(name)), "degrees") for end, name in (("src", "_out"), ("dst", "_in"))}
+    for end, degree in degrees.items():
+        links = links.join(degree, [*GRAPH_KEY, end])
+    links = materialize(links.select(*GRAPH_KEY, "src", "dst", weight.alias("_weight")), "links")
+    state = materialize(nodes.select(*GRAPH_KEY, "node", *[F.col(f).cast("double").alias(f"{f}_0") for f in features]), "round")
+    for h in range(1, hops + 1):
+        before = state.select(*GRAPH_KEY, F.col("node").alias("src"), *[F.col(f"{f}_{h - 1}").alias(f) for f in features])
+        sums = links.join(before, [*GRAPH_KEY, "src"]).groupBy(*GRAPH_KEY, F.col("dst").alias("node")).agg(
+            *[F.sum(F.col(f) * F.col("_weight")).alias(f"{f}_{h}") for f in features])
+        state = state.join(sums, [*GRAPH_KEY, "node"], "left").fillna(0.0, [f"{f}_{h}" for f in features])
+        state = materialize(state, "round")
+    return state
+
+
 def _rounds(graphs: DataFrame, features, hops: int, *keep) -> DataFrame:
     """A row per node with its features after each round, from rows of node vectors and incoming edges."""
     start = F.transform("g", lambda n: n["x"])
