@@ -5,6 +5,7 @@ plain control flow.  Scaling and SMOTE are fitted on the training folds only
 and materialised once per fold and ratio, not per candidate.
 """
 
+import hashlib
 import math
 import random
 from concurrent.futures import ThreadPoolExecutor
@@ -149,7 +150,7 @@ def _scale(train: DataFrame, key: str, columns, label: str, k: int, seed: int):
             F.array(*[F.col(quoted(c)) for c in columns]).alias("x"),
         )
     )
-    return scaler, rows, materialize(nearest_neighbours(rows.filter("label = 1"), "_id", "x", k, seed))
+    return scaler, rows, materialize(nearest_neighbours(rows.filter("label = 1"), "_id", "x", k, seed, exact=False))
 
 
 def _balance(rows: DataFrame, neighbours: DataFrame, ratio: float, k: int, seed: int) -> DataFrame:
@@ -193,34 +194,70 @@ class Search:
     trained: Trained
 
 
+SCORES = "search string, candidate int, ratio double, params string, fold int, f1 double"
+
+
+def search_name(kind: str, columns, label: str, candidates: list, folds: int, seed: int, fixed: dict) -> str:
+    """Digest of all that the scores of a search depend on besides its rows."""
+    said = repr([kind, list(columns), label, [sorted(c.items()) for c in candidates], folds, seed, sorted(fixed.items())])
+    return hashlib.md5(said.encode()).hexdigest()
+
+
+def _scores_at(spark: SparkSession, table: str | None, name: str) -> dict:
+    """Scores of the search that are already in the table: ``{(candidate, fold): f1}``."""
+    if table is None:
+        return {}
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    rows = spark.read.schema(SCORES).parquet(table).filter(F.col("search") == name)
+    return {(r["candidate"], r["fold"]): r["f1"] for r in rows.collect()}  # a row per candidate and fold
+
+
 def random_search(
     train: DataFrame, key: str, columns, label: str, kind: str,
     grid: dict | None = None, n_iter: int | None = None, folds: int = FOLDS, seed: int = SEED, fixed: dict | None = None, parallelism: int = 4,
+    table: str | None = None,
 ) -> Search:
     """Cross-validated search for the best F1 of class 1, refitted on all of train.
 
     ``results`` has one row per candidate and fold:
     ``(candidate, ratio, params, fold, f1, mean_f1)``.  Candidates of a fold are
     fitted ``parallelism`` at a time, each fit being a Spark job of its own.
+
+    With ``table``, a path, every ``parallelism`` scores are appended to a Parquet table there as soon as they are known.  A search that
+    was broken off, with its driver too, goes on from that table when it is started again with the same arguments: fits that it has are not
+    repeated, and folds and ratios that it has as a whole are not even balanced.  Folds and synthetic rows come from digests, so they are the same again.
     """
+    spark = train.sparkSession
     candidates = draw_candidates(grid or GRIDS[kind], n_iter or CANDIDATES[kind], seed)
     fixed = fixed or {}
+    name = search_name(kind, columns, label, candidates, folds, seed, fixed)
+    known = _scores_at(spark, table, name)
     folded = materialize(assign_folds(train, key, label, folds, seed))
-    scores = []
     for fold in range(folds):
+        todo = [(n, c) for n, c in enumerate(candidates) if (n, fold) not in known]
+        if not todo:
+            continue
         learn, check = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
         scaler, rows, neighbours = _scale(learn, key, columns, label, NEIGHBOURS, seed)
         held = materialize(_vectors(scaler.apply(check), columns, label))
-        for ratio in sorted({c["ratio"] for c in candidates}):
+        for ratio in sorted({c["ratio"] for _, c in todo}):
             balanced = _balance(rows, neighbours, ratio, NEIGHBOURS, seed)
-            tried = [(n, c) for n, c in enumerate(candidates) if c["ratio"] == ratio]
+            tried = [(n, c) for n, c in todo if c["ratio"] == ratio]
             fit = lambda entry: _f1(kind, balanced, held, {**_params(entry[1]), **fixed})
-            f1s = _in_threads(train.sparkSession, fit, tried, parallelism)
-            scores += [(n, float(ratio), str(_params(c)), fold, f1) for (n, c), f1 in zip(tried, f1s)]
-    mean = {n: sum(s[4] for s in scores if s[0] == n) / folds for n in range(len(candidates))}
+            for at in range(0, len(tried), max(1, parallelism)):
+                some = tried[at:at + max(1, parallelism)]
+                f1s = _in_threads(spark, fit, some, parallelism)
+                known.update({(n, fold): f1 for (n, _), f1 in zip(some, f1s)})
+                if table is not None:
+                    rows_ = [(name, n, float(c["ratio"]), str(_params(c)), fold, f1) for (n, c), f1 in zip(some, f1s)]
+                    spark.createDataFrame(rows_, SCORES).coalesce(1).write.mode("append").parquet(table)
+    scores = [(n, float(c["ratio"]), str(_params(c)), fold, known[n, fold]) for n, c in enumerate(candidates) for fold in range(folds)]
+    mean = {n: sum(known[n, fold] for fold in range(folds)) / folds for n in range(len(candidates))}
     best = candidates[max(mean, key=lambda n: (mean[n], -n))]
     schema = "candidate int, ratio double, params string, fold int, f1 double, mean_f1 double"
-    results = train.sparkSession.createDataFrame([(*s, mean[s[0]]) for s in scores], schema)
+    results = spark.createDataFrame([(*s, mean[s[0]]) for s in scores], schema)
     trained = train_pipeline(folded, key, columns, label, kind, best["ratio"], seed=seed, **_params(best), **fixed)
     return Search(results, best, trained)
 

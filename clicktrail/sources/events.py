@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from clicktrail import schemas as S
 from clicktrail.functions.calendar import parse_event_time
 from clicktrail.functions.durations import parse_timedelta
+from clicktrail.spark import materialize
 
 
 def _read(spark: SparkSession, path, fmt: str) -> DataFrame:
@@ -17,29 +18,38 @@ def _read(spark: SparkSession, path, fmt: str) -> DataFrame:
     return spark.read.format(fmt).load(path)
 
 
-def _typed(df: DataFrame, schema: T.StructType, unreadable: str) -> DataFrame:
-    """Cast the known columns; unreadable values fail, or become NULL if ``unreadable`` is ``null``; other columns stay."""
-    if unreadable not in ("raise", "null"):
-        raise ValueError("unreadable is either raise or null")
+def _casts(df: DataFrame, schema: T.StructType) -> tuple[dict, dict]:
+    """Casts of the known columns that need one, and for each an expression: why its value cannot be read, or NULL."""
     present = {f.name: f.dataType for f in df.schema}
-    casts = {}
+    casts, reasons = {}, {}
     for field in schema:
         source = present.get(field.name)
         if source is None or source == field.dataType:
             continue
         column = F.col(field.name)
         if isinstance(field.dataType, T.TimestampNTZType) and isinstance(source, T.StringType):
-            casts[field.name] = parse_event_time(column)
+            cast = parse_event_time(column)
         elif field.name in S.DURATIONS and isinstance(source, T.StringType):
             # Either microseconds or a text such as "0 days 00:12:30".
-            casts[field.name] = F.coalesce(column.try_cast("bigint"), parse_timedelta(column))
+            cast = F.coalesce(column.try_cast("bigint"), parse_timedelta(column))
         else:
-            casts[field.name] = column.try_cast(field.dataType)
+            cast = column.try_cast(field.dataType)
+        text = column.cast("string")
+        why = F.when(text.isNotNull() & cast.isNull(), F.concat(F.lit(f"unreadable {field.name}: "), text))
+        if isinstance(field.dataType, T.DecimalType) and isinstance(source, T.StringType):
+            # A text with more places than the type has would be rounded.
+            why = why.when(column.try_cast("decimal(38,18)") != cast, F.concat(F.lit(f"more than {field.dataType.scale} places in {field.name}: "), text))
+        casts[field.name], reasons[field.name] = cast, why
+    return casts, reasons
+
+
+def _typed(df: DataFrame, schema: T.StructType, unreadable: str) -> DataFrame:
+    """Cast the known columns; unreadable values fail, or become NULL if ``unreadable`` is ``null``; other columns stay."""
+    if unreadable not in ("raise", "null"):
+        raise ValueError("unreadable is either raise or null")
+    casts, reasons = _casts(df, schema)
     if unreadable == "raise":
-        for name, cast in casts.items():
-            text = F.col(name).cast("string")
-            lost = text.isNotNull() & cast.isNull()
-            casts[name] = F.when(lost, F.raise_error(F.concat(F.lit(f"unreadable {name}: "), text))).otherwise(cast)
+        casts = {name: F.when(reasons[name].isNotNull(), F.raise_error(reasons[name])).otherwise(cast) for name, cast in casts.items()}
     return df.withColumns(casts) if casts else df
 
 
@@ -64,6 +74,20 @@ def read_events(spark: SparkSession, path, fmt: str = "csv", unreadable: str = "
     return with_event_id(_typed(_read(spark, path, fmt), known, unreadable))
 
 
+def read_events_and_rejects(spark: SparkSession, path, fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
+    """Events as ``read_events`` gives them, and the rows that it would fail on: as they came, with ``reasons``, an array of texts.
+
+    One pass reads, casts and judges every row and is written; a row is in exactly one of the two results.
+    """
+    raw = with_event_id(_read(spark, path, fmt))
+    casts, reasons = _casts(raw, T.StructType(S.EVENT.fields + S.DERIVED.fields))
+    why = F.filter(F.array(*reasons.values()), lambda r: r.isNotNull()) if reasons else F.array().cast("array<string>")
+    judged = raw.select(F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias("raw"), why.alias("reasons"), *[casts.get(c, F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    judged = materialize(judged.withColumn("raw", F.when(F.size("reasons") > 0, F.col("raw"))), "events-judged")
+    events = judged.filter(F.size("reasons") == 0).drop("raw", "reasons")
+    return events, judged.filter(F.size("reasons") > 0).select("raw.*", "reasons")
+
+
 def read_sessions(spark: SparkSession, path, fmt: str = "csv", unreadable: str = "raise") -> DataFrame:
     return _typed(_read(spark, path, fmt), S.SESSIONS, unreadable)
 
