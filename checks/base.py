@@ -52,17 +52,27 @@ def session_rows(spark, folder, gap=GAP):
     return features.session_table(labelled(spark, folder, gap))
 
 
+def _marking(table):
+    n = table.count()  # of a written table
+    return sampling.stratified_split(table, train_n=n * 2 // 5, test_n=n // 5)
+
+
 def split_tables(spark, folder):
     """Events and sessions with ``set``: two fifths train, one fifth test."""
     events = materialize(labelled(spark, folder))
     table = materialize(features.session_table(events))
-    n = table.count()
-    split = sampling.stratified_split(table, train_n=n * 2 // 5, test_n=n // 5)
+    split = _marking(table)
     return split.assign(events), split.assign(table)
 
 
+def split_sessions(spark, folder):
+    """The sessions alone; events are not written."""
+    table = materialize(session_rows(spark, folder))
+    return _marking(table).assign(table)
+
+
 def train_sessions(spark, folder):
-    return rows.only(split_tables(spark, folder)[1], "set", "train")
+    return rows.only(split_sessions(spark, folder), "set", "train")
 
 
 def train_events(spark, folder):

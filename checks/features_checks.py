@@ -11,6 +11,7 @@ from checks.base import (
 from clicktrail import schemas as S
 from clicktrail.operators import eda, features, rows
 from clicktrail.plans import flows
+from clicktrail.spark import materialize
 
 ROUNDED = ["average_value_of_views", "average_value_of_carts"]
 
@@ -161,6 +162,19 @@ def distinct_counts(spark, folder):
     return features.distinct_counts(numbered(spark, folder), sessions=S.SESSION_KEY, users=["user_id"], products=["product_id"])
 
 
+@check("distinct_sketches", over_clicks("""SELECT 'products' AS name, COUNT(DISTINCT product_id) AS exact, TRUE AS near FROM clicks WHERE event_time < TIMESTAMP '2100-01-01'
+UNION ALL SELECT 'users', COUNT(DISTINCT user_id), TRUE FROM clicks"""))
+def distinct_sketches(spark, folder):
+    """Stored sketches of the days, joined, beside the exact counts: within four standard errors."""
+    df = clicks(spark, folder)
+    keys = {"products": ["product_id"], "users": ["user_id"]}
+    stored = materialize(features.distinct_sketches(df, **keys), "sketches")
+    both = features.distinct_from_sketches(stored).crossJoin(features.distinct_counts(df, **keys).withColumnsRenamed({k: f"{k}_exact" for k in keys}))
+    rows_of = [F.struct(F.lit(k).alias("name"), F.col(f"{k}_exact").alias("exact"),
+                        (F.abs(F.col(k) - F.col(f"{k}_exact")) <= F.ceil(0.026 * F.col(f"{k}_exact"))).alias("near")) for k in keys]
+    return both.select(F.inline(F.array(*rows_of)))
+
+
 @check("date_range", over_clicks("SELECT MIN(event_time) AS first_date, MAX(event_time) AS last_date FROM clicks"))
 def date_range(spark, folder):
     return features.date_range(clicks(spark, folder))
@@ -253,10 +267,14 @@ def hour_type_histogram(spark, folder):
 def _kde(name, column, high, source, frame):
     step = float(high) / (eda.GRID_POINTS - 1)
 
-    @check(name, over_split(f"""SELECT ROUND(x, 6) AS x, ROUND(SUM(EXP(-0.5e0 * POW((x - v) / h, 2))) / (ANY_VALUE(n) * ANY_VALUE(h) * SQRT(2 * PI())), 9) AS density
-      FROM vals, spread, grid GROUP BY x""", f""",
+    width = f"(CAST('{high / eda.BINS!r}' AS DOUBLE) * POW(2.0e0, k))"
+    @check(name, over_split(f"""SELECT ROUND(x, 6) AS x, ROUND(SUM((n - r) * EXP(-0.5e0 * POW((x - a) / h, 2)) + r * EXP(-0.5e0 * POW((x - a - w) / h, 2)))
+        / (ANY_VALUE(total) * ANY_VALUE(h) * SQRT(2 * PI())), 9) AS density FROM ends, spread, grid GROUP BY x""", f""",
       vals AS ({source}),
-      spread AS (SELECT COUNT(*) AS n, STDDEV_SAMP(v) * POW(COUNT(*), -0.2e0) AS h FROM vals),
+      spread AS (SELECT COUNT(*) AS total, STDDEV_SAMP(v) * POW(COUNT(*), -0.2e0) AS h FROM vals),
+      octaves AS (SELECT v, GREATEST(COALESCE(FLOOR(LOG2(NULLIF(ABS(v - {high / 2!r}e0) / {high}e0, 0))), 0), 0) AS k FROM vals WHERE v IS NOT NULL),
+      cells AS (SELECT {width} AS w, FLOOR(v / {width}) * {width} AS a, COUNT(*) AS n, AVG(v) AS mean FROM octaves GROUP BY 1, 2),
+      ends AS (SELECT *, n * (mean - a) / w AS r FROM cells),
       grid AS (SELECT CAST(i AS DOUBLE) * CAST('{step!r}' AS DOUBLE) AS x FROM range({eda.GRID_POINTS}) t(i))"""))
     def density(spark, folder):
         return rounded(rounded(eda.kde(frame(spark, folder), column, 0, high), ["x"]), ["density"], 9)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.base import (
-    KEY, check, clicks, kept, labelled, over_clicks, over_sessions, over_split, quota_ctes, session_rows, split_tables,
+    KEY, ORACLES, check, clicks, kept, labelled, over_clicks, over_sessions, over_split, quota_ctes, session_rows, split_sessions, split_tables,
     train_sessions,
 )
 from checks.features_checks import correlation_sql, rounded
@@ -18,7 +18,7 @@ from clicktrail.spark import materialize
 
 @check("stratified_split", over_split(f'SELECT {KEY}, "PurchaseSession", "set" FROM marked'))
 def stratified_split(spark, folder):
-    return split_tables(spark, folder)[1].select(*S.SESSION_KEY, S.LABEL, "set")
+    return split_sessions(spark, folder).select(*S.SESSION_KEY, S.LABEL, "set")
 
 
 @check("stratified_split_events", over_clicks(f""",
@@ -102,9 +102,27 @@ def nearest_neighbours(spark, folder):
     return rounded(smote.nearest_neighbours(minority, "id", "x"), ["distance"])
 
 
-@check("smote_rows")
+_AXES = "abcde"
+
+
+@check("smote_rows", over_sessions(f"""SELECT d.id || 'S' || no AS id, 1 AS label,
+  {', '.join(f'ROUND(d.{c} + (CASE WHEN n.distance > 0 THEN n.{c} ELSE d.{c} END - d.{c}) * u, 6) AS {c}' for c in _AXES)}
+  FROM drawn d JOIN near n ON n.id = d.id AND n.rank = 1 + d.pick""", extra=f""",
+pts AS (SELECT user_session_id_new AS id, CAST(number_of_views AS DOUBLE) AS a, CAST(number_of_carts AS DOUBLE) AS b,
+               CAST(number_of_unique_views AS DOUBLE) AS c, ROUND(total_value_of_views * 100) AS d, CAST(session_length // 1000000 AS DOUBLE) AS e,
+               number_of_purchases >= 2 AS few FROM sess),
+sizes AS (SELECT COUNT(*) FILTER (few) AS few, GREATEST(0, CAST(FLOOR(COUNT(*) FILTER (NOT few) * 0.5e0 - COUNT(*) FILTER (few)) AS BIGINT)) AS new FROM pts),
+base AS (SELECT *, ROW_NUMBER() OVER (ORDER BY md5('42|' || id), id) - 1 AS place FROM pts WHERE few),
+shares AS (SELECT base.* EXCLUDE (few), new // sizes.few + CASE WHEN place < new % sizes.few THEN 1 ELSE 0 END AS share, sizes.few FROM base, sizes),
+draws AS (SELECT s.*, t.no, md5('42|' || id || '_' || t.no) AS draw FROM shares s, UNNEST(range(1, share + 1)) t(no)),
+drawn AS (SELECT *, CAST('0x' || substr(draw, 1, 8) AS BIGINT) % LEAST(5, few - 1) AS pick, CAST('0x' || substr(draw, 9, 13) AS BIGINT) / CAST(1::BIGINT << 52 AS DOUBLE) AS u FROM draws),
+near AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY distance, nn) AS rank FROM (
+    SELECT p.id, q.id AS nn, q.a, q.b, q.c, q.d, q.e, SQRT(POW(p.a - q.a, 2) + POW(p.b - q.b, 2) + POW(p.c - q.c, 2) + POW(p.d - q.d, 2) + POW(p.e - q.e, 2)) AS distance
+    FROM base p JOIN base q ON p.id <> q.id)) WHERE rank <= 5)"""))
 def smote_rows(spark, folder):
-    return smote.smote(_points(spark, folder), "id", "x", "label", ratio=0.5)
+    """Equal to the twin as long as the minority has no more distinct vectors than a bucket; neighbours are approximate beyond."""
+    new = smote.smote(_points(spark, folder), "id", "x", "label", ratio=0.5)
+    return rounded(new.select("id", "label", *[F.col("x")[i].alias(c) for i, c in enumerate(_AXES)]), list(_AXES))
 
 
 # Transforms
@@ -151,7 +169,7 @@ SCALED = ["number_of_views", "total_value_of_views", "session_length"]
     f"ROUND((CAST({c} AS DOUBLE) - m_{c}) / s_{c}, 6) AS {c}" for c in SCALED) + " FROM marked m, fitted", ", fitted AS (SELECT " + ", ".join(
         f"AVG(CAST({c} AS DOUBLE)) AS m_{c}, STDDEV_POP(CAST({c} AS DOUBLE)) AS s_{c}" for c in SCALED) + " FROM train)"))
 def standard_scale(spark, folder):
-    sessions = split_tables(spark, folder)[1].select(*S.SESSION_KEY, "set", *SCALED)
+    sessions = split_sessions(spark, folder).select(*S.SESSION_KEY, "set", *SCALED)
     scaler = transforms.standard_scale(rows.only(sessions, "set", "train"), SCALED)
     return rounded(scaler.apply(sessions).drop("set"), SCALED)
 
@@ -160,7 +178,7 @@ def standard_scale(spark, folder):
     f"ROUND((CAST({c} AS DOUBLE) - l_{c}) / w_{c}, 6) AS {c}" for c in SCALED) + " FROM marked m, fitted", ", fitted AS (SELECT " + ", ".join(
         f"MIN(CAST({c} AS DOUBLE)) AS l_{c}, MAX(CAST({c} AS DOUBLE)) - MIN(CAST({c} AS DOUBLE)) AS w_{c}" for c in SCALED) + " FROM train)"))
 def min_max(spark, folder):
-    sessions = split_tables(spark, folder)[1].select(*S.SESSION_KEY, "set", *SCALED)
+    sessions = split_sessions(spark, folder).select(*S.SESSION_KEY, "set", *SCALED)
     scaler = transforms.min_max(rows.only(sessions, "set", "train"), SCALED)
     return rounded(scaler.apply(sessions).drop("set"), SCALED)
 
@@ -335,8 +353,12 @@ def _propagation(kind, build, features):
     @check(f"propagate_{kind}_graph", over_sessions(
         f"SELECT {G}, node, {', '.join(f'ROUND({c}, 8) AS {c}' for c in names)} FROM h6", extra=GRAPH + _hop_sql(kind, features)))
     def propagate(spark, folder):
+        return rounded(graphs.spread(graph_input(spark, folder), kind, standard=True).drop("label"), names, 8)
+
+    @check(f"propagate_{kind}_graph_by_join", ORACLES[f"propagate_{kind}_graph"])
+    def propagate_by_join(spark, folder):
         nodes, edges = standardised(build(materialize(graph_input(spark, folder))), features)
-        return rounded(graphs.propagate(nodes, edges, features), names, 8)
+        return rounded(graphs.propagate_by_join(nodes, edges, features), names, 8)
 
     outputs = graphs.readout_names(features)
     aggregates = {"mean": "AVG", "max": "MAX", "sum": "SUM"}
@@ -345,9 +367,7 @@ def _propagation(kind, build, features):
         f"SELECT {G}, " + ", ".join(f"ROUND({fn}({c}), 8) AS {c}_{k}" for c in names for k, fn in aggregates.items())
         + f" FROM h6 GROUP BY {G}", extra=GRAPH + _hop_sql(kind, features)))
     def readout(spark, folder):
-        nodes, edges = standardised(build(materialize(graph_input(spark, folder))), features)
-        spread = graphs.propagate(nodes, edges, features)
-        return rounded(graphs.graph_readout(spread, names), outputs, 8)
+        return rounded(graphs.readouts(graph_input(spark, folder), kind, standard=True).drop("label"), outputs, 8)
 
 
 _propagation("event", graphs.event_graph, graphs.EVENT_FEATURES)
@@ -359,7 +379,7 @@ _propagation("item", graphs.item_graph, graphs.ITEM_FEATURES)
 
 def model_tables(spark, folder):
     """Encoded and selected train and test tables with their feature columns."""
-    frame = flows.tabular_frame(split_tables(spark, folder)[1]).withColumn("id", F.concat_ws("_", *S.SESSION_KEY))
+    frame = flows.tabular_frame(split_sessions(spark, folder)).withColumn("id", F.concat_ws("_", *S.SESSION_KEY))
     train, test = rows.only(frame, "set", "train"), rows.only(frame, "set", "test")
     (train, test), numbers = transforms.drop_correlated(train, [test], flows.model_columns())
     encoder = transforms.one_hot(train, flows.CATEGORIES, drop_first=True)

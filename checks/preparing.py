@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.base import (
     GAP, KEY, ORDER, check, distinct_sql, kept, numbered, over_clicks,
-    over_sessions, over_split, raw, session_rows, split_tables,
+    over_sessions, over_split, raw, session_rows, split_sessions,
 )
 from clicktrail import schemas as S
 from clicktrail.functions import calendar, durations, text
@@ -43,6 +43,19 @@ def read_events_csv(spark, folder):
     return event_totals(io.read_events(spark, path, "csv"))
 
 
+@check("read_rejects", over_clicks("""SELECT CASE WHEN event_id % 11 = 0 THEN 'unreadable event_time' WHEN event_id % 13 = 0 THEN 'more than 6 places in price' ELSE 'kept' END AS reason,
+  COUNT(*) AS "rows" FROM clicks GROUP BY 1"""))
+def read_rejects(spark, folder):
+    """Rows per reason when some times and prices are spoiled; kept and rejected ones add up to all."""
+    path = new_path(spark, "events-csv")
+    time = F.when(F.col("event_id") % 11 == 0, "late").otherwise(F.col("event_time").cast("string"))
+    price = F.concat(F.col("price").cast("decimal(20,6)").cast("string"), F.when((F.col("event_id") % 13 == 0) & (F.col("event_id") % 11 != 0), "1").otherwise(""))
+    io.write_table(clickstream(spark, folder).withColumns({"event_time": time, "price": price}), path, "csv")
+    events, rejects = io.read_events_and_rejects(spark, path)
+    reason = F.substring_index(rejects["reasons"][0], ":", 1)
+    return rows.append(events.select(F.lit("kept").alias("reason")), rejects.select(reason.alias("reason"))).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @check("write_events_csv", over_clicks(EVENT_TOTALS))
 def write_events_csv(spark, folder):
     path = new_path(spark, "events-csv")
@@ -73,14 +86,14 @@ def session_totals(df):
 @check("read_sessions_csv", over_split(SESSION_TOTALS))
 def read_sessions_csv(spark, folder):
     path = new_path(spark, "sessions-csv")
-    io.write_table(split_tables(spark, folder)[1], path, "csv")
+    io.write_table(split_sessions(spark, folder), path, "csv")
     return session_totals(io.read_sessions(spark, path, "csv"))
 
 
 @check("write_table_by_set", over_split(SESSION_TOTALS))
 def write_table_by_set(spark, folder):
     path = new_path(spark, "sessions-parquet")
-    io.write_table(split_tables(spark, folder)[1], path, "parquet", partition_by=["set"])
+    io.write_table(split_sessions(spark, folder), path, "parquet", partition_by=["set"])
     return session_totals(io.read_sessions(spark, path, "parquet"))
 
 

@@ -1,5 +1,9 @@
+import math
+import random
+import statistics
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +110,75 @@ def test_density_integrates_to_one(spark):
     assert sum(r.density for r in grid) * step == pytest.approx(1.0, abs=1e-6)
 
 
+@pytest.mark.parametrize("bins", [1 << 10, 1 << 16])
+def test_density_from_cells_is_within_its_bound(spark, bins):
+    """Against the kernel over all values, heavy tails far beyond the range among them."""
+    rng = random.Random(4)
+    values = [rng.gauss(40, 15) for _ in range(1500)] + [rng.paretovariate(1.1) * 50 for _ in range(500)] + [-3.0, 0.0, 100.0, 1e7]
+    df = spark.createDataFrame([(v,) for v in values[:-1]], "v double")
+    values = values[:-1]
+    cells = eda.kde_cells(df, "v", 0.0, 100.0, bins).collect()
+    assert len(cells) <= min(len(values), 8 * bins) and sum(r.n for r in cells) == len(values)
+    h = statistics.stdev(values) * len(values) ** -0.2
+    peak = 1 / (h * math.sqrt(2 * math.pi))
+    for r in eda.kde(df, "v", 0.0, 100.0, 50, bins).collect():
+        exact = sum(math.exp(-0.5 * ((r.x - v) / h) ** 2) for v in values) / len(values) * peak
+        assert abs(r.density - exact) <= peak * ((100 / bins / h) ** 2 / 8 + 1e-6)
+
+
+def test_density_rows_are_bounded_by_cells(spark):
+    df = spark.range(200_000).selectExpr("id / 1999.0 AS v")
+    assert eda.kde_cells(df, "v", 0.0, 100.0, 512).count() <= 513 + 1
+
+
+def test_correlation_of_hundreds_of_columns(spark):
+    """Names with quotes, values far from zero, missing ones; one pass."""
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(400, 30))
+    x = z @ rng.normal(size=(30, 300)) + 1e7
+    x[:, 5] = 3.5
+    names = [f"it's `{i}`" for i in range(300)]
+    rows = [[None if (i + j) % 50 == 0 and j > 290 else float(v) for j, v in enumerate(row)] for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join("`" + n.replace("`", "``") + "` double" for n in names))
+    got = {(r.a, r.b): r.r for r in eda.correlation_matrix(df, names).collect()}
+    assert len(got) == 300 * 300
+    for i, j in [(0, 1), (7, 299), (10, 10), (150, 20), (295, 298)]:
+        keep = [k for k in range(400) if rows[k][i] is not None and rows[k][j] is not None]
+        assert got[names[i], names[j]] == pytest.approx(np.corrcoef(x[keep, i], x[keep, j])[0, 1], abs=1e-7) == got[names[j], names[i]]
+    assert got[names[5], names[0]] is None and got[names[5], names[5]] is None
+
+
+def test_rows_in_are_rows_out_and_rejects(spark, tmp_path):
+    path = str(tmp_path / "e.csv")
+    good = "2020-01-01 00:00:0{} UTC,view,1,2,a.b,x,{},1,s,{}"
+    with open(path, "w") as f:
+        f.write("event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session,event_id\n")
+        f.write("\n".join([good.format(1, "1.25", 1), good.format(2, "1.2345670", 2), good.format(3, "1.23456789", 3), good.format(4, "abc", 4),
+                           "soon,view,one,2,a.b,x,1.0,1,s,5", good.format(6, "", 6)]) + "\n")
+    events, rejects = io.read_events_and_rejects(spark, path)
+    assert events.schema.fieldNames() == io.read_events(spark, path).schema.fieldNames()
+    assert sorted(r.event_id for r in events.collect()) == [1, 2, 6]
+    assert {r.event_id: r.reasons for r in rejects.collect()} == {
+        "3": ["more than 6 places in price: 1.23456789"], "4": ["unreadable price: abc"], "5": ["unreadable event_time: soon", "unreadable product_id: one"]}
+    assert [r.price for r in rejects.collect() if r.event_id == "3"] == ["1.23456789"]
+    with pytest.raises(Exception, match="more than 6 places"):
+        io.read_events(spark, path).filter("event_id = 3").collect()
+
+
+def test_sketches_of_days_merge(spark):
+    from clicktrail.operators import features
+
+    df = spark.range(60_000).selectExpr("id % 20000 AS user_id", "id % 7 AS session", "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(CAST(id % 10 AS INT)) AS event_time")
+    df = df.union(df.limit(3).selectExpr("CAST(NULL AS LONG)", "session", "event_time"))
+    stored = features.distinct_sketches(df, users=["user_id"], sessions=["user_id", "session"]).cache()
+    assert stored.count() == 10
+    for first, last in (("2020-01-01", "2020-01-10"), ("2020-01-03", "2020-01-04"), (None, None), ("2021-01-01", None)):
+        part = df.filter(F.to_date("event_time").between(first or "2000-01-01", last or "2100-01-01")).dropna()
+        got = features.distinct_from_sketches(stored, first, last).first()
+        assert got.users == pytest.approx(part.select("user_id").distinct().count(), rel=0.03)
+        assert got.sessions == pytest.approx(part.select("user_id", "session").distinct().count(), rel=0.03)
+
+
 def test_csv_keeps_names_and_microseconds(spark, events):
     df = events([(1, str(datetime(2020, 1, 1) + timedelta(microseconds=7)), "view", 3, "1.25", None, "ü")])
     path = new_path(spark, "round-trip")

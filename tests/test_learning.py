@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clicktrail.operators import eda, evaluation, graphs, models, sampling, smote, transforms
 
+from clicktrail.spark import new_path
 from tests.test_sessions import at
 
 
@@ -47,6 +49,34 @@ def test_folds_are_even_and_rank_is_dense(spark):
     assert sorted(r["rank"] for r in ranks.filter("PurchaseSession = 1").collect()) == list(range(72))
 
 
+def test_cuts_by_rounds_of_counts(spark, monkeypatch):
+    """Buckets of a few rows, digits one by one: the cuts are the digests that a sort of the whole class gives."""
+    df = labelled(spark, 3000)
+    whole = sampling.stratified_split(df, train_n=701, test_n=299)
+    monkeypatch.setattr(sampling, "_LISTED", 2)
+    monkeypatch.setattr(sampling, "_DIGITS", 1)
+    rounds = []
+    counts = sampling._bucket_counts
+    monkeypatch.setattr(sampling, "_bucket_counts", lambda keyed, buckets, digits: rounds.append(digits) or counts(keyed, buckets, digits))
+    assert sampling.stratified_split(df, train_n=701, test_n=299).cuts == whole.cuts and len(rounds) > 2
+    digests = {}
+    for r in df.select("PurchaseSession", sampling.seeded_digest(42, F.col("user_id"), F.col("session")).alias("d")).collect():
+        digests.setdefault(r.PurchaseSession, []).append(r.d)
+    sizes = sampling.allocate({v: len(d) for v, d in digests.items()}, 701)
+    assert {v: sorted(d)[sizes[v] - 1] for v, d in digests.items()} == {v: cut[0] for v, cut in whole.cuts.items()}
+
+
+@pytest.mark.parametrize("most", [7, 60, 10**6])
+def test_ranks_are_dense_at_any_bucket_size(spark, monkeypatch, most):
+    monkeypatch.setattr(sampling, "_RANKED", most)
+    df = labelled(spark, 1000)
+    ranks = sampling.stratified_rank(df, ["user_id", "session"], "PurchaseSession").collect()
+    for value in (0, 1):
+        own = sorted((r for r in ranks if r.PurchaseSession == value), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(len(own)))
+        assert own == sorted(own, key=lambda r: hashlib.md5(f"42|{r.user_id}_{r.session}".encode()).hexdigest())
+
+
 def test_allocate_prefers_large_remainders():
     assert sampling.allocate({0: 97, 1: 3}, 10) == {0: 10, 1: 0}
     assert sampling.allocate({0: 5, 1: 5}, 3) == {0: 2, 1: 1}
@@ -155,6 +185,44 @@ def test_neighbours_are_exact(spark, monkeypatch, copies):
         assert got[i] == [j for _, j in order[:5]], i
 
 
+@pytest.mark.parametrize("kind", ["latent", "sessions"])
+def test_projected_neighbours_are_found(spark, monkeypatch, kind):
+    """25 columns, buckets and groups of few rows: recall against the exact table, and distances that are right."""
+    monkeypatch.setattr(smote, "BUCKET", 128)
+    monkeypatch.setattr(smote, "_GROUP", 500)
+    rng = np.random.default_rng(2)
+    if kind == "latent":
+        x = rng.normal(size=(1500, 5)) @ rng.normal(size=(5, 25)) + 0.05 * rng.normal(size=(1500, 25))
+    else:
+        z = np.exp(rng.normal(size=(1500, 6)))
+        x = np.concatenate([np.round(3 * z), np.round(z * z, 2), z[:, :5] * rng.random((1500, 5)), rng.integers(0, 2, (1500, 8))], 1)
+    x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-9)
+    x[:100] = x[0]  # copies stay out of the buckets
+    df = spark.createDataFrame([(f"{i:04}", row.tolist()) for i, row in enumerate(x)], "id string, x array<double>")
+    lists = [{}, {}]
+    for exact, out in zip((True, False), lists):
+        for r in smote.nearest_neighbours(df, "id", "x", exact=exact).collect():
+            out.setdefault(r.id, {})[r.nn] = r.distance
+            assert r.distance == pytest.approx(float(np.linalg.norm(x[int(r.id)] - x[int(r.nn)])), abs=1e-9)
+    truth, got = lists
+    assert set(got) == set(truth) and all(len(v) == 5 for v in got.values())
+    assert np.mean([len(truth[i].keys() & got[i].keys()) / 5 for i in truth]) >= 0.95
+
+
+def test_projected_buckets_bound_the_visits(monkeypatch):
+    """However large a group is, a row meets the rows of one bucket."""
+    import pandas as pd
+
+    monkeypatch.setattr(smote, "BUCKET", 64)
+    met = []
+    monkeypatch.setattr(smote, "_nearest", lambda a, b, k: met.append(len(b)) or pd.DataFrame({"id": a["id"]}))
+    rng = np.random.default_rng(1)
+    for n in (50, 1000, 4000):
+        met.clear()
+        group = pd.DataFrame({"tree": 3, "leaf": 0, "id": np.arange(n), "x": list(rng.normal(size=(n, 25)))})
+        assert sorted(smote._in_buckets(group, 5, 42)["id"]) == list(range(n)) and max(met) <= 64 and sum(met) == n
+
+
 def test_few_rows_have_fewer_neighbours(spark):
     df = spark.createDataFrame([("a", [0.0]), ("b", [1.0]), ("c", [5.0])], "id string, x array<double>")
     assert smote.nearest_neighbours(df, "id", "x", k=5).count() == 6
@@ -217,6 +285,36 @@ def test_one_pass_readout_equals_the_steps(spark, events):
         assert len(one) == len(other) > 5 and np.allclose(np.array(one, float), np.array(other, float))
 
 
+def test_rounds_by_join_equal_the_rows(spark, events):
+    rng = random.Random(6)
+    rows = [(u, at(60 * k), rng.choice(["view", "cart"]), rng.randint(1, 4), f"{rng.randint(1, 90)}.50") for u in range(9) for k in range(rng.randint(1, 12))]
+    source = graphs.graph_events(events(rows).withColumns({"session": F.lit(0), "PurchaseSession": F.lit(1)}))
+    for build, features in ((graphs.event_graph, graphs.EVENT_FEATURES), (graphs.item_graph, graphs.ITEM_FEATURES)):
+        nodes, edges = build(source)
+        names = [*graphs.GRAPH_KEY, "node", *graphs.hop_names(features, 3)]
+        one, other = (sorted(tuple(r) for r in f(nodes, edges, features, 3).select(names).collect()) for f in (graphs.propagate, graphs.propagate_by_join))
+        assert np.allclose(np.array(one, float), np.array(other, float))
+
+
+def test_a_graph_of_a_million_nodes(spark):
+    """A ring with a hub that a hundred thousand nodes are linked to, against dense sums; the form that gathers a graph refuses it."""
+    n, hops = 1_000_000, 2
+    key = ["CAST(1 AS LONG) AS user_id", "CAST(0 AS LONG) AS session", "0 AS copy_no"]
+    nodes = spark.range(n).selectExpr(*key, "CAST(id AS INT) AS node", "CAST(id % 97 AS DOUBLE) AS f")
+    ring = spark.range(n).selectExpr(*key, "CAST(id AS INT) AS src", f"CAST((id + 1) % {n} AS INT) AS dst")
+    hub = spark.range(100_000).selectExpr(*key, "CAST(id * 10 AS INT) AS src", "0 AS dst")
+    got = graphs.propagate_by_join(nodes, ring.union(hub), ["f"], hops).select("node", "f_1", "f_2").toPandas().sort_values("node")
+    src = np.concatenate([np.arange(n), np.arange(100_000) * 10])
+    dst = np.concatenate([(np.arange(n) + 1) % n, np.zeros(100_000, int)])
+    weight = 1 / np.sqrt(np.bincount(src, minlength=n)[src] * np.bincount(dst, minlength=n)[dst])
+    x = (np.arange(n) % 97).astype(float)
+    for h in range(1, hops + 1):
+        x = np.bincount(dst, x[src] * weight, n)
+        assert np.allclose(got[f"f_{h}"].to_numpy(), x)
+    with pytest.raises(Exception, match="propagate_by_join"):
+        graphs.propagate(nodes.limit(graphs.MAX_EVENTS + 1), ring.limit(5), ["f"], 1).count()
+
+
 def test_readout_sum_is_n_times_mean(events):
     nodes, _ = graphs.event_graph(graphs.graph_events(graph_rows(events)))
     r = graphs.graph_readout(nodes, ["price"]).first()
@@ -271,6 +369,36 @@ def test_search(signal):
     assert f1 > 0.5
 
 
+def test_a_search_goes_on_from_its_table(spark, signal, monkeypatch):
+    """The driver is lost after some scores; started again, only the others are fitted, and the result is that of one go."""
+    table = new_path(spark, "scores")
+    grid = {"C": [0.001, 0.1, 1.0], "penalty": ["l2"], "ratio": [0.4, 0.5]}
+    search = lambda **kw: models.random_search(
+        signal, "id", ["a", "b"], "y", "logistic_regression", grid, 6, folds=2, fixed={"max_iter": 5}, parallelism=2, **kw)
+    fits, f1 = [], models._f1
+
+    def lost(*args):
+        fits.append(1)
+        if len(fits) > 7:
+            raise KeyboardInterrupt
+        return f1(*args)
+
+    monkeypatch.setattr(models, "_f1", lost)
+    with pytest.raises(KeyboardInterrupt):
+        search(table=table)
+    kept = spark.read.parquet(table).count()
+    assert 4 <= kept <= 7
+    again = []
+    monkeypatch.setattr(models, "_f1", lambda *args: again.append(1) or f1(*args))
+    found = search(table=table)
+    assert len(again) == 12 - kept and spark.read.parquet(table).count() == 12
+    whole = search()
+    assert found.best == whole.best and sorted(map(tuple, found.results.collect())) == sorted(map(tuple, whole.results.collect()))
+    again.clear()
+    search(table=table)
+    assert not again
+
+
 def test_grids_have_the_right_sizes():
     sizes = {k: math.prod(len(v) for v in g.values()) for k, g in models.GRIDS.items()}
     assert sizes == {"logistic_regression": 300, "decision_tree": 48, "random_forest": 144, "gradient_boosting": 810}
@@ -351,3 +479,21 @@ def test_all_kinds_are_searched_and_compared(signal):
     assert set(table) == set(searches) == set(models.GRIDS) and all(r.auc > 0.8 for r in table.values())
     assert {r.model for r in curves.select("model").distinct().collect()} == set(models.GRIDS)
     assert all(models.search_results(s).count() == 1 for s in searches.values())
+
+
+def test_models_are_compared_in_one_pass(spark):
+    """Any number of models: points and areas are those of each alone, from one written table."""
+    rng = random.Random(7)
+    scored = {f"m{k}": spark.createDataFrame([(rng.randint(0, 1), rng.randint(0, 20 + k) / 20) for _ in range(300)], "label int, score double") for k in range(5)}
+    written = []
+    real = evaluation.materialize
+    evaluation.materialize = lambda df, name="table": written.append(name) or real(df, name)
+    try:
+        got = evaluation.compare_models(scored).collect()
+    finally:
+        evaluation.materialize = real
+    assert written == ["scores", "models"]
+    for name, df in scored.items():
+        own = sorted((r.threshold, r.fpr, r.tpr) for r in got if r.model == name)
+        assert own == sorted(map(tuple, evaluation.roc_curve(df).collect()))
+        assert {r.auc for r in got if r.model == name} == {round(evaluation.auc(df).first().auc, 4)}

@@ -46,7 +46,7 @@ def test_events_are_shuffled_twice(spark):
 
 
 def test_no_python_rows_in_the_hot_path(spark):
-    for name in ("session_table", "propagate_item_graph", "roc_curve", "correlation_matrix"):
+    for name in ("session_table", "propagate_item_graph", "roc_curve", "session_length_density"):
         text = plan(base.QUERIES[name](spark, FOLDER))
         assert "Python" not in text and "InPandas" not in text, name
 
