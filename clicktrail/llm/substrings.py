@@ -99,7 +99,7 @@ def _anchor_rows(window: int, period: int):
         order, new, _, shared = _settle(key, None, id_)
         key, id_, copy, pos = (x[order] for x in (key, id_, copy, pos))
         sure = shared & ~new
-        own = mix(id_.view(U) * U(0x9E3779B97F4A7C15) + pos.astype(U)).view(np.int64)
+        own = mix((id_ ^ copy).view(U) * U(0x9E3779B97F4A7C15) + pos.astype(U)).view(np.int64)
         # the row that goes on for the others is marked for itself as well
         again = shared & new
         out = [np.concatenate([np.where(sure, own, key), own[again]])]
@@ -109,10 +109,6 @@ def _anchor_rows(window: int, period: int):
     return run
 
 
-def _of(marks, copy: int) -> np.ndarray:
-    return np.array([m["pos"] for m in marks.as_py() or () if m["copy"] == copy], np.int64)
-
-
 def _window_rows(window: int, period: int):
     """(key, second, id, copy, pos, sure): the windows that contain a shared anchor, under a 128-bit hash.
 
@@ -131,7 +127,7 @@ def _window_rows(window: int, period: int):
                     if n <= 0:
                         continue
                     step = np.zeros(n + 1, np.int32)
-                    q = np.unique(_of(marks, copies[i]))
+                    q = np.unique(marks.values.to_numpy())
                     np.add.at(step, np.maximum(q - reach + 1, 0).clip(max=n), 1)
                     np.add.at(step, (q + 1).clip(max=n), -1)
                     pos = np.flatnonzero(np.cumsum(step[:n]) > 0)
@@ -152,7 +148,7 @@ def _window_rows(window: int, period: int):
         key, second, id_, copy, pos = (x[order] for x in (key, second, id_, copy, pos))
         sure = id_ > low
         go = sure | new | (id_ == low)
-        key = np.where(sure, mix(id_.view(U) * U(0x9E3779B97F4A7C15) + pos.astype(U)).view(np.int64), key)
+        key = np.where(sure, mix((id_ ^ copy).view(U) * U(0x9E3779B97F4A7C15) + pos.astype(U)).view(np.int64), key)
         return _rows(["key", "second", "id", "copy", "pos", "sure"], [x[go] for x in (key, second, id_, copy, pos, sure)])
 
     return run
@@ -162,15 +158,16 @@ def _kept_rows(window: int, with_text: bool):
     def run(batches):
         for batch in batches:
             out = []
-            for text, id_, copy, whole, marks in zip(*(batch.column(c) for c in ("text", "id", "copy", "repeats", "marks"))):
+            for text, whole, marks in zip(*(batch.column(c) for c in ("text", "repeats", "marks"))):
                 words = (text.as_py() or "").encode().split()
                 n, gone = len(words), None
                 if whole.as_py() and n >= window:
                     kept = []
-                elif marks.is_valid and len(pos := _of(marks, copy.as_py())):
+                elif marks.is_valid:
+                    pos = np.unique(marks.values.to_numpy())
                     step = np.zeros(n + 1, np.int32)
-                    np.add.at(step, np.unique(pos), 1)
-                    np.add.at(step, np.unique(pos) + window, -1)
+                    np.add.at(step, pos, 1)
+                    np.add.at(step, pos + window, -1)
                     gone = np.cumsum(step[:n]) > 0
                     kept = [w for w, g in zip(words, gone.tolist()) if not g]
                 else:
@@ -196,7 +193,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, wit
     3. Where an anchor is shared, the match is extended: the windows around it are hashed in full (128 bits) and
        compared by the lowest id.
     Tasks settle repeats among what they hold before each shuffle, so a passage in every document sends a row per
-    task, not per document.  Texts are shuffled once, by id, and that exchange is reused.
+    task, not per document.  Texts are shuffled once, by id and text, and that exchange is reused; marks are gathered per text, so
+    any share of the rows may have no id or the same one.
 
     Null texts have no words.  A null id counts as the highest.  Rows with the same id never remove from each other.
     Texts under ``window`` words stay whole.  An empty table gives an empty result; further columns are ignored.
@@ -208,24 +206,22 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, wit
     )
     own = hashed.select("id", "h1", "h2").distinct()
     lowest = own.groupBy("h1", "h2").agg(F.min("id").alias("lowest"))
-    versions = F.sort_array(F.collect_list(F.struct("h1", "h2", (F.col("lowest") < F.col("id")).alias("repeats"))))
-    named = materialize(own.join(lowest, ["h1", "h2"]).groupBy("id").agg(versions.alias("versions")), "substring-versions")
-    # by id alone, so that the exchange of the texts serves all joins with them
-    mine = F.filter("versions", lambda v: (v["h1"] == F.col("h1")) & (v["h2"] == F.col("h2")))[0]
-    place = F.array_position(F.transform("versions", lambda v: F.struct(v["h1"], v["h2"])), F.struct("h1", "h2")).cast("int")
-    rows = hashed.join(named.hint("shuffle_hash"), "id").select("id", place.alias("copy"), mine["repeats"].alias("repeats"), "text")
-
-    fields = "id long, copy int, pos int, sure boolean"
+    named = own.join(lowest, ["h1", "h2"]).groupBy("id", F.col("h1").alias("copy")).agg(F.every(F.col("lowest") < F.col("id")).alias("repeats"))
+    named = materialize(named, "substring-versions")
+    # by id and text alone, so that the exchange of the texts serves all joins with them
+    rows = hashed.select("id", F.col("h1").alias("copy"), "text").join(named.hint("shuffle_hash"), ["id", "copy"]).select("id", "copy", "repeats", "text")
+
+    fields = "id long, copy long, pos int, sure boolean"
     by_key = Window.partitionBy("key")
     anchors = rows.where("NOT repeats").select("id", "copy", "text").mapInArrow(_anchor_rows(window, period), f"key long, {fields}")
     shared = anchors.withColumn("several", F.min("id").over(by_key) < F.max("id").over(by_key)).where("sure OR several")
-    per_id = lambda df: df.groupBy("id").agg(F.collect_list(F.struct("copy", "pos")).alias("marks")).hint("shuffle_hash")
+    per_text = lambda df: df.groupBy("id", "copy").agg(F.collect_list("pos").alias("marks")).hint("shuffle_hash")
 
-    around = rows.where("NOT repeats").join(per_id(shared), "id").select("id", "copy", "text", "marks")
+    around = rows.where("NOT repeats").join(per_text(shared), ["id", "copy"]).select("id", "copy", "text", "marks")
     windows = around.mapInArrow(_window_rows(window, period), f"key long, second long, {fields}")
     covered = windows.withColumn("low", F.min("id").over(Window.partitionBy("key", "second"))).where("sure OR id > low")
 
-    final = rows.join(per_id(covered), "id", "left").select("id", "copy", "repeats", "text", "marks")
+    final = rows.join(per_text(covered), ["id", "copy"], "left").select("id", "repeats", "text", "marks")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     return final.mapInArrow(_kept_rows(window, with_text), schema).withColumn("doc_id", F.when(F.col("doc_id") < _LAST, F.col("doc_id")))
 
