@@ -12,6 +12,14 @@ MAX_BAD = 0.5
 Z = 1.645
 #: Prior strengths that no moment estimate leaves.
 STRENGTHS = (1.0, 10_000.0)
+# Public suffixes of two labels that are common in web text.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "blogspot.com", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au",
+    "com.bd", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.sa", "com.sg", "com.tr",
+    "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "edu.hk", "edu.tw", "github.io", "gitlab.io", "go.jp", "go.kr", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk",
+    "herokuapp.com", "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "netlify.app", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.in", "org.nz", "org.uk",
+    "org.za", "pages.dev", "vercel.app", "web.app",
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,8 +45,10 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (last two labels) and suffix (last label)."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    """Registered domain and suffix: the suffix is one of ``SUFFIXES`` or the last label, the domain has one label more, if the host has."""
+    two = F.substring_index(host, ".", -2)
+    known = two.isin(*SUFFIXES)
+    return F.when(known, F.substring_index(host, ".", -3)).otherwise(two), F.when(known, two).otherwise(F.substring_index(host, ".", -1))
 
 
 def _strength(n: str, k: str, p: str) -> Column:
@@ -118,8 +128,10 @@ SQL = f"""
 WITH r AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
 parsed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM r),
 outcomes AS (SELECT doc_id AS page_id, max(CAST(quality = 0 OR coalesce(toxic, 0) = 1 AS INTEGER)) AS bad FROM labels GROUP BY 1),
-hosts AS (SELECT host, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix,
-  CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k FROM parsed LEFT JOIN outcomes USING (page_id) GROUP BY host),
+pairs AS (SELECT *, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS two FROM parsed),
+hosts AS (SELECT host, CASE WHEN two IN {SUFFIXES} THEN list_aggregate(list_slice(string_split(host, '.'), -3, -1), 'string_agg', '.') ELSE two END AS domain,
+  CASE WHEN two IN {SUFFIXES} THEN two ELSE string_split(host, '.')[-1] END AS suffix,
+  CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k FROM pairs LEFT JOIN outcomes USING (page_id) GROUP BY host, two),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM hosts) AS top FROM hosts GROUP BY suffix),{_level("s1", "s0", "top")},
 d0 AS (SELECT domain, sum(h.n) AS n, sum(h.k) AS k, any_value(s1.p) AS up FROM hosts h JOIN s1 USING (suffix) GROUP BY domain),{_level("d1", "d0", "up")},
 h0 AS (SELECT host, h.n, h.k, d1.p AS up FROM hosts h JOIN d1 USING (domain)),{_level("h1", "h0", "up")},
