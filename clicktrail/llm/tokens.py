@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from clicktrail.llm.common import query, table
 
 LIMIT = 2048
-#: Distinct chunks, and as many distinct words, whose counts a Python worker remembers; when full, it starts afresh.
-REMEMBERED = 400_000
+#: Distinct chunks, and as many distinct words, whose counts a Python worker remembers; when full, it starts afresh.  Longer ones than
+#: LONGEST are not remembered, so both take some 100 MB at most.
+REMEMBERED, LONGEST = 400_000, 64
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -46,6 +47,13 @@ def merges_in(symbols: list, ranks: dict) -> int:
     return done
 
 
+def _remember(known: dict, piece, n: int) -> None:
+    if len(piece) <= LONGEST:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[piece] = n
+
+
 class Counter:
     """Counts tokens as the tokenizer file gives them; its normaliser and splitter are the library's own."""
 
@@ -67,9 +75,8 @@ class Counter:
 
     def word(self, piece: str) -> int:
         if (n := self.words.get(piece)) is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            n = self.words[piece] = self.merged(piece)
+            n = self.merged(piece)
+            _remember(self.words, piece, n)
         return n
 
     def merged(self, piece: str) -> int:
@@ -97,9 +104,8 @@ class Counter:
         for chunk in text.split():
             n = known.get(chunk)
             if n is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                n = known[chunk] = self.chunk(chunk.decode("utf-8", "replace"))
+                n = self.chunk(chunk.decode("utf-8", "replace"))
+                _remember(known, chunk, n)
             total += n
         return total
 
