@@ -12,6 +12,9 @@ from clicktrail.spark import materialize
 #: A candidate is a run of at least 16 of these characters with a digit, or of 20 in any case.
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 LONG = 20
+#: Besides, whatever follows a keyword and an assignment and has at least 6 characters, less quotes and closing punctuation.
+ASSIGNED = r"""(?i)(?:pass|passwd|password|pwd|token|secret|api_?key|key|auth)["']?[=:]+["']?([^\s"']{6,})"""
+ASSIGNED_BEFORE = r"""(?i)(?:pass|passwd|password|pwd|token|secret|api_?key|key|auth)["']?[\s=:]*[=:]$"""
 #: Words of the dictionary: the most frequent short words of the corpus.
 DICTIONARY = 120
 #: Labelled findings that the fit takes at most: those with the lowest hash.
@@ -26,18 +29,23 @@ FEATURES = ["length", "digits", "capitals", "small", "others", "hex", "changes",
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, source, at, value, before, previous, next`` of every candidate in every whole text.
 
-    ``at`` counts words between ASCII white space; a word may hold several candidates.  Null and empty texts have
-    none; null sources are a path of their own; repeated rows are scanned each.
+    ``at`` counts words between ASCII white space; a word may hold several candidates: runs of the pattern, and the value that is
+    assigned to a keyword in the word or right before it, whatever its characters.  Null and empty texts have none; texts of any length are
+    searched as a whole; null sources are a path of their own; repeated rows are scanned each.
     """
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     found = let(words, lambda ws: F.filter(
         F.transform(ws, lambda w, i: F.when(
-            (F.length(w) >= 16) & w.rlike(CANDIDATE),
+            (F.length(w) >= 6) & (((F.length(w) >= 16) & w.rlike(CANDIDATE)) | w.rlike(ASSIGNED) | F.get(ws, i - 1).rlike("[=:]$")),
             F.struct(i.alias("at"), w.alias("word"), F.concat_ws(" ", F.get(ws, i - 2), F.get(ws, i - 1)).alias("previous"), F.get(ws, i + 1).alias("next")))),
         lambda x: x.isNotNull()))
     each = docs.select("doc_id", "source", F.inline(found))
-    each = each.select("*", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), 0)).alias("value"))
-    return each.where(F.col("value").rlike("[0-9]") | (F.length("value") >= LONG)).select(
+    runs = F.filter(F.regexp_extract_all("word", F.lit(CANDIDATE), 0), lambda v: v.rlike("[0-9]") | (F.length(v) >= LONG))
+    bare = lambda v: F.regexp_replace(v, r"""^["']+|["'.,;:!?)\]}>]+$""", "")
+    after = F.when(F.col("word").rlike(ASSIGNED), F.regexp_extract("word", ASSIGNED, 1)).when(F.col("previous").rlike(ASSIGNED_BEFORE), F.col("word"))
+    given = F.filter(F.array(bare(after)), lambda v: F.length(v) >= 6)
+    each = each.select("*", F.explode(F.array_distinct(F.concat(runs, given))).alias("value"))
+    return each.select(
         "doc_id", "source", F.col("at").cast("long").alias("at"), "value", F.expr("substring_index(word, value, 1)").alias("before"),
         "previous", F.coalesce("next", F.lit("")).alias("next"))
 
@@ -85,7 +93,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPL
     """``doc_id, at, n_chars, value_sha256, score, secret`` of every candidate in every document.
 
     ``labelled`` has findings as ``value_sha256, label``, judged before; without it ``weak_label`` gives the labels.
-    The forest is fitted on at most ``sample`` of them and its score decides for all candidates; where the labels are of
+    The forest is fitted on at most ``sample`` of them and its score decides for all candidates.  It does not see the two features that make
+    weak labels, keyword and assignment, where these are what it learns from; candidates of equal features have equal scores.  Where the labels are of
     one kind only, or none, every candidate stays with score 1.  The secret itself is never returned.
     """
     slim = docs.select("doc_id", "source", "text")
@@ -98,7 +107,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPL
     # both kinds get half of the sample, each by the lowest hash of value and place
     rank = F.xxhash64("value_sha256", "doc_id", "at")
     halves = [known.where(F.col("label") == k).orderBy(rank).limit(sample // 2) for k in (0, 1)]
-    names = [f"f_{f}" for f in FEATURES]
+    names = [f"f_{f}" for f in FEATURES if labelled is not None or f not in ("keyword", "assigned")]
     train = materialize(halves[0].union(halves[1]).select(F.col("label").cast("double").alias("label"), *names), "secret-findings")
     result = [F.length("value").cast("long").alias("n_chars"), "value_sha256"]
     if train.select("label").distinct().count() < 2:

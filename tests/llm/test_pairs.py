@@ -269,6 +269,15 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), labels).collect() == []
 
 
+def test_registered_domains(spark):
+    hosts = ["a.foo.co.uk", "foo.co.uk", "co.uk", "uk", "a.b.example.com", "example.com", "x.github.io", "", "a.b.c.com.au"]
+    domain, suffix = urls.levels(urls.F.col("h"))
+    got = [tuple(r) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", domain, suffix).collect()]
+    assert got == [("a.foo.co.uk", "foo.co.uk", "co.uk"), ("foo.co.uk", "foo.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("uk", "uk", "uk"),
+                   ("a.b.example.com", "example.com", "com"), ("example.com", "example.com", "com"), ("x.github.io", "x.github.io", "github.io"), ("", "", ""),
+                   ("a.b.c.com.au", "c.com.au", "com.au")]
+
+
 def test_reputation_shrinks(spark):
     rng, pages, labels = random.Random(1), [], []
     for i in range(3000):
@@ -308,6 +317,9 @@ def test_secrets(frame, odd, none, spark):
     assert {r["doc_id"] for r in got if r["secret"]} == set(truth)
     pattern = re.compile(secrets.CANDIDATE)
     want = Counter(i for i, t in rows for v in pattern.findall(t) if re.search("[0-9]", v) or len(v) >= 20)
+    short = [(1000 + i, t) for i, t in enumerate(["my password = Tr0ub4dor&3 is it", "api_key=Ab3dE5gH1j, see", 'token: "s!x#ch@rs"', "the key : short", "pass the salt please = thanks"])]
+    values = {(r["doc_id"], r["value"]) for r in secrets.candidates(frame(short)).collect()}
+    assert values == {(1000, "Tr0ub4dor&3"), (1001, "Ab3dE5gH1j"), (1002, "s!x#ch@rs")}
     assert Counter(r["doc_id"] for r in got) == want
     judged = spark.createDataFrame([(r["value_sha256"], int(r["doc_id"] % 4 == 1)) for r in got], "value_sha256 string, label int")
     turned = secrets.scan(frame(rows), judged).collect()
