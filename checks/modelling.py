@@ -418,8 +418,9 @@ _model("gradient_boosting", "gradient_boosting", n_estimators=100, max_depth=3,
 
 
 def _small_search(spark, folder):
+    """Six candidates of one kind, all three ratios: the whole search takes hours here (see the README)."""
     train, test, columns = model_tables(spark, folder)
-    grid = {"C": [0.01, 1.0], "penalty": ["l2"], "ratio": [0.3, 0.5]}
+    grid = {"C": [0.01, 1.0], "penalty": ["l2"], "ratio": list(models.RATIOS)}
     return models.random_search(train, "id", columns, "purchase_session", "logistic_regression", grid)
 
 
@@ -428,6 +429,13 @@ def random_search_results(spark, folder):
     return models.search_results(_small_search(spark, folder))
 
 
+@check("tabular_models")
+def tabular_models(spark, folder):
+    """Test measures of all four kinds, each searched over its own grid: one candidate, two folds (see the README)."""
+    train, test, columns = model_tables(spark, folder)
+    return flows.tabular_models(train, test, "id", columns, n_iter=1, folds=2)[1]
+
+
 @check("score_by_ratio")
 def score_by_ratio(spark, folder):
     return models.score_by_param(_small_search(spark, folder).results)
