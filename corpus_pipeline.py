@@ -2,6 +2,11 @@
 
 Each stage takes the table that the stage before it has written and returns it with its own decisions carried out; all but
 the last return the columns of ``documents``.
+
+Every stage takes null ids, texts and sources, empty and very long texts, and further columns of any name; rows are judged each by itself, whatever ids
+they share.  Empty tables stay empty.  A null text is an empty one: it has the score of a text without words, is no near duplicate
+of a text with words (one row of each id stays), leaks nothing, costs the mix nothing and stays once, and has 16 bytes in its shard.  Of
+rows with equal texts the one of the smallest id stays.  Equal scores fall on the same side; ties of order go by id, then text.
 """
 
 from pyspark.sql import DataFrame, SparkSession
