@@ -12,7 +12,8 @@ from clicktrail.operators.features import enrich, labelled_events, session_table
 from clicktrail.operators.rows import append, not_null, only, semi
 from clicktrail.operators.sessions import GAP, prepare_sessions
 from clicktrail.operators.transforms import min_max
-from clicktrail.spark import materialize
+from clicktrail.sources.events import bucket_count, write_bucketed
+from clicktrail.spark import materialize, new_path
 
 # Columns that the tabular models leave out or rename.
 DROPPED = ["day", "hour", S.TIME, "number_of_purchases", S.SESSION_TEXT]
@@ -33,17 +34,20 @@ def model_columns() -> list:
 
 
 def preprocess(
-    raw: DataFrame, gap=GAP, train_n: int = sampling.TRAIN_SIZE, test_n: int = sampling.TEST_SIZE, seed: int = sampling.SEED
+    raw: DataFrame, gap=GAP, train_n: int = sampling.TRAIN_SIZE, test_n: int = sampling.TEST_SIZE, seed: int = sampling.SEED,
+    buckets: int | None = None,
 ):
     """Raw events to labelled events and the session table, both with their ``set``.
 
-    The enriched events are materialised once; the session table reads them back and
-    groups them by session, which shuffles them a third time, and the split marks both
-    tables by expression.
+    Events are shuffled twice: to their cells, and by session into ``buckets`` (see ``write_bucketed``).  Both tables are written by bucket,
+    so the session table, and later every join, window or aggregate by session, reads them without an exchange.  The split marks
+    both tables by expression.
     """
-    prepared = prepare_sessions(not_null(raw, "user_session"), gap)
-    events = materialize(labelled_events(enrich(prepared)))
-    sessions = materialize(session_table(events))
+    spark = raw.sparkSession
+    buckets = buckets or bucket_count(spark)
+    prepared = prepare_sessions(not_null(raw, "user_session"), gap).repartition(buckets, *S.SESSION_KEY)
+    events = write_bucketed(labelled_events(enrich(prepared)), new_path(spark, "events"), buckets=buckets, placed=True)
+    sessions = write_bucketed(session_table(events), new_path(spark, "sessions"), buckets=buckets, placed=True)
     split = sampling.stratified_split(sessions, train_n=train_n, test_n=test_n, seed=seed)
     return split.assign(events), split.assign(sessions)
 

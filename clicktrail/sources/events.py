@@ -1,5 +1,7 @@
 """Reading and writing event and session tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,5 +103,55 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(),
     writer.format(fmt).save(path)
 
 
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of a table where none are named: ``spark.sql.shuffle.partitions``."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_bucketed(df: DataFrame, path: str, keys=tuple(S.SESSION_KEY), buckets: int | None = None, placed: bool = False, mode: str = "errorifexists") -> DataFrame:
+    """Write a Parquet table bucketed by ``keys`` and give it back as ``read_bucketed`` does.
+
+    Whatever groups, joins or orders its rows by ``keys`` needs no exchange, in this session and in later ones.  A bucket is one file and
+    one task: name so many that it has a few hundred MB, up to ``spark.sql.sources.bucketing.maxBuckets`` (100,000).  Rows are dealt to their buckets by
+    one exchange; ``placed`` says that they come from ``repartition(buckets, *keys)`` and steps that keep its partitions, so that none is needed.
+    """
+    spark, keys = df.sparkSession, list(keys)
+    buckets = buckets or bucket_count(spark)
+    # the layout goes with the key columns in the file footers
+    marks = {k: F.col(k).alias(k, metadata={"bucket_key": i, "buckets": buckets}) for i, k in enumerate(keys)}
+    dealt = df if placed else df.repartition(buckets, *keys)
+    name = _new_name()
+    dealt.select(*[marks[c] if c in marks else F.col(_quoted(c)) for c in df.columns]).write.mode(mode).bucketBy(buckets, *keys).saveAsTable(name, format="parquet", path=path)
+    return _taken(spark, name)
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``write_bucketed`` wrote, with its buckets; they are stated in its files, no catalog has to know it."""
+    schema = spark.read.parquet(path).schema
+    keys = sorted((f for f in schema if "bucket_key" in f.metadata), key=lambda f: f.metadata["bucket_key"])
+    if not keys:
+        raise ValueError(f"{path} is not bucketed")
+    columns, by = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in schema), ", ".join(_quoted(f.name) for f in keys)
+    name, location = _new_name(), path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {keys[0].metadata['buckets']} BUCKETS LOCATION '{location}'")
+    return _taken(spark, name)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _new_name() -> str:
+    return f"clicktrail_{uuid.uuid4().hex}"
+
+
+def _taken(spark: SparkSession, name: str) -> DataFrame:
+    """The table as a DataFrame, and its name out of the catalog; files of a table with a path of its own stay."""
+    table = spark.table(name)
+    table.schema  # resolved while the catalog has it
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def cast_columns(df: DataFrame, types: dict) -> DataFrame:
     return df.withColumns({name: F.col(name).cast(kind) for name, kind in types.items()})
