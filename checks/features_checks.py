@@ -97,6 +97,14 @@ def max_gap(spark, folder):
     return features.max_gap(kept(spark, folder))
 
 
+@check("session_durations_without_purchases", over_sessions(f"""SELECT {KEY}, CAST(date_diff('microsecond', MIN(event_time), MAX(event_time)) AS BIGINT) AS session_length,
+  MAX(gap) AS max_time_between_two_events, ANY_VALUE("PurchaseSession") AS "PurchaseSession" FROM (SELECT *,
+    COALESCE(date_diff('microsecond', LAG(event_time) OVER ({ORDER}), event_time), 0) AS gap FROM labelled WHERE event_type <> 'purchase') GROUP BY {KEY}"""))
+def session_durations_without_purchases(spark, folder):
+    table = features.session_table(labelled(spark, folder), exclude_types=["purchase"])
+    return table.select(*S.SESSION_KEY, "session_length", "max_time_between_two_events", S.LABEL)
+
+
 def _list_sql(column, kind):
     return f"COALESCE(STRING_AGG(CASE WHEN event_type = '{kind}' THEN CAST({column} AS VARCHAR) END, ',' ORDER BY event_time, event_id), '')"
 

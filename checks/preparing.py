@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.base import (
     GAP, KEY, ORDER, check, distinct_sql, kept, numbered, over_clicks,
-    over_sessions, over_split, raw, session_rows, split_sessions,
+    labelled, over_sessions, over_split, raw, session_rows, split_sessions,
 )
 from clicktrail import schemas as S
 from clicktrail.functions import calendar, durations, text
@@ -97,6 +97,17 @@ def write_table_by_set(spark, folder):
     return session_totals(io.read_sessions(spark, path, "parquet"))
 
 
+@check("bucketed_sessions", over_sessions(f"""SELECT {KEY}, "PurchaseSession", session_length, n, value FROM sess
+  JOIN (SELECT {KEY}, COUNT(*) AS n, CAST(SUM(price) AS DOUBLE) AS value FROM labelled GROUP BY ALL) USING ({KEY})"""))
+def bucketed_sessions(spark, folder):
+    """Events written by bucket and opened again; session table, sums and their join read them without an exchange."""
+    path = new_path(spark, "events-bucketed")
+    io.write_bucketed(labelled(spark, folder), path)
+    events = io.read_bucketed(spark, path)
+    sums = events.groupBy(*S.SESSION_KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("price").cast("double").alias("value"))
+    return features.session_table(events).join(sums, S.SESSION_KEY).select(*S.SESSION_KEY, S.LABEL, "session_length", "n", "value")
+
+
 @check("parse_event_time", over_clicks("SELECT event_id, event_time AS parsed, event_time AS plain FROM clicks"))
 def parse_event_time(spark, folder):
     texts = clicks(spark, folder).select("event_id", F.col("event_time").cast("string").alias("t"))

@@ -14,7 +14,7 @@ from clicktrail.functions.calendar import calendar_parts
 from clicktrail.functions.durations import duration_us
 from clicktrail.functions.text import category_levels, session_text_id
 from clicktrail.operators.rows import fill_unknown
-from clicktrail.operators.sessions import COUNTED_TYPES, event_gaps, session_order
+from clicktrail.operators.sessions import COUNTED_TYPES, event_gaps, session_order, timed
 
 
 # Event level
@@ -86,8 +86,10 @@ def last_time() -> Column:
     return F.max(S.TIME)
 
 
-def session_length() -> Column:
-    return duration_us(first_time(), last_time())
+def session_length(exclude_types=()) -> Column:
+    """From the first to the last event, 0 if all are of ``exclude_types``."""
+    time = timed(exclude_types)
+    return F.coalesce(duration_us(F.min(time), F.max(time)), F.lit(0)) if exclude_types else duration_us(first_time(), last_time())
 
 
 def purchase_label() -> Column:
@@ -109,9 +111,9 @@ def session_span(df: DataFrame) -> DataFrame:
     return per_session(df, first=first_time(), last=last_time(), session_length=session_length())
 
 
-def max_gap(df: DataFrame) -> DataFrame:
-    """Longest pause inside each session, purchases included."""
-    return per_session(event_gaps(df, "_gap"), max_time_between_two_events=F.max("_gap"))
+def max_gap(df: DataFrame, exclude_types=()) -> DataFrame:
+    """Longest pause inside each session, purchases included unless ``exclude_types`` leaves them out."""
+    return per_session(event_gaps(df, "_gap", exclude_types=exclude_types), max_time_between_two_events=F.coalesce(F.max("_gap"), F.lit(0)))
 
 
 def _level_counts() -> dict:
@@ -123,11 +125,12 @@ def _level_counts() -> dict:
     }
 
 
-def session_table(df: DataFrame) -> DataFrame:
+def session_table(df: DataFrame, exclude_types=()) -> DataFrame:
     """One row per session: first-event attributes, counts, values, durations and label.
 
     Needs enriched events.  The pause window and the aggregate share one
-    exchange on the session key.
+    exchange on the session key.  Durations leave out events of ``exclude_types``: a purchase tells the label, and it
+    lengthens its session.
     """
     aggregates = {
         **event_counts(),
@@ -139,12 +142,12 @@ def session_table(df: DataFrame) -> DataFrame:
         "total_value_of_carts": value_by_type("cart"),
         "average_value_of_views": avg_value_by_type("view"),
         "average_value_of_carts": avg_value_by_type("cart"),
-        "session_length": session_length(),
-        "max_time_between_two_events": F.max("_gap"),
+        "session_length": session_length(exclude_types),
+        "max_time_between_two_events": F.coalesce(F.max("_gap"), F.lit(0)),
         S.LABEL: purchase_label(),
     }
     first = F.min_by(F.struct(*S.FIRST_EVENT_ATTRIBUTES), F.struct(S.TIME, S.EVENT_ID))
-    table = per_session(event_gaps(df, "_gap"), _first=first, **aggregates)
+    table = per_session(event_gaps(df, "_gap", exclude_types=exclude_types), _first=first, **aggregates)
     return table.select(*S.SESSION_KEY, "_first.*", *S.FEATURES, S.LABEL)
 
 

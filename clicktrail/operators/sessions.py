@@ -191,8 +191,20 @@ def session_order(keys=None):
     return Window.partitionBy(*(keys or S.SESSION_KEY)).orderBy(S.TIME, S.EVENT_ID)
 
 
-def event_gaps(df: DataFrame, name: str = "gap_us", keys=None) -> DataFrame:
-    """Microseconds since the previous event of the session, 0 for the first."""
+def timed(exclude_types=()) -> Column:
+    """Time of an event that counts for durations, NULL for the types left out."""
+    return F.when(~F.coalesce(F.col(S.TYPE).isin(list(exclude_types)), F.lit(False)), F.col(S.TIME)) if exclude_types else F.col(S.TIME)
+
+
+def event_gaps(df: DataFrame, name: str = "gap_us", keys=None, exclude_types=()) -> DataFrame:
+    """Microseconds since the previous event of the session, 0 for the first.
+
+    Events of ``exclude_types`` have no gap (NULL), and the event behind them looks past them.
+    """
+    if exclude_types:
+        time = timed(exclude_types)
+        before = F.max(time).over(session_order(keys).rowsBetween(Window.unboundedPreceding, -1))
+        return df.withColumn(name, F.when(time.isNotNull(), F.coalesce(duration_us(before, time), F.lit(0))))
     pause = duration_us(F.lag(S.TIME).over(session_order(keys)), F.col(S.TIME))
     return df.withColumn(name, F.coalesce(pause, F.lit(0)))
 

@@ -35,19 +35,19 @@ def model_columns() -> list:
 
 def preprocess(
     raw: DataFrame, gap=GAP, train_n: int = sampling.TRAIN_SIZE, test_n: int = sampling.TEST_SIZE, seed: int = sampling.SEED,
-    buckets: int | None = None,
+    buckets: int | None = None, exclude_types=(),
 ):
     """Raw events to labelled events and the session table, both with their ``set``.
 
     Events are shuffled twice: to their cells, and by session into ``buckets`` (see ``write_bucketed``).  Both tables are written by bucket,
     so the session table, and later every join, window or aggregate by session, reads them without an exchange.  The split marks
-    both tables by expression.
+    both tables by expression.  Durations of sessions leave out events of ``exclude_types``.
     """
     spark = raw.sparkSession
     buckets = buckets or bucket_count(spark)
     prepared = prepare_sessions(not_null(raw, "user_session"), gap).repartition(buckets, *S.SESSION_KEY)
     events = write_bucketed(labelled_events(enrich(prepared)), new_path(spark, "events"), buckets=buckets, placed=True)
-    sessions = write_bucketed(session_table(events), new_path(spark, "sessions"), buckets=buckets, placed=True)
+    sessions = write_bucketed(session_table(events, exclude_types), new_path(spark, "sessions"), buckets=buckets, placed=True)
     split = sampling.stratified_split(sessions, train_n=train_n, test_n=test_n, seed=seed)
     return split.assign(events), split.assign(sessions)
 

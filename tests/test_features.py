@@ -206,3 +206,20 @@ def test_session_file_with_duration_texts(spark):
     io.write_table(df, path, "csv")
     got = io.read_sessions(spark, path).orderBy("user_id").collect()
     assert [(r.user_id, r.session_length, r.max_time_between_two_events) for r in got] == [(1, 750_000_000, 5), (2, 86_401_000_000, 6)]
+
+
+def test_durations_without_some_types(spark, events):
+    """First, last and inner events of the type are passed over; with nothing left durations are 0; events without a type count."""
+    minute = lambda m: f"2020-01-01 10:{m:02}:00"
+    df = events([
+        (1, minute(0), "purchase"), (1, minute(5), "view"), (1, minute(6), "purchase"), (1, minute(9), "cart"), (1, minute(20), "purchase"),
+        (2, minute(0), "purchase"), (2, minute(7), "purchase"),
+        (3, minute(0), None), (3, minute(2), "view"),
+    ]).withColumn("session", F.lit(0).cast("bigint"))
+    enriched = features.enrich(df)
+    got = {r["user_id"]: (r["session_length"] // 60_000_000, r["max_time_between_two_events"] // 60_000_000)
+           for r in features.session_table(enriched, ["purchase"]).collect()}
+    assert got == {1: (4, 4), 2: (0, 0), 3: (2, 2)}
+    assert {r["user_id"]: r[2] // 60_000_000 for r in features.max_gap(df, ["purchase"]).collect()} == {1: 4, 2: 0, 3: 2}
+    whole = {r["user_id"]: (r["session_length"] // 60_000_000, r["max_time_between_two_events"] // 60_000_000) for r in features.session_table(enriched).collect()}
+    assert whole == {1: (20, 11), 2: (7, 7), 3: (2, 2)}
