@@ -400,7 +400,7 @@ def near(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; the component is the smallest id that is not null among its texts.
 
     Texts are linked, not ids: rows that share an id, or have none, and differ in text have each the component of their text;
-    it is null if no row of the component has an id.  A text without words, null or not, has an empty set and links to
+    it is null if no row of the component has an id; an id of 2^63 - 1 is taken for none.  A text without words, null or not, has an empty set and links to
     nothing; it goes with the smallest component of other rows of its id, if there are any.  Sets are told apart by 64-bit keys, as
     n-grams are.  Empty tables give empty results; further columns are ignored.
     """

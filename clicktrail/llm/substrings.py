@@ -196,7 +196,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, wit
     task, not per document.  Texts are shuffled once, by id and text, and that exchange is reused; marks are gathered per text, so
     any share of the rows may have no id or the same one.
 
-    Null texts have no words.  A null id counts as the highest.  Rows with the same id never remove from each other.
+    Null texts have no words.  A null id counts as the highest; an id of 2^63 - 1 is taken for a null one.  Rows with the same id never remove from each other.
     Texts under ``window`` words stay whole.  An empty table gives an empty result; further columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
