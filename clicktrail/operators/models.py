@@ -88,7 +88,9 @@ def _forest(train, criterion, max_features, min_samples_leaf, max_depth, seed, *
     leaf = max(1, math.ceil(min_samples_leaf * n))
     return RandomForestClassifier(
         **_COLUMNS, weightCol="weight", impurity=criterion, featureSubsetStrategy=max_features,
-        minInstancesPerNode=leaf, maxDepth=max_depth, seed=seed, **options,
+        minInstancesPerNode=leaf, maxDepth=max_depth, seed=seed,
+        cacheNodeIds=True,  # each row's nodes are kept: no level sends the trees so far to every task, or walks them again from the root
+        **options,
     ).fit(weighted)
 
 

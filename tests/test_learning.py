@@ -497,3 +497,10 @@ def test_models_are_compared_in_one_pass(spark):
         own = sorted((r.threshold, r.fpr, r.tpr) for r in got if r.model == name)
         assert own == sorted(map(tuple, evaluation.roc_curve(df).collect()))
         assert {r.auc for r in got if r.model == name} == {round(evaluation.auc(df).first().auc, 4)}
+
+
+def test_a_forest_keeps_the_nodes_of_its_rows(signal):
+    """Without, every level sends all trees so far to every task."""
+    rows = models._vectors(signal, ["a", "b"], "y")
+    for fit, options in ((models.fit_tree, {}), (models.fit_forest, {"n_estimators": 3})):
+        assert fit(rows, max_depth=4, **options).getOrDefault("cacheNodeIds")
