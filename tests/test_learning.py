@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -504,3 +505,38 @@ def test_a_forest_keeps_the_nodes_of_its_rows(signal):
     rows = models._vectors(signal, ["a", "b"], "y")
     for fit, options in ((models.fit_tree, {}), (models.fit_forest, {"n_estimators": 3})):
         assert fit(rows, max_depth=4, **options).getOrDefault("cacheNodeIds")
+
+
+def _together(monkeypatch, name, n):
+    """``models.<name>`` goes on only once ``n`` calls of it run at a time."""
+    meet, real = threading.Barrier(n, timeout=60), getattr(models, name)
+    monkeypatch.setattr(models, name, lambda *args, **kw: (meet.wait(), real(*args, **kw))[1])
+
+
+def test_folds_are_searched_side_by_side(signal, monkeypatch):
+    grid = {"C": [1.0], "penalty": ["l2"], "ratio": [0.5]}
+    search = lambda: models.random_search(signal, "id", ["a", "b"], "y", "logistic_regression", grid, 1, folds=2, fixed={"max_iter": 5})
+    alone = sorted(map(tuple, search().results.collect()))
+    _together(monkeypatch, "_f1", 2)
+    assert sorted(map(tuple, search().results.collect())) == alone
+
+
+def test_kinds_are_searched_side_by_side(signal, monkeypatch):
+    from clicktrail.plans import flows
+
+    kinds = ("logistic_regression", "decision_tree")
+    grids = {"logistic_regression": {"C": [1.0], "ratio": [0.5]}, "decision_tree": {"min_samples_leaf": [0.01], "ratio": [0.5]}}
+    _together(monkeypatch, "random_search", 2)
+    searches, metrics, _ = flows.tabular_models(signal, signal, "id", ["a", "b"], "y", kinds, grids, n_iter=1, folds=2)
+    assert tuple(searches) == kinds and [r.model for r in metrics.collect()] == list(kinds)
+
+
+def test_training_rows_are_spread_over_the_cores(signal, monkeypatch):
+    """Written in one partition, as small tables are."""
+    one = signal.coalesce(1)
+    _, rows, near = models._scale(one, "id", ["a", "b"], "y", 5, 42)
+    whole = sorted(map(str, models._balance(rows, near, 0.5, 5, 42).collect()))
+    monkeypatch.setattr(models, "TASK_ROWS", 60)
+    spread = models._balance(rows, near, 0.5, 5, 42)
+    assert spread.rdd.getNumPartitions() == spread._weighted[0].rdd.getNumPartitions() == 5
+    assert sorted(map(str, spread.collect())) == whole
