@@ -327,11 +327,20 @@ def fit_graph_classifier(
 
     The network takes no weights; balance its input by replication instead.
     """
+    fitted, rows = _graph_rows(readout, columns, label)
+    return _fit_graph_rows(fitted, rows, hidden, weights, max_iter, seed)
+
+
+def _graph_rows(readout: DataFrame, columns, label: str):
+    """Fitted scaling without a model, and the scaled rows, materialised."""
     flat = GraphClassifier.squashed(readout, columns)
     fitted = GraphClassifier(standard_scale(flat, columns), tuple(columns), None)
-    rows = materialize(fitted.rows(readout, label))
+    return fitted, materialize(_spread(fitted.rows(readout, label), readout.count()))
+
+
+def _fit_graph_rows(fitted: GraphClassifier, rows: DataFrame, hidden: int | None, weights, max_iter: int, seed: int) -> GraphClassifier:
     if hidden:
-        layers = [len(columns), hidden, 2]
+        layers = [len(fitted.columns), hidden, 2]
         model = MultilayerPerceptronClassifier(**_COLUMNS, layers=layers, maxIter=max_iter, seed=seed).fit(rows)
     elif weights is None:
         model = fit_lr(rows, max_iter=max_iter)
@@ -342,16 +351,23 @@ def fit_graph_classifier(
 
 
 def choose_graph_classifier(
-    train: DataFrame, validation: DataFrame, columns, label: str = "label", hidden=(4, 8, 16), iterations=(20, 60), seed: int = SEED
+    train: DataFrame, validation: DataFrame, columns, label: str = "label", hidden=(4, 8, 16), iterations=(20, 60), seed: int = SEED,
+    parallelism: int = 4,
 ) -> GraphClassifier:
     """The network whose width and number of iterations give the highest AUC on the validation graphs.
 
     Few iterations are the stop against overfitting; ties go to the smaller network and the shorter training.
+    The graphs are scaled once; ``parallelism`` networks are fitted at a time.
     """
+    fitted, rows = _graph_rows(train, columns, label)
+    held = materialize(fitted.rows(validation, label))
+
+    def tried(size):
+        model = _fit_graph_rows(fitted, rows, size[0], None, size[1], seed)
+        return model, auc(predict(model.model, held)).first()["auc"]
+
     best = (-1.0, None)
-    for width, steps in product(hidden, iterations):
-        model = fit_graph_classifier(train, columns, label, width, max_iter=steps, seed=seed)
-        area = auc(score_graphs(model, validation, columns, label)).first()["auc"]
+    for model, area in _in_threads(train.sparkSession, tried, product(hidden, iterations), parallelism):
         if best[1] is None or (area is not None and area > best[0] + 1e-12):
             best = (-1.0 if area is None else area, model)
     return best[1]

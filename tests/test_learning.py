@@ -540,3 +540,13 @@ def test_training_rows_are_spread_over_the_cores(signal, monkeypatch):
     spread = models._balance(rows, near, 0.5, 5, 42)
     assert spread.rdd.getNumPartitions() == spread._weighted[0].rdd.getNumPartitions() == 5
     assert sorted(map(str, spread.collect())) == whole
+
+
+def test_networks_are_fitted_side_by_side_on_graphs_scaled_once(spark, signal, monkeypatch):
+    columns, scaled, real = ["a", "b"], [], models.standard_scale
+    expected = [models.fit_graph_classifier(signal, columns, "y", 2, max_iter=steps) for steps in (5, 30)]
+    areas = [evaluation.auc(models.score_graphs(m, signal, columns, "y")).first().auc for m in expected]
+    monkeypatch.setattr(models, "standard_scale", lambda *args: scaled.append(1) or real(*args))
+    _together(monkeypatch, "_fit_graph_rows", 2)
+    best = models.choose_graph_classifier(signal, signal, columns, "y", hidden=(2,), iterations=(5, 30))
+    assert scaled == [1] and evaluation.auc(models.score_graphs(best, signal, columns, "y")).first().auc == pytest.approx(max(areas))
