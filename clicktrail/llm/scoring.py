@@ -31,7 +31,7 @@ SYMBOLS = 255
 #: Entries, and words, that every executor gets; an entry is a long and a double.
 FREQUENT = 1 << 18
 #: Text that is worked on at once, and distinct keys that a task gathers before it sends their counts.
-BLOCK_BYTES, MOST_KEYS = 2 << 20, 1 << 20
+BLOCK_BYTES, MOST_KEYS = 1 << 20, 1 << 18
 REST = "array<struct<gram:long,word:binary,n:long>>"
 
 
@@ -93,6 +93,7 @@ def _counts(batches):
             for is_word, parts in have.items():
                 if sum(map(len, parts)) > 2 * MOST_KEYS:
                     parts[:] = [merged(parts)]
+                    pa.default_memory_pool().release_unused()  # a worker keeps what its largest merge took otherwise
                     if len(parts[0]) > MOST_KEYS:
                         yield sent(parts.pop(), is_word)
     for is_word, parts in have.items():
