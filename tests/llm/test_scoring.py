@@ -2,6 +2,8 @@
 
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -127,3 +129,19 @@ def test_the_trained_model_tells_like_from_unlike(spark):
     out = [i for i, r in rows.items() if r["held_out"] and sizes[i] > 200]
     bits = sum(-rows[i]["score"] for i in out) / math.log10(2) / sum(sizes[i] for i in out)
     assert 0.5 < bits < 3.2  # 8 without a model
+
+
+def test_counting_holds_few_keys():
+    """A worker that counts random text, nearly all of whose keys are distinct, stays small."""
+    code = """
+import random, resource
+import pyarrow as pa
+from clicktrail.llm import scoring
+r = random.Random(1)
+texts = lambda: pa.array([" ".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1000)).replace(" ", "", 900) for _ in range(500)])
+batches = (pa.RecordBatch.from_arrays([texts(), pa.array([False] * 500)], ["text", "held_out"]) for _ in range(10))
+sent = [b.num_rows for b in scoring._counts(batches)]
+print(max(sent), sum(sent), pa.default_memory_pool().max_memory())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120).stdout.split()
+    assert int(out[1]) > 1_000_000 and int(out[2]) < 220 << 20, out
