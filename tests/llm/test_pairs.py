@@ -326,3 +326,42 @@ def test_secrets(frame, odd, none, spark):
     assert {r["doc_id"] for r in turned if r["secret"]} == {r["doc_id"] for r in got if r["doc_id"] % 4 == 1}
     assert {r["doc_id"] for r in secrets.scan(odd).collect()} == {61}
     assert secrets.scan(none).collect() == []
+
+
+def test_frequent_ngrams_tie_nothing_however_many_there_are(frame, monkeypatch):
+    """Texts with a few phrases each of a large common stock; an order that knew only the most frequent ones tied nearly all texts."""
+    monkeypatch.setattr(neighbours, "HEAVIEST", 8, raising=False)  # what was known of the order before
+    rng = random.Random(41)
+    stock = [[f"p{k}x{i}" for i in range(5)] for k in range(40)]
+    rows = []
+    for i in range(160):
+        parts = [words(rng, 12) for _ in range(9)]
+        rows.append((i, " ".join(w for part in parts for w in [*part, *rng.choice(stock)])))
+    rows += [(200 + i, rows[i][1] + " end") for i in range(10)]
+    found = neighbours.candidates(frame(rows).select("text"), 170 * 150).collect()
+    assert len(found) == 10
+    assert sorted(map(tuple, neighbours.near(frame(rows)).collect()), key=str) == joined(rows)
+
+
+def test_postings_and_texts_that_stay_are_not_written(frame, monkeypatch):
+    """Disk is for n-grams on their way and for texts of clusters, not for further copies of them."""
+    written, passed, real, one_each = [], [], neighbours.materialize, neighbours._one_each
+    monkeypatch.setattr(neighbours, "materialize", lambda df, name="table": written.append(name) or real(df, name))
+    monkeypatch.setattr(neighbours, "_one_each", lambda column, wanted=None: passed.append(wanted) or one_each(column, *[wanted] * (wanted is not None)))
+    rng = random.Random(5)
+    rows = [(i, " ".join(words(rng, 50))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)]
+    assert sorted(r["doc_id"] for r in neighbours.different(frame(rows)).collect()) == list(range(60))
+    assert "gram-postings" not in written
+    ids, keys = np.array([r[0] for r in rows]), neighbours.set_keys(*neighbours.grams(neighbours.pa.array([r[1] for r in rows]))[1:])
+    members, sure, tried = ([bool(x) for x in wanted(ids, keys)] for wanted in passed)
+    assert members == [i < 5 or i >= 100 for i in ids] and sure == [i < 60 for i in ids] and not any(tried)
+
+
+def test_marks_miss_none(spark):
+    rng = np.random.default_rng(2)
+    ids, keys = rng.integers(-50, 10**6, 20_000), rng.integers(-2**63, 2**63 - 1, 20_000)
+    marks = neighbours.Marks(spark.createDataFrame(list(zip(ids[:1000].tolist(), keys[:1000].tolist())), "id long, key long").repartition(3))
+    hit = marks.of(ids, keys)
+    assert hit[:1000].all() and hit[1000:].mean() < 0.05
+    assert not neighbours.Marks(spark.createDataFrame([], "id long, key long")).of(ids, keys).any()
