@@ -550,3 +550,23 @@ def test_networks_are_fitted_side_by_side_on_graphs_scaled_once(spark, signal, m
     _together(monkeypatch, "_fit_graph_rows", 2)
     best = models.choose_graph_classifier(signal, signal, columns, "y", hidden=(2,), iterations=(5, 30))
     assert scaled == [1] and evaluation.auc(models.score_graphs(best, signal, columns, "y")).first().auc == pytest.approx(max(areas))
+
+
+def _searched(monkeypatch, module, query):
+    """What a registered query asks of ``random_search``."""
+    from checks import modelling
+
+    asked = []
+    monkeypatch.setattr(modelling, "model_tables", lambda spark, folder: ("train", "test", ["a"]))
+    monkeypatch.setattr(module, "random_search", lambda *args, **kw: asked.append((args, kw)))
+    try:
+        getattr(modelling, query)(None, None)
+    except AttributeError:  # the search is not there
+        pass
+    return asked
+
+
+@pytest.mark.parametrize("query", ["random_search_results", "score_by_ratio"])
+def test_the_registered_search_is_whole(monkeypatch, query):
+    """All candidates, all folds and the whole grid, as ``random_search`` has them when nothing is named."""
+    assert _searched(monkeypatch, models, query) == [(("train", "id", ["a"], "purchase_session", "logistic_regression"), {})]
