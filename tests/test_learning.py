@@ -570,3 +570,15 @@ def _searched(monkeypatch, module, query):
 def test_the_registered_search_is_whole(monkeypatch, query):
     """All candidates, all folds and the whole grid, as ``random_search`` has them when nothing is named."""
     assert _searched(monkeypatch, models, query) == [(("train", "id", ["a"], "purchase_session", "logistic_regression"), {})]
+
+
+def test_the_registered_models_are_searched_whole(monkeypatch):
+    from clicktrail.plans import flows
+
+    asked = []
+    monkeypatch.setattr(flows, "tabular_models", lambda *args, **kw: asked.append((args, kw)) or [None, None])
+    monkeypatch.setattr("checks.modelling.model_tables", lambda spark, folder: ("train", "test", ["a"]))
+    from checks import modelling
+
+    modelling.tabular_models(None, None)
+    assert asked == [(("train", "test", "id", ["a"]), {})]
