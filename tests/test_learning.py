@@ -582,3 +582,44 @@ def test_the_registered_models_are_searched_whole(monkeypatch):
 
     modelling.tabular_models(None, None)
     assert asked == [(("train", "test", "id", ["a"]), {})]
+
+
+def test_a_large_forest_is_grown_in_groups(signal, monkeypatch):
+    """No more leaves on the driver at a time than there is room for, and the votes of all trees."""
+    rows = models._vectors(signal, ["a", "b"], "y", ("id",))
+    fit = lambda: models.fit_forest(rows, n_estimators=7, max_depth=3)
+    assert fit().getNumTrees == 7
+    monkeypatch.setattr(models, "DRIVER_LEAVES", 24)
+    held, of = [], models._ROOM.of
+    monkeypatch.setattr(models._ROOM, "of", lambda leaves: held.append(leaves) or of(leaves))
+    forest = fit()
+    groups = [models.RandomForestClassificationModel.load(path) for path in forest.paths]
+    assert [g.getNumTrees for g in groups] == [3, 3, 1] and max(held) <= 24 and sum(held) == 7 * 8
+    assert len({t.toDebugString.split("\n", 1)[1] for g in groups for t in g.trees}) > 3  # groups are not the same trees again
+    got = {r.id: r for r in models.predict(forest, rows, ("id",)).collect()}
+    votes = dict.fromkeys(got, 0.0)
+    for g in groups:
+        for r in models.predict(g, rows, ("id",)).collect():
+            votes[r.id] += r.score * g.getNumTrees / 7
+    assert len(got) == 300
+    for i, r in got.items():
+        assert r.score == pytest.approx(votes[i]) and r.prediction == int(r.score > 0.5)
+    assert evaluation.auc(models.predict(forest, rows)).first().auc > 0.8
+
+
+def test_fits_share_the_room_on_the_driver(monkeypatch):
+    monkeypatch.setattr(models, "DRIVER_LEAVES", 10)
+    room, most, lock = models._Room(), [0], threading.Lock()
+
+    def fit(leaves):
+        with room.of(leaves):
+            with lock:
+                most[0] = max(most[0], room.taken)
+            assert room.taken <= 10
+
+    threads = [threading.Thread(target=fit, args=(leaves,)) for leaves in (4, 6, 50, 10, 3, 3) * 5]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(30)
+    assert room.taken == 0 and most[0] == 10
