@@ -31,7 +31,9 @@ SHARED = 3
 #: n-grams of a fragment.
 FRAGMENT = 1 << 20
 #: What a task holds at most: n-grams before they are sent, n-grams and documents of a block.
-HELD, BLOCK_GRAMS, BLOCK_DOCS = 1 << 19, 1 << 21, 2048
+HELD, BLOCK_GRAMS, BLOCK_DOCS = 1 << 18, 1 << 21, 2048
+#: Bytes of text that are hashed at a time.
+SLICE = 1 << 20
 FRAGMENTS = 8
 DENSE = 48
 _LAST = (1 << 63) - 1
@@ -68,7 +70,7 @@ def set_keys(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _signatures(batches):
     """(doc_id, id, n, key): size and key of each set."""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             _, hashes, n = grams(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("id"), pa.array(n.astype(np.int64)), pa.array(set_keys(hashes, n))], ["doc_id", "id", "n", "key"])
@@ -80,7 +82,7 @@ def _one_each(column, wanted):
     def run(batches):
         seen = set()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 _, hashes, n = grams(part.column("text"))
                 keys, new = set_keys(hashes, n), []
                 ids = part.column("id").to_numpy()
@@ -157,7 +159,7 @@ def _packed(batches, collect, emit):
     """Gather arrays from parts of batches and send them on when there are enough."""
     held, size = [], 0
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             got = collect(part)
             if len(got[0]):
                 held.append(got)
@@ -378,7 +380,7 @@ def _linked(t: pa.Table) -> pa.Table:
 
 def _gram_sets(batches):
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             of, hashes, n = grams(part.column("text"))
             sets = np.split(hashes, np.cumsum(n)[:-1])
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("block", "cluster", "id")), pa.array([s.tobytes() for s in sets], pa.binary())], ["block", "cluster", "id", "grams"])
